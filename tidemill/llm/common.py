@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: White space of every word split: space and the bytes 9 to 13.
@@ -149,3 +151,80 @@ def deal(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+
+
+#: Rows of a packed table: documents of a block (slot -1), or what a block asks a bucket (slot 0 and up).
+PACKED = "block long, slot int, head binary, body binary"
+_NO_ID = -(1 << 63)
+
+
+class Block:
+    """Documents of one block: ids (NO_ID for null), texts, and what an operator adds about them."""
+
+    NO_ID = _NO_ID
+
+    def __init__(self, ids: np.ndarray, texts: list[bytes], extra: bytes = b""):
+        self.ids, self.texts, self.extra = ids, texts, extra
+
+    @classmethod
+    def of(cls, table: pa.Table) -> Block:
+        ids = np.array([_NO_ID if x is None else x for x in table.column("id").to_pylist()], np.int64)
+        return cls(ids, [utf8(x.as_py()) for x in table.column("text")])
+
+    def pack(self) -> tuple[bytes, bytes]:
+        lengths = np.array([len(t) for t in self.texts], np.int64)
+        head = len(self.texts).to_bytes(8, "little") + self.ids.tobytes() + lengths.tobytes() + self.extra
+        return head, zstandard.ZstdCompressor(level=1).compress(b"".join(self.texts))
+
+    @classmethod
+    def unpack(cls, head: bytes, body: bytes) -> Block:
+        n = int.from_bytes(head[:8], "little")
+        ids, lengths = np.frombuffer(head, np.int64, 2 * n, 8).reshape(2, n)
+        joined, edges = zstandard.ZstdDecompressor().decompress(body), np.concatenate(([0], np.cumsum(lengths))).tolist()
+        return cls(ids, [joined[i:j] for i, j in zip(edges, edges[1:])], head[8 + 16 * n :])
+
+
+def packed(rows: list[tuple[int, int, bytes, bytes]]) -> dict[str, pa.Array]:
+    kinds = {"block": pa.int64(), "slot": pa.int32(), "head": pa.binary(), "body": pa.binary()}
+    return {name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(kinds.items())}
+
+
+def pack(docs: DataFrame, key: str, text: str, limit: int, ask: Callable[[Block], tuple[bytes, list[bytes]]]) -> DataFrame:
+    """Packs documents into blocks of about ``limit`` bytes of text, without a shuffle, and materialises them.
+
+    ``ask`` gives what to keep with the block and, for each bucket, what the block asks it (b'' for nothing).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for k, t in enumerate(each_run(batches, "text", limit)):
+            number, block = (part << 32) + k, Block.of(t)
+            block.extra, questions = ask(block)
+            rows = [(number, -1, *block.pack())] + [(number, s, b"", q) for s, q in enumerate(questions) if q]
+            yield pa.RecordBatch.from_pydict(packed(rows))
+
+    return cut(docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text")).mapInArrow(run, PACKED))
+
+
+def answers(table: DataFrame, reply: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
+    """What each bucket replies to each block that asked it: (block, slot, body)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        bodies = reply([x.as_py() for x in t.column("body")])
+        return pa.table({"block": t.column("block"), "slot": t.column("slot"), "body": pa.array(bodies, pa.binary())})
+
+    asked = table.filter("slot >= 0").select("block", "slot", "body")
+    return asked.groupBy("slot").applyInArrow(run, "block long, slot int, body binary")
+
+
+def with_answers(table: DataFrame, replies: DataFrame, use: Callable[[int, Block, list[bytes]], pa.Table], schema: str) -> DataFrame:
+    """``use(number, block, replies by slot)`` for every block."""
+
+    def run(own: pa.Table, got: pa.Table) -> pa.Table:
+        block = Block.unpack(own.column("head")[0].as_py(), own.column("body")[0].as_py())
+        order = np.argsort(np.asarray(got.column("slot")))
+        bodies = got.column("body")
+        return use(own.column("block")[0].as_py(), block, [bodies[int(k)].as_py() for k in order])
+
+    blocks = table.filter("slot < 0").select("block", "head", "body")
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)
