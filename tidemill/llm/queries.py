@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, html_text, mix, ogg, quality, shard
+from tidemill.llm import bpe, html_text, mix, neardup, ogg, quality, shard, substring
 
 VOCABULARY = os.environ.get("TIDEMILL_BPE", "/opt/tokenizers/byte_bpe_50k.json")
 SHARD_NAMES = [f"shard-{k:02d}" for k in range(shard.SHARDS)]
@@ -19,6 +19,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(documents(spark, sf_dir), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
+def op3_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(documents(spark, sf_dir))
+
+
 def op4_html_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -57,7 +65,7 @@ def op9_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op4_html_line_blocks, op5_bpe_codec, op6_lookup_shards, op7_ogg_media, op8_mix_sources, op9_quality_votes]
+    found = [op2_substring_dedup, op3_minhash_near_duplicates, op4_html_line_blocks, op5_bpe_codec, op6_lookup_shards, op7_ogg_media, op8_mix_sources, op9_quality_votes]
     return {f.__name__: f for f in found}
 
 
@@ -79,6 +87,34 @@ SELECT doc_id, size, source_size, target, (floor(rate)::BIGINT + (u < rate - flo
 """
 
 
+_OP2 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (SELECT doc_id, unnest(range(1, greatest(len(words) - 48, 1))) AS i, words FROM w WHERE len(words) >= 50),
+h AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS h FROM p),
+f AS (SELECT h, min(doc_id) AS first FROM h GROUP BY h),
+r AS (SELECT h.doc_id, list(i) AS starts FROM h JOIN f ON h.h = f.h AND f.first < h.doc_id GROUP BY h.doc_id),
+g AS (SELECT doc_id, list_distinct(flatten([range(s, s + 50) for s in starts])) AS gone FROM r),
+k AS (SELECT w.doc_id, words, gone FROM w LEFT JOIN g ON w.doc_id = g.doc_id),
+x AS (SELECT doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_removed,
+        CASE WHEN gone IS NULL THEN words ELSE [words[j] for j in range(1, len(words) + 1) if NOT list_contains(gone, j)] END AS kept FROM k)
+SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM x
+"""
+
+_OP3 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(words[i:i + 4], ' ')) AS h
+      FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS seen FROM w UNION SELECT r.id, e.b FROM r JOIN e ON r.seen = e.a),
+m AS (SELECT id, min(seen) AS component_id FROM r GROUP BY id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM w JOIN m ON m.id = w.doc_id LEFT JOIN n USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     owners = ",".join(SHARD_NAMES[s] for s in shard.lookup_table(SHARD_NAMES))
     op6 = f"""
@@ -86,4 +122,4 @@ WITH k AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1,
 t AS (SELECT string_split('{owners}', ',') AS owners)
 SELECT doc_id, slot, owners[slot + 1] AS shard FROM k, t
 """
-    return {"op6_lookup_shards": op6, "op8_mix_sources": _OP8}
+    return {"op2_substring_dedup": _OP2, "op3_minhash_near_duplicates": _OP3, "op6_lookup_shards": op6, "op8_mix_sources": _OP8}
