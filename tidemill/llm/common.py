@@ -217,14 +217,13 @@ def answers(table: DataFrame, reply: Callable[[list[bytes]], list[bytes]]) -> Da
     return asked.groupBy("slot").applyInArrow(run, "block long, slot int, body binary")
 
 
-def with_answers(table: DataFrame, replies: DataFrame, use: Callable[[int, Block, list[bytes]], pa.Table], schema: str) -> DataFrame:
-    """``use(number, block, replies by slot)`` for every block."""
+def with_answers(table: DataFrame, replies: DataFrame, use: Callable[[int, Block, dict[int, bytes]], pa.Table], schema: str) -> DataFrame:
+    """``use(number, block, replies in order of slot)`` for every block."""
 
     def run(own: pa.Table, got: pa.Table) -> pa.Table:
         block = Block.unpack(own.column("head")[0].as_py(), own.column("body")[0].as_py())
-        order = np.argsort(np.asarray(got.column("slot")))
-        bodies = got.column("body")
-        return use(own.column("block")[0].as_py(), block, [bodies[int(k)].as_py() for k in order])
+        replies = dict(sorted(zip(got.column("slot").to_pylist(), got.column("body").to_pylist())))
+        return use(own.column("block")[0].as_py(), block, replies)
 
     blocks = table.filter("slot < 0").select("block", "head", "body")
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)

@@ -311,11 +311,11 @@ def _finish(buckets: int, training: int, n: int, v: int):
     ends = training
     tokens, kinds = n + ends, v + (ends > 0)
 
-    def use(number: int, block: Block, bodies: list[bytes]) -> pa.Table:
+    def use(number: int, block: Block, replies: dict[int, bytes]) -> pa.Table:
         g = _Grams(block, buckets)
         grams, place = np.unique(g.grams, return_inverse=True)
         scores, counts = [], []
-        for body in bodies:
+        for body in replies.values():
             k = int.from_bytes(body[:8], "little")
             scores.append(np.frombuffer(body, "<f4", k, 8))
             counts.append(np.frombuffer(body, "<u8", offset=8 + 4 * k))

@@ -13,6 +13,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemill.llm.common import U64, Block, Rolling, Words, answers, bucket_of, cut, pack, packed, PACKED, width, with_answers
 
@@ -127,19 +128,17 @@ def _distinct_windows(text: _Text, block: Block, at: np.ndarray) -> tuple[np.nda
     return at, first, entries
 
 
+def _window_starts(text: _Text, replies: list[bytes]) -> np.ndarray:
+    at, first, _, _ = _distinct_anchors(text)
+    hit = np.repeat(_bits(replies), np.diff(np.append(first, len(at))))
+    return text.candidates(np.sort(at[hit]))
+
+
 def _ask_windows(buckets: int):
-    def use(number: int, block: Block, bodies: list[bytes]) -> pa.Table:
+    def use(number: int, block: Block, replies: dict[int, bytes]) -> pa.Table:
         text = _Text(block)
-        at, first, _, _ = _distinct_anchors(text)
-        hit = np.repeat(_bits(bodies), np.diff(np.append(first, len(at))))
-        starts = text.candidates(np.sort(at[hit]))
-        _, _, entries = _distinct_windows(text, block, starts)
-        chosen = np.zeros(text.starts[-1], bool)
-        chosen[starts] = True
-        block.extra = np.packbits(chosen).tobytes()
-        rows = [(number, -1, *block.pack())]
-        rows += [(number, s, b"", q) for s, q in enumerate(_split(entries, entries["h"], buckets)) if q]
-        return pa.table(packed(rows))
+        _, _, entries = _distinct_windows(text, block, _window_starts(text, list(replies.values())))
+        return pa.table(packed([(number, s, b"", q) for s, q in enumerate(_split(entries, entries["h"], buckets)) if q]))
 
     return use
 
@@ -158,21 +157,21 @@ def _window_replies(bodies: list[bytes]) -> list[bytes]:
     return [len(h).to_bytes(8, "little") + np.packbits(h).tobytes() for h in hits]
 
 
-def _removed(text: _Text, block: Block, bodies: list[bytes]) -> np.ndarray:
+def _removed(text: _Text, block: Block, anchors: list[bytes], windows: list[bytes]) -> np.ndarray:
     """Which words of the block go."""
     n = text.starts[-1]
-    starts = np.flatnonzero(np.unpackbits(np.frombuffer(block.extra, np.uint8), count=n))
+    starts = _window_starts(text, anchors)
     if not len(starts):
         return np.zeros(n, bool)
     at, first, entries = _distinct_windows(text, block, starts)
     sizes = np.diff(np.append(first, len(at)))
-    go = np.repeat(_bits(bodies), sizes) | (block.ids[text.doc[at]] > np.repeat(entries["id"], sizes))
+    go = np.repeat(_bits(windows), sizes) | (block.ids[text.doc[at]] > np.repeat(entries["id"], sizes))
     return _covered(at[go], at[go] + WINDOW, n)
 
 
-def _finish(number: int, block: Block, bodies: list[bytes], digest: bool) -> pa.Table:
+def _finish(block: Block, anchors: list[bytes], windows: list[bytes], digest: bool) -> pa.Table:
     text = _Text(block)
-    gone = _removed(text, block, bodies)
+    gone = _removed(text, block, anchors, windows)
     counts, removed, kept = np.diff(text.starts).tolist(), [], []
     for k, raw in enumerate(block.texts):
         words = raw.split()
@@ -194,7 +193,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dig
     """
     buckets = width(docs.sparkSession)
     blocks = pack(docs, key, text, block_bytes, _ask_anchors(buckets))
-    windows = cut(with_answers(blocks, answers(blocks, _anchor_replies), _ask_windows(buckets), PACKED))
-    schema = "id long, n_words long, n_removed long, kept string"
-    found = with_answers(windows, answers(windows, _window_replies), lambda n, b, a: _finish(n, b, a, digest), schema)
+    anchors = cut(answers(blocks, _anchor_replies))
+    windows = answers(with_answers(blocks, anchors, _ask_windows(buckets), PACKED), _window_replies)
+    both = anchors.union(windows.select("block", F.col("slot") + buckets, "body"))
+
+    def use(number: int, block: Block, replies: dict[int, bytes]) -> pa.Table:
+        return _finish(block, [b for s, b in replies.items() if s < buckets], [b for s, b in replies.items() if s >= buckets], digest)
+
+    found = with_answers(blocks, both, use, "id long, n_words long, n_removed long, kept string")
     return found.withColumnRenamed("id", key)
