@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -59,12 +59,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of a run of texts: ``ids`` indexes ``vocab``; text k owns ``ids[starts[k]:starts[k + 1]]``."""
+    """The words of a run of texts: ``ids`` indexes ``vocab``; text k owns ``ids[starts[k]:starts[k + 1]]``.
 
-    def __init__(self, texts: Iterable[bytes]):
+    ``between`` says which bytes part words (a newline must); word w is at ``begins[w]`` to ``ends[w]`` of the texts
+    joined by one byte, text k begins at ``edges[k]``.
+    """
+
+    def __init__(self, texts: Iterable[bytes], between: np.ndarray = _IS_SPACE):
         texts = list(texts)
         joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-        space = _IS_SPACE[joined]
+        space = between[joined]
         solid = ~space
         begins = np.flatnonzero(solid & np.concatenate(([True], space[:-1])))
         ends = np.flatnonzero(space & np.concatenate(([False], solid[:-1])))
@@ -79,8 +83,12 @@ class Words:
         edges = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(t) + 1 for t in texts], out=edges[1:])
         self.starts = np.searchsorted(begins, edges)
+        self.begins, self.ends, self.edges = begins, ends, edges
         self._digests: np.ndarray | None = None
 
+    def words(self) -> list[bytes]:
+        return [self.vocab[k] for k in self.ids.tolist()]
+
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """Two independent 64-bit hashes of every distinct word."""
         if self._digests is None:
@@ -189,21 +197,35 @@ def packed(rows: list[tuple[int, int, bytes, bytes]]) -> dict[str, pa.Array]:
     return {name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(kinds.items())}
 
 
-def pack(docs: DataFrame, key: str, text: str, limit: int, ask: Callable[[Block], tuple[bytes, list[bytes]]]) -> DataFrame:
+def pack(docs: DataFrame, key: str, text: str, limit: int, ask: Callable[[Block], list[bytes]], carry: Sequence[str] = ()) -> DataFrame:
     """Packs documents into blocks of about ``limit`` bytes of text, without a shuffle, and materialises them.
 
-    ``ask`` gives what to keep with the block and, for each bucket, what the block asks it (b'' for nothing).
+    ``ask`` gives what the block asks each bucket (b'' for nothing). The columns ``carry`` stay with the block.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for k, t in enumerate(each_run(batches, "text", limit)):
             number, block = (part << 32) + k, Block.of(t)
-            block.extra, questions = ask(block)
+            questions = ask(block)
+            block.extra = _to_ipc(t.drop_columns(["id", "text"])) if carry else b""
             rows = [(number, -1, *block.pack())] + [(number, s, b"", q) for s, q in enumerate(questions) if q]
             yield pa.RecordBatch.from_pydict(packed(rows))
 
-    return cut(docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text")).mapInArrow(run, PACKED))
+    carried = [docs[c].alias(f"carried_{k}") for k, c in enumerate(carry)]
+    return cut(docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text"), *carried).mapInArrow(run, PACKED))
+
+
+def _to_ipc(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def carried(block: Block) -> pa.Table:
+    """The columns that ``pack`` was told to carry."""
+    return pa.ipc.open_stream(block.extra).read_all()
 
 
 def answers(table: DataFrame, reply: Callable[[list[bytes]], list[bytes]]) -> DataFrame:

@@ -171,7 +171,7 @@ def _unpair(body: bytes, key: str, value: str) -> tuple[np.ndarray, np.ndarray,
 
 
 def _ask(buckets: int):
-    def ask(block: Block) -> tuple[bytes, list[bytes]]:
+    def ask(block: Block) -> list[bytes]:
         g = _Grams(block, buckets)
         marked, n = np.unique(g.grams << U64(1) | np.repeat(g.held, g.sizes).astype(U64), return_counts=True)
         grams, place = np.unique(marked >> U64(1), return_inverse=True)
@@ -188,7 +188,7 @@ def _ask(buckets: int):
             own = word_order[word_edges[s] : word_edges[s + 1]]
             words = word_counts[own].astype("<u4").tobytes() + b"\n".join([vocab[k] for k in own.tolist()])
             out.append(_pairs(grams[i:j], counts[i:j]) + len(own).to_bytes(8, "little") + words if j > i or len(own) else b"")
-        return b"", out
+        return out
 
     return ask
 

@@ -166,3 +166,10 @@ def judge(counted: DataFrame, model: Model | None = None) -> DataFrame:
         model = fit(counted)
     failed = counted.withColumn("base_failed", base_failed()).withColumn("posterior", model.posterior(rules()))
     return failed.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
+
+
+def keep(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, columns unchanged. The model is fitted to all of them first."""
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[text].alias("body"))
+    model = fit(features(rows, "body", "body").drop("body"))
+    return judge(features(rows, "row", "body"), model).filter("kept").select("row.*")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, html_text, lm_score, mix, neardup, ogg, quality, shard, substring
+from tidemill.llm import bpe, html_text, license, lm_score, mix, neardup, ogg, quality, shard, substring
 
 VOCABULARY = os.environ.get("TIDEMILL_BPE", "/opt/tokenizers/byte_bpe_50k.json")
 SHARD_NAMES = [f"shard-{k:02d}" for k in range(shard.SHARDS)]
@@ -68,8 +68,12 @@ def op9_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
 
 
+def op10_license_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_context_tree_scores, op2_substring_dedup, op3_minhash_near_duplicates, op4_html_line_blocks, op5_bpe_codec, op6_lookup_shards, op7_ogg_media, op8_mix_sources, op9_quality_votes]
+    found = [op1_context_tree_scores, op2_substring_dedup, op3_minhash_near_duplicates, op4_html_line_blocks, op5_bpe_codec, op6_lookup_shards, op7_ogg_media, op8_mix_sources, op9_quality_votes, op10_license_spans]
     return {f.__name__: f for f in found}
 
 

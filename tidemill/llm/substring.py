@@ -9,13 +9,15 @@ reach is compared, which extends each anchor to the whole passage.
 from __future__ import annotations
 
 import hashlib
+import re
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import U64, Block, Rolling, Words, answers, bucket_of, cut, pack, packed, PACKED, width, with_answers
+from tidemill.llm.common import PACKED, U64, Block, Rolling, Words, answers, bucket_of, carried, cut, pack, packed, width, with_answers
 
 WINDOW = 50
 #: A perfect difference set: every residue modulo 31 is a difference of two of the six.
@@ -90,10 +92,10 @@ def _distinct_anchors(text: _Text) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def _ask_anchors(buckets: int):
-    def ask(block: Block) -> tuple[bytes, list[bytes]]:
+    def ask(block: Block) -> list[bytes]:
         _, _, hashes, twice = _distinct_anchors(_Text(block))
         entries = (hashes & U64(0xFFFFFFFE)).astype("<u4") | twice.astype("<u4")
-        return b"", _split(entries, hashes, buckets)
+        return _split(entries, hashes, buckets)
 
     return ask
 
@@ -169,30 +171,46 @@ def _removed(text: _Text, block: Block, anchors: list[bytes], windows: list[byte
     return _covered(at[go], at[go] + WINDOW, n)
 
 
+_PIECE = re.compile(rb"[^ \t-\r]+[ \t-\r]*")
+
+
 def _finish(block: Block, anchors: list[bytes], windows: list[bytes], digest: bool) -> pa.Table:
     text = _Text(block)
     gone = _removed(text, block, anchors, windows)
     counts, removed, kept = np.diff(text.starts).tolist(), [], []
     for k, raw in enumerate(block.texts):
-        words = raw.split()
-        cut_out = gone[text.starts[k] : text.starts[k + 1]]
-        removed.append(int(cut_out.sum()))
-        if removed[-1]:
-            words = [w for w, x in zip(words, cut_out.tolist()) if not x]
-        kept.append(hashlib.sha256(b" ".join(words)).hexdigest() if digest else b" ".join(words).decode("utf-8", "replace"))
+        out = gone[text.starts[k] : text.starts[k + 1]]
+        removed.append(int(out.sum()))
+        if digest:
+            words = raw.split()
+            if removed[-1]:
+                words = [w for w, x in zip(words, out.tolist()) if not x]
+            kept.append(hashlib.sha256(b" ".join(words)).hexdigest())
+        elif removed[-1]:
+            kept.append(b"".join([w for w, x in zip(_PIECE.findall(raw), out.tolist()) if not x]).rstrip().decode("utf-8", "replace"))
+        else:
+            kept.append(raw.decode("utf-8", "replace"))
     ids = pa.array([None if i == Block.NO_ID else i for i in block.ids.tolist()], pa.int64())
-    return pa.table({"id": ids, "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string())})
+    found = pa.table({"id": ids, "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string())})
+    if block.extra:
+        for name, column in zip(carried(block).column_names, carried(block).columns):
+            found = found.append_column(name, column)
+    return found
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: bool = False, block_bytes: int = BLOCK) -> DataFrame:
-    """(key, n_words, n_removed, kept) of every row; the key is an integer.
+def remove_repeats(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", digest: bool = False, carry: Sequence[str] = (), block_bytes: int = BLOCK
+) -> DataFrame:
+    """(key, n_words, n_removed, kept, *carry) of every row; the key is an integer.
 
     A word goes if a run of 50 words of its document that covers it also starts in a document with a smaller key.
-    ``kept`` is the words left, joined by one space, or its SHA-256 in hex. Null, empty and blank texts have no
-    words. Rows with equal keys don't remove each other's words; a row with a null key keeps all and removes none.
+    ``kept`` is the text without such words and the white space after them, or, as ``digest``, the SHA-256 in hex of
+    the words left, joined by one space. ``carry`` names columns to return besides. Null, empty and blank texts
+    have no words and come back as empty or as they are. Rows with equal keys don't remove each other's words; a
+    row with a null key keeps all and removes none. An empty table gives an empty result.
     """
     buckets = width(docs.sparkSession)
-    blocks = pack(docs, key, text, block_bytes, _ask_anchors(buckets))
+    blocks = pack(docs, key, text, block_bytes, _ask_anchors(buckets), carry)
     anchors = cut(answers(blocks, _anchor_replies))
     windows = answers(with_answers(blocks, anchors, _ask_windows(buckets), PACKED), _window_replies)
     both = anchors.union(windows.select("block", F.col("slot") + buckets, "body"))
@@ -200,5 +218,16 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dig
     def use(number: int, block: Block, replies: dict[int, bytes]) -> pa.Table:
         return _finish(block, [b for s, b in replies.items() if s < buckets], [b for s, b in replies.items() if s >= buckets], digest)
 
-    found = with_answers(blocks, both, use, "id long, n_words long, n_removed long, kept string")
-    return found.withColumnRenamed("id", key)
+    more = "".join(f", carried_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
+    found = with_answers(blocks, both, use, f"id long, n_words long, n_removed long, kept string{more}")
+    return found.toDF(key, "n_words", "n_removed", "kept", *carry)
+
+
+def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
+    """``docs``, same columns, with repeated passages cut out of ``text``; ``length``, where there is such a column,
+    becomes the new number of code points. A null text comes back empty."""
+    rest = [c for c in docs.columns if c not in (key, text)]
+    found = remove_repeats(docs, key, text, carry=rest).select(F.col(key).cast(docs.schema[key].dataType), F.col("kept").alias(text), *rest)
+    if length in rest:
+        found = found.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
+    return found.select(*docs.columns)
