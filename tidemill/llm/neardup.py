@@ -2,13 +2,16 @@
 
 Equal word sequences are one node from the start, so copies never meet each other. Buckets are never expanded
 into all pairs: first every member of a bucket is held against the bucket's smallest document; components of the
-links found join most of each bucket, and only pairs of one bucket that still lie in different components follow.
+links found join most of each bucket. Of buckets that still hold several components, small ones are expanded into the pairs
+between these, and in large ones the members outside the most common component are a query set that is held, in
+blocks, against all members.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,8 @@ ROWS, BANDS = 5, 40
 LEAST_EQUAL = round(ROWS * BANDS * (0.75 - 6 * (0.75 * 0.25 / (ROWS * BANDS)) ** 0.5))
 #: Ids (8 bytes each) up to which a list of documents is broadcast instead of joined by shuffling the texts.
 BROADCAST_IDS = 1_000_000
+#: Most members of a bucket that is expanded into pairs; documents in a block of queries, and of those it meets.
+SMALL, QUERIES, MET = 24, 256, 4096
 _RUN = 4 << 20
 _CHUNK = 1 << 15
 
@@ -161,6 +166,50 @@ def confirm(pairs: DataFrame, unique: DataFrame, docs: DataFrame) -> DataFrame:
     return cut(_where(_both(alike, sets, "shingles"), _linked))
 
 
+def _meet(t: pa.Table) -> pa.Table:
+    """Links between the queries of a block and the documents it meets: of each query, one to every other root."""
+    query = np.asarray(t.column("query"))
+    ids, roots = t.column("id").to_pylist(), t.column("root").to_pylist()
+    sets = [np.frombuffer(x.as_py(), U64) for x in t.column("shingles")]
+    asked = np.flatnonzero(query).tolist()
+    sizes = np.array([len(sets[k]) for k in asked])
+    hashes, owner = np.concatenate([sets[k] for k in asked] or [np.zeros(0, U64)]), np.repeat(np.arange(len(asked)), sizes)
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], owner[order]
+    found: dict[tuple, tuple] = {}
+    for k in np.flatnonzero(~query).tolist():
+        low, high = np.searchsorted(hashes, sets[k]), np.searchsorted(hashes, sets[k], "right")
+        counts = high - low
+        places = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - low, counts)
+        common = np.bincount(owner[places], minlength=len(asked))
+        for q in np.flatnonzero(100 * common >= 75 * (sizes + len(sets[k]) - common)).tolist():
+            if roots[asked[q]] != roots[k]:
+                found.setdefault((asked[q], roots[k]), (ids[asked[q]], ids[k]))
+    kind = t.schema.field("id").type
+    return pa.table({"a": pa.array([x for x, _ in found.values()], kind), "b": pa.array([y for _, y in found.values()], kind)})
+
+
+def _meetings(labelled: DataFrame, torn: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between components within large buckets. A bucket's family is its most common root; the members of a
+    family's buckets with another root are queries against all members."""
+    kind = docs.schema["id"].dataType.simpleString()
+    members = labelled.join(torn.select("band"), "band")
+    common = members.groupBy("band", "root").count().groupBy("band").agg(F.max(F.struct("count", "root")).alias("most")).select("band", F.col("most.root").alias("family"))
+    members = cut(members.join(common, "band").select("family", "id", "root").distinct())
+    parts = members.groupBy("family").agg(
+        F.ceil(F.count_if(F.col("root") != F.col("family")) / QUERIES).cast("int").alias("blocks"),
+        F.ceil(F.count("*") / MET).cast("int").alias("salts"),
+    )
+    members = members.join(parts, "family")
+    block, salt = F.pmod(F.xxhash64("id"), "blocks").cast("int"), F.pmod(F.xxhash64("id"), "salts").cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    queries = members.filter("root <> family").select("family", "id", "root", block.alias("block"), each("salts").alias("salt"), F.lit(True).alias("query"))
+    met = members.select("family", "id", "root", each("blocks").alias("block"), salt.alias("salt"), F.lit(False).alias("query"))
+    sets = cut(_sets(only(docs, members.select("id"), "id")).dropDuplicates(["id"]))
+    rows = queries.union(met.select(*queries.columns)).join(sets, "id")
+    return cut(rows.groupBy("family", "block", "salt").applyInArrow(_meet, f"a {kind}, b {kind}"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root) for every id in ``links`` (a, b) but the roots: the smallest id that can be reached.
 
@@ -205,15 +254,20 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     root = components(links)
     labelled = cut(shared.filter("m > 2").join(root, "id", "left").select("band", "id", "n", F.coalesce("root", "id").alias("root")))
-    torn = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
-    one = labelled.join(torn, "band", "left_semi")
+    torn = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).filter("low <> high")
+    torn = cut(torn.select("band", "m"))
+    one = labelled.join(torn.filter(F.col("m") <= SMALL).select("band"), "band")
     two = one.select("band", *(F.col(c).alias(f"{c}_2") for c in ("id", "n", "root")))
     rest = one.join(two, "band").filter("id < id_2 AND root <> root_2 AND " + near.format("n_2")).select(F.col("id").alias("a"), F.col("id_2").alias("b")).distinct()
     rest = cut(rest.join(stars, ["a", "b"], "left_anti"))
+    more = [root.toDF("a", "b")]
     if not rest.isEmpty():
-        more = confirm(rest, unique, whole)
-        if not more.isEmpty():
-            root = components(root.toDF("a", "b").union(more))
+        more.append(confirm(rest, unique, whole))
+    large = torn.filter(F.col("m") > SMALL)
+    if not large.isEmpty():
+        more.append(_meetings(labelled, large, whole))
+    if len(more) > 1:
+        root = components(reduce(DataFrame.union, more))
 
     first = unique.select("same", F.col("id").alias("rep")).join(root, F.col("rep") == root["id"], "left").select("same", F.coalesce("root", "rep").alias("root"))
     by = signed.select("id", "n", "same").join(first, "same", "left")
