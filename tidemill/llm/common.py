@@ -8,6 +8,7 @@ the distinct keys of a block, never positions, and no key meets more than one en
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import tempfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -37,6 +38,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle and checkpoint files that nothing refers to any more.
+
+    It does so when the driver collects its garbage, which a driver with little to do may put off for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def width(spark: SparkSession) -> int:
     """How many hash buckets keys are dealt over: the session's shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -182,7 +192,7 @@ class Block:
     def pack(self) -> tuple[bytes, bytes]:
         lengths = np.array([len(t) for t in self.texts], np.int64)
         head = len(self.texts).to_bytes(8, "little") + self.ids.tobytes() + lengths.tobytes() + self.extra
-        return head, zstandard.ZstdCompressor(level=1).compress(b"".join(self.texts))
+        return head, zstandard.ZstdCompressor(level=3).compress(b"".join(self.texts))
 
     @classmethod
     def unpack(cls, head: bytes, body: bytes) -> Block:

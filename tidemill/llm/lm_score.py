@@ -18,10 +18,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import LOWER, U64, Block, Words, bucket_of, cut, mix64, pack, width, with_answers
+from tidemill.llm.common import LOWER, U64, Block, Words, bucket_of, cut, mix64, pack, release, width, with_answers
 
 DEPTH = 5
 TOP = 2
@@ -159,15 +160,27 @@ class _Grams:
         return np.bincount(self.words.ids[training], minlength=len(self.words.vocab))
 
 
-def _pairs(keys: np.ndarray, values: np.ndarray) -> bytes:
-    return len(keys).to_bytes(8, "little") + keys.tobytes() + values.tobytes()
+def _planes(values: np.ndarray) -> bytes:
+    """Bytes of equal weight next to each other: these compress well."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
 
 
-def _unpair(body: bytes, key: str, value: str) -> tuple[np.ndarray, np.ndarray, bytes]:
-    n = int.from_bytes(body[:8], "little")
-    k, v = np.dtype(key), np.dtype(value)
-    end = 8 + n * (k.itemsize + v.itemsize)
-    return np.frombuffer(body, k, n, 8), np.frombuffer(body, v, n, 8 + n * k.itemsize), body[end:]
+def _unplanes(data: bytes, kind: str, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel()
+
+
+def _pairs(keys: np.ndarray, values: np.ndarray, rest: bytes = b"") -> bytes:
+    """Ascending 64-bit keys as differences, their values, and more bytes, compressed."""
+    steps = np.diff(keys, prepend=keys.dtype.type(0))
+    return zstandard.ZstdCompressor(level=3).compress(len(keys).to_bytes(8, "little") + _planes(steps) + _planes(values) + rest)
+
+
+def _unpair(body: bytes, value: str) -> tuple[np.ndarray, np.ndarray, bytes]:
+    data = zstandard.ZstdDecompressor().decompress(body)
+    n = int.from_bytes(data[:8], "little")
+    keys = np.cumsum(_unplanes(data, "<u8", n, 8), dtype="<u8")
+    return keys, _unplanes(data, value, n, 8 + 8 * n), data[8 + n * (8 + np.dtype(value).itemsize) :]
 
 
 def _ask(buckets: int):
@@ -186,8 +199,8 @@ def _ask(buckets: int):
         for s in range(buckets):
             i, j = edges[s : s + 2]
             own = word_order[word_edges[s] : word_edges[s + 1]]
-            words = word_counts[own].astype("<u4").tobytes() + b"\n".join([vocab[k] for k in own.tolist()])
-            out.append(_pairs(grams[i:j], counts[i:j]) + len(own).to_bytes(8, "little") + words if j > i or len(own) else b"")
+            words = _planes(word_counts[own].astype("<u4")) + b"\n".join([vocab[k] for k in own.tolist()])
+            out.append(_pairs(grams[i:j], counts[i:j], len(own).to_bytes(8, "little") + words) if j > i or len(own) else b"")
         return out
 
     return ask
@@ -195,13 +208,13 @@ def _ask(buckets: int):
 
 def _words(rest: bytes) -> tuple[np.ndarray, list[bytes]]:
     n = int.from_bytes(rest[:8], "little")
-    return np.frombuffer(rest, "<u4", n, 8), rest[8 + 4 * n :].split(b"\n") if n else []
+    return _unplanes(rest, "<u4", n, 8), rest[8 + 4 * n :].split(b"\n") if n else []
 
 
 def _totals(bodies: list[bytes]) -> dict[bytes, int]:
     found: dict[bytes, int] = {}
     for body in bodies:
-        counts, words = _words(_unpair(body, "<u8", "<u4")[2])
+        counts, words = _words(_unpair(body, "<u4")[2])
         for w, c in zip(words, counts.tolist()):
             found[w] = found.get(w, 0) + c
     return found
@@ -225,10 +238,10 @@ def _merge(buckets: int):
 
     def run(t: pa.Table) -> pa.Table:
         bodies = [x.as_py() for x in t.column("body")]
-        parts = [_unpair(b, "<u8", "<u4")[:2] for b in bodies]
+        parts = [_unpair(b, "<u4")[:2] for b in bodies]
         grams, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         counts = np.bincount(place, np.concatenate([p[1] for p in parts]), len(grams)).astype("<u8")
-        order, edges = _by(grams >> U64(8) & U64((1 << 8 * (TOP + 1)) - 1), buckets)
+        order, edges = _by(grams >> U64(8) & U64((1 << 8 * (TOP + 1)) - 1), buckets)  # stable: grams ascend in each
         grams, counts = grams[order], counts[order]
         words = _totals(bodies)
         filled = [s for s in range(buckets) if edges[s + 1] > edges[s]]
@@ -240,7 +253,7 @@ def _merge(buckets: int):
 
 
 def _tree(t: pa.Table) -> Tree:
-    parts = [_unpair(x.as_py(), "<u8", "<u8")[:2] for x in t.column("body")]
+    parts = [_unpair(x.as_py(), "<u8")[:2] for x in t.column("body")]
     return Tree(np.concatenate([p[0] for p in parts]).astype(np.int64), np.concatenate([p[1] for p in parts]))
 
 
@@ -278,9 +291,11 @@ def _predict(buckets: int, top):
     """Log10 probabilities of the grams of one bucket's tree, sent back to the buckets that blocks ask."""
 
     def run(t: pa.Table) -> pa.Table:
-        parts = [_unpair(x.as_py(), "<u8", "<u8")[:2] for x in t.column("body")]
-        grams = np.concatenate([p[0] for p in parts])
-        scores = Tree(grams.astype(np.int64), np.concatenate([p[1] for p in parts])).log10(top.value).astype("<f4")
+        parts = [_unpair(x.as_py(), "<u8")[:2] for x in t.column("body")]
+        grams, counts = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        ascending = np.argsort(grams)
+        grams, counts = grams[ascending], counts[ascending]
+        scores = Tree(grams.astype(np.int64), counts).log10(top.value).astype("<f4")
         order, edges = _by(grams >> U64(8), buckets)
         grams, scores = grams[order], scores[order]
         filled = [s for s in range(buckets) if edges[s + 1] > edges[s]]
@@ -292,15 +307,16 @@ def _predict(buckets: int, top):
 def _reply(asked: pa.Table, known: pa.Table) -> pa.Table:
     """To each block, the scores of its grams and the training counts of its words, in its own order."""
     bodies = [x.as_py() for x in asked.column("body")]
-    parts = [_unpair(x.as_py(), "<u8", "<f4")[:2] for x in known.column("body")]
+    parts = [_unpair(x.as_py(), "<f4")[:2] for x in known.column("body")]
     grams, scores = (np.concatenate([p[k] for p in parts] or [np.zeros(0, "<u8")]) for k in (0, 1))
     order = np.argsort(grams)
     grams, scores = grams[order], scores[order]
     totals, out = _totals(bodies), []
     for body in bodies:
-        own, _, rest = _unpair(body, "<u8", "<u4")
+        own, _, rest = _unpair(body, "<u4")
         counts = np.array([totals[w] for w in _words(rest)[1]], "<u8")
-        out.append(len(own).to_bytes(8, "little") + scores[np.searchsorted(grams, own)].tobytes() + counts.tobytes())
+        replies = _planes(scores[np.searchsorted(grams, own)]) + _planes(counts)
+        out.append(zstandard.ZstdCompressor(level=3).compress(len(own).to_bytes(8, "little") + replies))
     return pa.table({"block": asked.column("block"), "slot": asked.column("slot"), "body": pa.array(out, pa.binary())})
 
 
@@ -316,9 +332,10 @@ def _finish(buckets: int, training: int, n: int, v: int):
         grams, place = np.unique(g.grams, return_inverse=True)
         scores, counts = [], []
         for body in replies.values():
-            k = int.from_bytes(body[:8], "little")
-            scores.append(np.frombuffer(body, "<f4", k, 8))
-            counts.append(np.frombuffer(body, "<u8", offset=8 + 4 * k))
+            data = zstandard.ZstdDecompressor().decompress(body)
+            k = int.from_bytes(data[:8], "little")
+            scores.append(_unplanes(data, "<f4", k, 8))
+            counts.append(_unplanes(data, "<u8", (len(data) - 8 - 4 * k) // 8, 8 + 4 * k))
         by_gram = np.empty(len(grams))
         by_gram[np.argsort(bucket_of(mix64(grams >> U64(8)), buckets), kind="stable")] = np.concatenate(scores)
         owner = np.repeat(np.arange(len(g.sizes)), g.sizes)
@@ -353,6 +370,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes:
     asked = blocks.filter("slot >= 0").select("block", "slot", "body")
     merged = cut(asked.groupBy("slot").applyInArrow(_merge(buckets), _MERGED))
     n, v = merged.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    release(spark)
     name = F.coalesce(docs[key].cast("string"), F.lit(""))
     training = docs.filter(F.crc32(name) % FOLDS != HELD).count()
 
