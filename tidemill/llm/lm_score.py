@@ -186,7 +186,11 @@ def _unpair(body: bytes, value: str) -> tuple[np.ndarray, np.ndarray, bytes]:
 def _ask(buckets: int):
     def ask(block: Block) -> list[bytes]:
         g = _Grams(block, buckets)
-        marked, n = np.unique(g.grams << U64(1) | np.repeat(g.held, g.sizes).astype(U64), return_counts=True)
+        marked = g.grams
+        del g.grams  # the largest array of a block: changed in place
+        marked <<= U64(1)
+        np.bitwise_or(marked, np.repeat(g.held, g.sizes), out=marked)
+        marked, n = np.unique(marked, return_counts=True)
         grams, place = np.unique(marked >> U64(1), return_inverse=True)
         counts = np.bincount(place, n * (marked & U64(1) == 0), len(grams)).astype("<u4")
         slots = bucket_of(mix64(grams >> U64(8)), buckets)
@@ -329,7 +333,7 @@ def _finish(buckets: int, training: int, n: int, v: int):
 
     def use(number: int, block: Block, replies: dict[int, bytes]) -> pa.Table:
         g = _Grams(block, buckets)
-        grams, place = np.unique(g.grams, return_inverse=True)
+        grams = np.unique(g.grams)
         scores, counts = [], []
         for body in replies.values():
             data = zstandard.ZstdDecompressor().decompress(body)
@@ -338,8 +342,9 @@ def _finish(buckets: int, training: int, n: int, v: int):
             counts.append(_unplanes(data, "<u8", (len(data) - 8 - 4 * k) // 8, 8 + 4 * k))
         by_gram = np.empty(len(grams))
         by_gram[np.argsort(bucket_of(mix64(grams >> U64(8)), buckets), kind="stable")] = np.concatenate(scores)
-        owner = np.repeat(np.arange(len(g.sizes)), g.sizes)
-        score = np.bincount(owner, by_gram[place], len(g.sizes))
+        parts = range(0, len(g.grams), 1 << 20)
+        at_each = np.concatenate([by_gram[np.searchsorted(grams, g.grams[k : k + (1 << 20)])] for k in parts])
+        score = np.add.reduceat(at_each, np.cumsum(g.sizes) - g.sizes)
         by_word = np.zeros(len(g.words.vocab), np.int64)
         by_word[g.word_order()[0]] = np.concatenate(counts)
         sizes = np.diff(g.words.starts)
