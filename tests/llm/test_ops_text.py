@@ -88,9 +88,10 @@ def test_main_text(spark):
     assert html_text.extract(PAGE.replace("</footer></body></html>", "")) == expected
     bare = PAGE.replace("<article>", "<div>").replace("</article>", "</div>")
     assert html_text.extract(bare).startswith("A headline\nFirst bold")
-    for nothing in (None, "", "<nav>only</nav>", "<script>x", "<", "<!--", "<p class='"):
-        assert html_text.extract(nothing) == ("" if nothing != "<" else "<") or nothing == "<p class='"
+    for nothing in (None, "", "<nav>only</nav>", "<script>x", "<!--", "<p>", " \n"):
+        assert html_text.extract(nothing) == ""
     assert html_text.extract("just text") == "just text"
+    assert html_text.extract("<p class='ad'>buy this thing now, it is very cheap<p>Kept words of an article that go on for a while.") == "Kept words of an article that go on for a while."
     rows = html_text.extract_pages(spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y")], "page_id long, url string, html string, text string")).collect()
     assert [tuple(r) for r in rows] == [(1, "u", expected, len(expected)), (2, None, "", 0)]
     assert html_text.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
@@ -108,7 +109,7 @@ def test_many_pages_give_their_article():
 
 def test_windows_surge_and_dive():
     w = [0, 40, 0, 0, 0, 5, 0, 9, 30, 0, 0, 0, 0, 2]
-    assert html_text.spans(w) == [(1, 4), (5, 12)] or all(any(w[a:b]) for a, b in html_text.spans(w))
+    assert html_text.spans(w) == [(1, 2), (5, 9)]
     assert html_text.spans([]) == [] and html_text.spans([0, 0]) == []
 
 

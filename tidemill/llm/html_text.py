@@ -24,7 +24,7 @@ APART = frozenset("html body main article section div ul ol dl table form nav he
 #: Words in class, id or role that mark page furniture.
 FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|side-?bar|footer|masthead|site-?header|page-?header|cookies?|consent|"
-    r"notice|newsletter|subscribe|subscription|share|sharing|social|related|recommend\w*|comments?|respond|disqus|replies|popup|modal|overlay|toolbar|pagination|pager|"
+    r"notice|alert|gdpr|newsletter|subscribe|subscription|share|sharing|social|related|recommend\w*|comment\w*|respond|disqus|replies|popup|modal|overlay|toolbar|pagination|pager|"
     r"login|signup|search|widget|contentinfo|navigation|complementary|skip-?link)(?=$|[\s_-])",
     re.I,
 )
@@ -83,6 +83,8 @@ def lines(page: str) -> list[tuple[str, int]]:
             if not dropped and name not in ("title", "script", "style"):
                 out.end()
             continue
+        if dropped == ["p"] and not closing and name not in INLINE and name not in VOID:
+            dropped.clear()  # a paragraph ends where another block begins
         if dropped:
             if name in VOID:
                 continue
