@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemill.operators import compare
 from tidemill.operators import reliability as op
 from tidemill.registry import query, table
 
@@ -279,7 +280,4 @@ def setup_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("run")).agg(F.min("o_orderstatus").alias("status"), F.max(F.year("o_orderdate")).cast("string").alias("year"))
     voice = F.when(F.col("run") == "1-URGENT", "on")
     c = o.select("run", F.explode(F.map_filter(F.create_map(F.lit("status"), F.col("status"), F.lit("year"), F.col("year"), F.lit("voice"), voice), lambda k, v: v.isNotNull())).alias("setting", "v"))
-    a = c.filter("run = '1-URGENT'").select("setting", F.col("v").alias("base"))
-    b = c.filter("run = '5-LOW'").select("setting", F.col("v").alias("other"))
-    both = a.join(b, "setting", "full_outer").na.fill("default", ["base", "other"])
-    return both.filter(~F.col("base").eqNullSafe(F.col("other")))
+    return compare.settings_apart(c.filter("run = '1-URGENT'"), c.filter("run = '5-LOW'"), "setting", "v", "default")
