@@ -237,7 +237,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     Words are lower-cased (A to Z). Texts of which the shared shingles are at least 75 of 100 of all are linked;
     bands find such a pair with a chance of 1 - 2e-5 at the threshold itself, and more above. Null, empty and
-    blank texts have no shingles and no links. Rows with equal keys are one document. A row with a null key has
+    blank texts have no shingles and no links. Rows with equal keys are placed by their own text each. A row with a null key has
     no links and a null component, and is kept.
     """
     signed = cut(sign(docs, key, text))
