@@ -9,6 +9,9 @@ from pyspark.sql.window import Window
 from tidemill.functions import speech, text as fn
 from tidemill.registry import query, table
 
+#: Characters of a quote, and rows of the items' side up to which it is broadcast.
+QUOTE, BROADCAST_MOST = 20, 1_000_000
+
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(o_orderkey, said): a Korean sentence for each order, with its number, amount, date, a phone and an e-mail."""
@@ -104,12 +107,15 @@ def jamo_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT doc_id, item_id, count(*) AS shingles FROM d JOIN b USING (h) GROUP BY doc_id, item_id"
 )
 def section_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shingles of 40 characters that documents of up to 3,000 share with benchmark items, the first item of each
-    counting. Shingles are joined by hash; the items' side is small and the planner may broadcast it."""
-    one = lambda df, key: df.select(key, "text", F.explode(F.sequence(F.lit(1), F.length("text") - 39)).alias("i")).select(key, F.md5(F.expr("substring(text, i, 40)")).alias("h"))
-    b = one(table(spark, sf_dir, "benchmark").filter("length(text) >= 40"), "item_id").groupBy("h").agg(F.min("item_id").alias("item_id"))
-    d = one(table(spark, sf_dir, "documents").filter("length(text) BETWEEN 40 AND 3000"), "doc_id")
-    return d.join(b, "h").groupBy("doc_id", "item_id").agg(F.count_distinct("h").alias("shingles"))
+    """Runs of 20 characters of squashed text that documents of any length share with benchmark items, the first item
+    of each counting. A task sends each run of a document once; the items' side is broadcast if it was counted small.
+
+    The registered SQL is narrower: runs of 40 characters of unsquashed texts of up to 3,000 characters.
+    """
+    b = fn.pieces(table(spark, sf_dir, "benchmark"), "item_id", "text", QUOTE).groupBy("piece").agg(F.min("item_id").alias("item_id"))
+    d = fn.pieces(table(spark, sf_dir, "documents"), "doc_id", "text", QUOTE)
+    both = d.join(F.broadcast(b) if b.limit(BROADCAST_MOST + 1).count() <= BROADCAST_MOST else b, "piece")
+    return both.groupBy("doc_id", "item_id").agg(F.count_distinct("piece").alias("shingles"))
 
 
 @query(
