@@ -1,9 +1,15 @@
 """Queries cover whole tables: long documents, short quotes, rows with large ids."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from tidemill import plans
 
+DATA = "/root/testdata/sf0.001"
+needs_tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+
 
 def test_quotes_are_found_in_long_documents_and_across_white_space(spark, tmp_path):
     passage = "Seven gray herons stood by the weir at dawn and no one spoke."
@@ -30,3 +36,27 @@ def test_quotes_are_found_in_long_documents_and_across_white_space(spark, tmp_pa
             expected[k, first[piece]] = expected.get((k, first[piece]), 0) + 1
     found = {(r.doc_id, r.item_id): r.shingles for r in plans.queries()["section_quotes"](spark, str(tmp_path)).collect()}
     assert found == expected and {k for k, _ in found} == {0, 1, 2, 5}
+
+
+FAR = 1_000_000
+
+
+def shifted(spark, tmp_path, name, key):
+    """A folder whose table ``name`` has the smallest test rows under ids that are FAR higher."""
+    t = spark.read.parquet(f"{DATA}/{name}.parquet")
+    t.withColumn(key, (F.col(key) + FAR).cast(t.schema[key].dataType)).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def same_far_away(spark, tmp_path, name, query, key, found):
+    """A query gives the same rows for high ids as for low ones."""
+    near, far = (plans.queries()[query](spark, d) for d in (DATA, shifted(spark, tmp_path, name, key)))
+    back = lambda df, by: sorted(repr([v - by if c == found else v for c, v in zip(df.columns, r)]) for r in df.collect())
+    rows = back(near, 0)
+    assert rows and back(far, FAR) == rows
+
+
+@needs_tables
+@pytest.mark.parametrize("query", ["entity_survival", "verbalized", "spoken_back", "respelled"])
+def test_sentences_of_orders_with_large_ids(spark, tmp_path, query):
+    same_far_away(spark, tmp_path, "orders", query, "o_orderkey", "o_orderkey")
