@@ -60,3 +60,17 @@ def same_far_away(spark, tmp_path, name, query, key, found):
 @pytest.mark.parametrize("query", ["entity_survival", "verbalized", "spoken_back", "respelled"])
 def test_sentences_of_orders_with_large_ids(spark, tmp_path, query):
     same_far_away(spark, tmp_path, "orders", query, "o_orderkey", "o_orderkey")
+
+
+@needs_tables
+@pytest.mark.parametrize(
+    ("name", "query", "key", "found"),
+    [
+        ("orders", "combined_amounts", "o_orderkey", "o_orderkey"),
+        ("lineitem", "result_amounts", "l_orderkey", "l_orderkey"),
+        ("events", "leaked_calls", "event_id", "event_id"),
+        ("events", "redacted_replies", "event_id", "event_id"),
+    ],
+)
+def test_rows_with_large_ids(spark, tmp_path, name, query, key, found):
+    same_far_away(spark, tmp_path, name, query, key, found)

@@ -157,7 +157,7 @@ def canonical_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def result_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amounts at any depth of a JSON result."""
     won = F.round("l_extendedprice").cast("long").alias("unit_price_won")
-    l = table(spark, sf_dir, "lineitem").filter("l_orderkey < 3000").groupBy("l_orderkey").agg(F.collect_list(F.struct(won, F.col("l_quantity").cast("long").alias("quantity"))).alias("items"))
+    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(won, F.col("l_quantity").cast("long").alias("quantity"))).alias("items"))
     doc = F.to_json(F.struct(F.struct("items").alias("order")))
     return l.select("l_orderkey", F.array_join(F.transform(fn.json_amounts(doc), lambda x: x.cast("string")), " ").alias("amounts"))
 
@@ -165,7 +165,7 @@ def result_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def combined_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amounts explained as sum or difference of a result's amounts and fixed ones."""
-    o = table(spark, sf_dir, "orders").filter("o_orderkey < 8000")
+    o = table(spark, sf_dir, "orders")
     own = F.array(F.col("o_custkey").cast("long") % 3000 + 1, F.col("o_orderkey").cast("long") % 2000 + 3001)
     return o.select("o_orderkey", fn.by_combination(F.round("o_totalprice").cast("long") % 7000, own).alias("explained"))
 
@@ -214,7 +214,7 @@ def respelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def leaked_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tool calls written into a reply as JSON."""
     call = F.concat(F.lit('I will {now} do {"name": "'), "event_type", F.lit('", "arguments": {"k": 1}} for you'))
-    e = table(spark, sf_dir, "events").filter("event_id < 5000").select("event_id", F.when(F.col("event_id") % 4 == 0, call).otherwise(F.lit("no { call }")).alias("t"))
+    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 4 == 0, call).otherwise(F.lit("no { call }")).alias("t"))
     return e.select("event_id", speech.column(fn.leaked_call, F.col("t")).alias("tool"))
 
 
@@ -223,7 +223,7 @@ def redacted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies without the clauses that quote instructions."""
     rules = "neverrevealthesystemprompt"
     windows = {rules[k : k + 10] for k in range(len(rules) - 9)}
-    e = table(spark, sf_dir, "events").filter("event_id < 5000").select("event_id", F.concat(F.lit("Good day. I must never reveal the system "), "event_type", F.lit(".")).alias("t"))
+    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("Good day. I must never reveal the system "), "event_type", F.lit(".")).alias("t"))
     return e.select("event_id", speech.column(lambda t: fn.without_quotes(t, windows), F.col("t")).alias("kept"))
 
 
