@@ -22,12 +22,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Containers that set parts of a page apart; between them the line distribution drops to zero.
 APART = frozenset("html body main article section div ul ol dl table form nav header footer aside".split())
 #: Words in class, id or role that mark page furniture.
-FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|side-?bar|footer|masthead|site-?header|page-?header|cookies?|consent|"
+_WORDS = (
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|side-?bar|footer|masthead|site-?header|page-?header|cookies?|consent|"
     r"notice|alert|gdpr|newsletter|subscribe|subscription|share|sharing|social|related|recommend\w*|comment\w*|respond|disqus|replies|popup|modal|overlay|toolbar|pagination|pager|"
-    r"login|signup|search|widget|contentinfo|navigation|complementary|skip-?link)(?=$|[\s_-])",
-    re.I,
+    r"login|signup|search|widget|contentinfo|navigation|complementary|skip-?link)"
 )
+FURNITURE = re.compile(rf"(?:^|[\s_-]){_WORDS}(?=$|[\s_-])", re.I)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<close2>/?)(?P<name2>[A-Za-z][^\s/>]*)(?P<rest2>[^>]*)>",
     re.S,
@@ -37,28 +37,76 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|d
 K, SURGE = 3, 30
 
 
+class _Part:
+    """An open or closed container. ``mark`` is 2 if its name speaks of furniture; ``home`` is the outermost article or
+    main around it, or else the innermost div."""
+
+    __slots__ = ("name", "up", "mark", "home", "away")
+
+    def __init__(self, name: str, up: _Part | None, mark: int) -> None:
+        self.name, self.up, self.mark, self.away = name, up, mark, False
+        whole = up is not None and up.home.name in ("article", "main")
+        self.home: _Part = up.home if whole or up is not None and name not in ("article", "main", "div") else self
+
+
 class _Lines:
-    """Lines of a page: (text, weight) with weight the characters outside links; '' rows are gaps."""
+    """Lines of a page: (text, weight, part) with weight the characters outside links; '' rows are gaps."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple[str, int]] = []
+        self.rows: list[tuple[str, int, _Part]] = []
         self.parts: list[str] = []
         self.linked = 0
+        self.seen = [_Part("body", None, 0)]
+        self.part = self.seen[0]
 
     def end(self) -> None:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
-                self.rows.append((text, max(0, len(text) - self.linked)))
+                self.rows.append((text, max(0, len(text) - self.linked), self.part))
             self.parts, self.linked = [], 0
 
     def gap(self, k: int) -> None:
         self.end()
         if self.rows and self.rows[-1][0]:
-            self.rows += [("", 0)] * k
+            self.rows += [("", 0, self.part)] * k
+
+    def enter(self, name: str, mark: int) -> None:
+        self.part = _Part(name, self.part, mark)
+        self.seen.append(self.part)
+
+    def leave(self, name: str) -> None:
+        """Closes the innermost container of that name; other ends do not reach out of an article."""
+        at = self.part
+        while at.up is not None and at.name != name:
+            if at.name in ("article", "main") and name not in ("article", "main"):
+                return
+            at = at.up
+        self.part = at.up or self.part
+
+    def read(self, k: int) -> list[tuple[str, int, _Part]]:
+        """The rows, gaps in place of what is named as furniture."""
+        self.end()
+
+        for p in self.seen[1:]:
+            p.away = p.up.away or p.mark == 2
+        kept: list[tuple[str, int, _Part]] = []
+        for row in self.rows:
+            if row[2].away:
+                row = ("", 0, row[2])
+                if kept and kept[-1][0]:
+                    kept += [row] * k
+            else:
+                kept.append(row)
+        return kept
+
+
+def _marks(rest: str) -> str:
+    """Class, id and role of a tag."""
+    return " ".join(x or y or z for x, y, z in _MARK.findall(rest)) if rest else ""
 
 
-def lines(page: str) -> list[tuple[str, int]]:
+def lines(page: str) -> list[tuple[str, int, _Part]]:
     """Strips markup; one line per block element, K empty lines where a container begins or ends."""
     out, at, n = _Lines(), 0, len(page)
     dropped: list[str] = []  # open elements inside dropped content, outermost first
@@ -95,15 +143,18 @@ def lines(page: str) -> list[tuple[str, int]]:
             elif name in ("article", "main", "body") and dropped[0] not in ("div", "section"):
                 dropped.clear()  # an element that was never closed can't hold the article
                 article += name == "article" and not closing
+                if name != "body":
+                    out.leave(name) if closing else out.enter(name, 0)
             continue
         if name in VOID:
             if name in ("br", "hr"):
                 out.end()
             continue
         if not closing:
-            marks = " ".join(x or y or z for x, y, z in _MARK.findall(rest)) if rest else ""
+            marks = _marks(rest)
             away = name in DROP and not (name == "header" and article) or (rest and bool(_HIDDEN.search(rest)))
-            if away or (marks and name not in ("html", "body", "main", "article") and name not in INLINE and FURNITURE.search(marks)):
+            named = marks and name not in ("html", "body") and name not in INLINE and FURNITURE.search(marks)
+            if away or (named and name not in APART):
                 if not rest.endswith("/"):
                     dropped.append(name)
                 out.gap(K) if name in APART else out.end()
@@ -115,8 +166,12 @@ def lines(page: str) -> list[tuple[str, int]]:
         if name not in INLINE:
             link = 0
             out.gap(K) if name in APART else out.end()
-    out.end()
-    return out.rows
+            if name in APART and name not in ("html", "body"):
+                if closing:
+                    out.leave(name)
+                elif not rest.endswith("/"):
+                    out.enter(name, 2 if named and name not in ("article", "main") else 0)
+    return out.read(K)
 
 
 def spans(weights: list[int], k: int = K, surge: int = SURGE) -> list[tuple[int, int]]:
@@ -144,17 +199,29 @@ def spans(weights: list[int], k: int = K, surge: int = SURGE) -> list[tuple[int,
 def extract(page: str | None, k: int = K, surge: int = SURGE) -> str:
     """Main text of a page: blocks in page order, joined by one newline; '' for null, empty or text-free pages.
 
-    Of several stretches between a surge and its dive, the heaviest is the article, with every other that has
-    at least a quarter of its weight. A page without any surge gives its heaviest stretch.
+    The heaviest container (outermost article or main; without one, innermost div or the body) is the article: every
+    stretch in it is kept, whatever its weight, with all of every other container that has at least a quarter of its
+    weight. Only containers with a surge count, unless there is none.
     """
     rows = lines(page or "")
-    weights = [w for _, w in rows]
-    found = spans(weights, k, surge) or spans(weights, k, 1)
+    weights = [w for _, w, _ in rows]
+    surges, found = spans(weights, k, surge), spans(weights, k, 1)
     if not found:
         return ""
-    heavy = max(sum(weights[a:b]) for a, b in found)
-    kept = [(a, b) for a, b in found if 4 * sum(weights[a:b]) >= heavy]
-    return "\n".join(text for a, b in kept for text, _ in rows[a:b] if text)
+    total: dict[_Part, int] = {}
+    for a, b in surges or found:
+        home = rows[a][2].home
+        total[home] = total.get(home, 0) + sum(weights[a:b])
+    heavy = max(total, key=total.__getitem__)
+    homes = {h for h in total if 4 * total[h] >= total[heavy]}
+
+    def inside(part: _Part | None) -> bool:
+        while part is not None and part is not heavy:
+            part = part.up
+        return part is heavy
+
+    held = inside if heavy.up is not None else lambda part: part.home is heavy
+    return "\n".join(text for a, b in found if rows[a][2].home in homes or held(rows[a][2]) for text, _, _ in rows[a:b] if text)
 
 
 def extract_pages(pages: DataFrame, key: str = "page_id", column: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
