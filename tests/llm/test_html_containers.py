@@ -16,3 +16,22 @@ def test_short_parts_of_an_article_stay():
             "<div><p>Some other box with a line of text that is not short.</p></div></body>"
         )
         assert html_text.extract(page) == "\n".join(["A headline of its own", LONG, "After the advert.", "one", "two", "cell", "Short section.", "End."]), around
+
+
+@pytest.mark.parametrize("wrapper", ['class="content has-sidebar"', 'id="search-results"', 'class="post social-share-on"', 'class="widget"'])
+@pytest.mark.parametrize("element", ["div", "section"])
+def test_a_wrapper_may_have_a_furniture_word(wrapper, element):
+    page = f"<body><{element} {wrapper}><article><p>{LONG}</p><p>End.</p></article></{element}><p>Some small print that is not the article.</p>"
+    assert html_text.extract(page) == f"{LONG}\nEnd."
+
+
+def test_a_heavy_container_is_not_dropped_for_part_of_its_name():
+    page = f'<body><div class="content has-sidebar"><p>{LONG}</p><div class="share-box"><p>Share this text with everyone you know.</p></div><p>End.</p></div>'
+    assert html_text.extract(page) == f"{LONG}\nEnd."
+
+
+def test_furniture_stays_out():
+    box = "<p>" + "Great text, I liked it a lot. " * 90 + "</p>"
+    for kind in ('class="sidebar"', 'id="comments"', 'class="cookie-notice"', 'class="left newsletter_signup"', 'role="complementary"'):
+        page = f"<body><div {kind}>{box}<article class='comment'>{box}</article></div><article><p>{LONG}</p></article></body>"
+        assert html_text.extract(page) == LONG

@@ -28,6 +28,8 @@ _WORDS = (
     r"login|signup|search|widget|contentinfo|navigation|complementary|skip-?link)"
 )
 FURNITURE = re.compile(rf"(?:^|[\s_-]){_WORDS}(?=$|[\s_-])", re.I)
+#: A name that consists of such words alone.
+FURNITURE_ONLY = re.compile(rf"(?:^|\s){_WORDS}(?:[_-]{_WORDS})*(?=$|\s)", re.I)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<close2>/?)(?P<name2>[A-Za-z][^\s/>]*)(?P<rest2>[^>]*)>",
     re.S,
@@ -38,13 +40,13 @@ K, SURGE = 3, 30
 
 
 class _Part:
-    """An open or closed container. ``mark`` is 2 if its name speaks of furniture; ``home`` is the outermost article or
-    main around it, or else the innermost div."""
+    """An open or closed container. ``mark`` says how its name speaks of furniture: 2 with nothing else, 1 among other
+    words, 0 not at all; ``home`` is the outermost article or main around it, or else the innermost div."""
 
-    __slots__ = ("name", "up", "mark", "home", "away")
+    __slots__ = ("name", "up", "mark", "home", "weight", "away")
 
     def __init__(self, name: str, up: _Part | None, mark: int) -> None:
-        self.name, self.up, self.mark, self.away = name, up, mark, False
+        self.name, self.up, self.mark, self.weight, self.away = name, up, mark, 0, False
         whole = up is not None and up.home.name in ("article", "main")
         self.home: _Part = up.home if whole or up is not None and name not in ("article", "main", "div") else self
 
@@ -85,11 +87,21 @@ class _Lines:
         self.part = at.up or self.part
 
     def read(self, k: int) -> list[tuple[str, int, _Part]]:
-        """The rows, gaps in place of what is named as furniture."""
+        """The rows, gaps in place of furniture: what is named so alone, or among other words with less than a quarter
+        of the weight outside the former. An article or main within is not furniture unless it is named so."""
         self.end()
 
-        for p in self.seen[1:]:
-            p.away = p.up.away or p.mark == 2
+        def judge(light: int) -> None:
+            for p in self.seen:
+                free = p.name in ("article", "main") and not p.mark
+                p.away = not free and (p.up is not None and p.up.away or p.name not in ("article", "main") and (p.mark == 2 or p.mark == 1 and 4 * p.weight < light))
+
+        judge(0)
+        for _, w, part in self.rows:
+            part.weight += 0 if part.away else w
+        for p in reversed(self.seen[1:]):
+            p.up.weight += p.weight
+        judge(self.seen[0].weight)
         kept: list[tuple[str, int, _Part]] = []
         for row in self.rows:
             if row[2].away:
@@ -144,7 +156,7 @@ def lines(page: str) -> list[tuple[str, int, _Part]]:
                 dropped.clear()  # an element that was never closed can't hold the article
                 article += name == "article" and not closing
                 if name != "body":
-                    out.leave(name) if closing else out.enter(name, 0)
+                    out.leave(name) if closing else out.enter(name, 1 if FURNITURE.search(_marks(rest)) else 0)
             continue
         if name in VOID:
             if name in ("br", "hr"):
@@ -170,7 +182,7 @@ def lines(page: str) -> list[tuple[str, int, _Part]]:
                 if closing:
                     out.leave(name)
                 elif not rest.endswith("/"):
-                    out.enter(name, 2 if named and name not in ("article", "main") else 0)
+                    out.enter(name, 0 if not named else 2 if FURNITURE_ONLY.search(marks) else 1)
     return out.read(K)
 
 
