@@ -83,25 +83,24 @@ def paired_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_pass_1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval of mean pass^1 over 10,000 resamples, tasks pooled into 97 groups."""
+    """Interval of mean pass^1 over 10,000 resamples of the tasks."""
     by = op.trials_by_task(trials(spark, sf_dir), "task", "passed").select("task", (F.col("c") / F.col("n")).alias("rate"))
-    return op.resampled(by.groupBy((F.col("task") % 97).alias("group")).agg(F.avg("rate").alias("rate")), op.mean_of(1))
+    return op.resampled(by, op.mean_of(1))
 
 
 @query()
 def bootstrap_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval of the mean paired difference between two runs, resampled by groups of tasks."""
+    """Interval of the mean paired difference between two runs, resampled by task."""
     a, z = _halves(spark, sf_dir)
-    groups = op.paired(a, z, "task", 1).groupBy((F.col("task") % 97).alias("group")).agg(F.avg("difference").alias("difference"))
-    return op.resampled(groups, op.mean_of(1))
+    return op.resampled(op.paired(a, z, "task", 1), op.mean_of(1))
 
 
 @query()
 def bootstrap_pooled_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval of the difference of two pooled ratios, sums taken anew in each resample."""
     a, z = _halves(spark, sf_dir)
-    both = a.join(z.withColumnsRenamed({"n": "n2", "c": "c2"}), "task").groupBy((F.col("task") % 97).alias("group"))
-    return op.resampled(both.agg(*(F.sum(c).alias(c) for c in ("c", "n", "c2", "n2"))), op.pooled_ratio(1, 2, 3, 4), seed=20261005)
+    both = a.join(z.withColumnsRenamed({"n": "n2", "c": "c2"}), "task").select("task", "c", "n", "c2", "n2")
+    return op.resampled(both, op.pooled_ratio(1, 2, 3, 4), seed=20261005)
 
 
 _SEGMENTS = (
@@ -143,8 +142,7 @@ def sign_flip_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sign_flip_monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p by drawn sign patterns, for more differences than can be enumerated."""
     a, z = _halves(spark, sf_dir)
-    groups = op.paired(a, z, "task", 1).groupBy((F.col("task") % 53).alias("group")).agg(F.avg("difference").alias("d"))
-    return op.sign_flip(groups, "group", "d")
+    return op.sign_flip(op.paired(a, z, "task", 1), "task", "difference")
 
 
 @query(
