@@ -92,11 +92,10 @@ def plain_components(rows):
     return {i: (len(sets[i]), None if i is None else find(i), i is None or find(i) == i) for i in sets}
 
 
-@pytest.mark.parametrize("small", [neardup.SMALL, 1])
-def test_components(spark, monkeypatch, small):
-    monkeypatch.setattr(neardup, "SMALL", small)
-    monkeypatch.setattr(neardup, "QUERIES", neardup.QUERIES if small > 1 else 2)
-    monkeypatch.setattr(neardup, "MET", neardup.MET if small > 1 else 3)
+@pytest.mark.parametrize("queries, met, edges", [(neardup.QUERIES, neardup.MET, neardup.EDGES), (60, 90, 2)])
+def test_components(spark, monkeypatch, queries, met, edges):
+    for name, value in (("QUERIES", queries), ("MET", met), ("EDGES", edges)):
+        monkeypatch.setattr(neardup, name, value)
     docs = corpus(spark, seed=9)
     expected = plain_components(docs.collect())
     found = neardup.classes(docs).collect()
@@ -108,6 +107,36 @@ def test_components(spark, monkeypatch, small):
     assert neardup.classes(docs.limit(0)).count() == 0
 
 
+def test_only_null_and_blank_texts(spark):
+    docs = spark.createDataFrame([(1, None), (2, " \n"), (3, ""), (None, None)], "doc_id long, text string").repartition(4)
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.classes(docs).collect()}
+    assert found == {1: (0, 1, True), 2: (0, 2, True), 3: (0, 3, True), None: (0, None, True)}
+
+
+def test_null_text_alone_in_its_partition(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(7, None)], "doc_id long, text string").union(spark.createDataFrame([(8, text), (9, text)], "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in neardup.classes(docs).collect()} == {7: 7, 8: 8, 9: 8}
+
+
+def test_large_bucket_with_several_components(spark, monkeypatch):
+    """One bucket whose smallest document is linked to few members: the others are found by holding outsiders against all."""
+    monkeypatch.setattr(neardup, "QUERIES", 400)
+    monkeypatch.setattr(neardup, "MET", 700)
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(160)]
+    rows = []
+    for d in range(70):
+        words = list(base)
+        for _ in range(rng.choice([0, 2, 4, 6, 8])):
+            words[rng.randrange(160)] = f"x{rng.randrange(9999)}"
+        rows.append((d, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    expected = plain_components(docs.collect())
+    assert len({c for _, c, _ in expected.values()}) > 3
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.classes(docs).collect()} == expected
+
+
 def test_stars_find_the_smallest_id(spark):
     rng = random.Random(10)
     edges = [(k, k + 1) for k in range(100, 130)] + [(500, k) for k in range(501, 560)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(80)] + [(5, 5), (130, 100)]

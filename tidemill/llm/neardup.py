@@ -1,21 +1,19 @@
 """MinHash near-duplicate detection: universal hash minima, banding, signature check, exact check, components.
 
 Equal word sequences are one node from the start, so copies never meet each other. Buckets are never expanded
-into all pairs: first every member of a bucket is held against the bucket's smallest document; components of the
-links found join most of each bucket. Of buckets that still hold several components, small ones are expanded into the pairs
-between these, and in large ones the members outside the most common component are a query set that is held, in
-blocks, against all members.
+into all pairs: first every member of a bucket is held against the bucket's smallest document, and components of the
+links found join most of each bucket. In buckets that still hold several components, the members outside the most
+common one are a query set that is held, in blocks of bounded bytes, against all members.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import LOWER, U64, Rolling, Words, cut, each_run, mix64, utf8
@@ -26,8 +24,10 @@ ROWS, BANDS = 5, 40
 LEAST_EQUAL = round(ROWS * BANDS * (0.75 - 6 * (0.75 * 0.25 / (ROWS * BANDS)) ** 0.5))
 #: Ids (8 bytes each) up to which a list of documents is broadcast instead of joined by shuffling the texts.
 BROADCAST_IDS = 1_000_000
-#: Most members of a bucket that is expanded into pairs; documents in a block of queries, and of those it meets.
-SMALL, QUERIES, MET = 24, 256, 4096
+#: Shingles (8 bytes each) in a block of queries, and of the documents that it meets.
+QUERIES, MET = 1 << 21, 1 << 22
+#: Links (16 bytes each) in a partition while components are sought, at least: few links need few tasks.
+EDGES = 1 << 14
 _RUN = 4 << 20
 _CHUNK = 1 << 15
 
@@ -71,41 +71,33 @@ def minima(hashes: np.ndarray, edges: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def band_keys(signatures: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    """One 64-bit key for every band of a signature; the band's number is part of it."""
-    high = (signatures >> U64(32)).reshape(len(signatures), -1, rows)
-    keys = np.broadcast_to(np.arange(high.shape[1], dtype=U64), high.shape[:2])
-    for r in range(rows):
-        keys = mix64(keys * U64(0x100000001B3) + high[:, :, r])
-    return keys
+def band_keys() -> Column:
+    """64-bit keys of a sketch's bands, ROWS minima each; the band's number is part of the key."""
+    return F.expr(f"transform(sequence(0, {BANDS - 1}), k -> xxhash64(k, substring(sketch, {2 * ROWS} * k + 1, {2 * ROWS})))")
 
 
 def sign(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, same, n, sketch, bands): digest of the word sequence, number of shingles, 16 bits of each minimum, band keys."""
+    """(id, same, n, sketch): digest of the word sequence, number of shingles, 16 bits of each minimum (null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in each_run(batches, "text", _RUN):
             texts = [utf8(x.as_py()).translate(LOWER) for x in t.column("text")]
             hashes, edges = shingle_hashes(texts)
             n = [len(np.unique(hashes[i:j])) for i, j in zip(edges[:-1].tolist(), edges[1:].tolist())]
-            found = minima(hashes, edges, ROWS * BANDS)
-            sketches = iter((found >> U64(48)).astype("<u2"))
-            keys = iter(band_keys(found).astype(np.int64))
-            some = [bool(k) for k in n]
+            sketches = iter((minima(hashes, edges, ROWS * BANDS) >> U64(48)).astype("<u2"))
             yield pa.RecordBatch.from_arrays(
                 [
                     t.column("id").combine_chunks(),
                     pa.array([hashlib.blake2b(b" ".join(x.split()), digest_size=16).digest() for x in texts], pa.binary()),
                     pa.array(n, pa.int64()),
-                    pa.array([next(sketches).tobytes() if s else None for s in some], pa.binary()),
-                    pa.array([next(keys) if s else None for s in some], pa.list_(pa.int64())),
+                    pa.array([next(sketches).tobytes() if k else None for k in n], pa.binary()),
                 ],
-                ["id", "same", "n", "sketch", "bands"],
+                ["id", "same", "n", "sketch"],
             )
 
     kind = docs.schema[key].dataType.simpleString()
     slim = docs.select(docs[key].alias("id"), docs[text].alias("text"))
-    return slim.mapInArrow(run, f"id {kind}, same binary, n long, sketch binary, bands array<long>")
+    return slim.mapInArrow(run, f"id {kind}, same binary, n long, sketch binary")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -163,7 +155,7 @@ def confirm(pairs: DataFrame, unique: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that are linked: signatures are compared first, full sets decide."""
     alike = cut(_where(_both(pairs, unique, "sketch"), _alike))
     sets = cut(_sets(only(docs, alike.select("a").union(alike.select("b")), "id")).dropDuplicates(["id"]))
-    return cut(_where(_both(alike, sets, "shingles"), _linked))
+    return _where(_both(alike, sets, "shingles"), _linked)
 
 
 def _meet(t: pa.Table) -> pa.Table:
@@ -189,47 +181,48 @@ def _meet(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in found.values()], kind), "b": pa.array([y for _, y in found.values()], kind)})
 
 
-def _meetings(labelled: DataFrame, torn: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links between components within large buckets. A bucket's family is its most common root; the members of a
-    family's buckets with another root are queries against all members."""
+def _meetings(labelled: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between components within buckets, of (band, id, n, root). A bucket's family is its most common root; the
+    members of a family's buckets with another root are queries against all members."""
     kind = docs.schema["id"].dataType.simpleString()
-    members = labelled.join(torn.select("band"), "band")
-    common = members.groupBy("band", "root").count().groupBy("band").agg(F.max(F.struct("count", "root")).alias("most")).select("band", F.col("most.root").alias("family"))
-    members = cut(members.join(common, "band").select("family", "id", "root").distinct())
+    roots = labelled.groupBy("band", "root").agg(F.count("*").alias("k"))
+    families = roots.groupBy("band").agg(F.max(F.struct("k", "root")).alias("most"), F.count("*").alias("roots")).filter("roots > 1")
+    members = labelled.join(families.select("band", F.col("most.root").alias("family")), "band")
+    members = cut(members.select("family", "id", "n", "root").distinct())
+    if members.isEmpty():
+        return members.select(F.col("id").alias("a"), F.col("id").alias("b"))
     parts = members.groupBy("family").agg(
-        F.ceil(F.count_if(F.col("root") != F.col("family")) / QUERIES).cast("int").alias("blocks"),
-        F.ceil(F.count("*") / MET).cast("int").alias("salts"),
+        F.ceil(F.coalesce(F.sum(F.when(F.col("root") != F.col("family"), F.col("n"))), F.lit(0)) / QUERIES).cast("int").alias("blocks"),
+        F.ceil(F.sum("n") / MET).cast("int").alias("salts"),
     )
     members = members.join(parts, "family")
     block, salt = F.pmod(F.xxhash64("id"), "blocks").cast("int"), F.pmod(F.xxhash64("id"), "salts").cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     queries = members.filter("root <> family").select("family", "id", "root", block.alias("block"), each("salts").alias("salt"), F.lit(True).alias("query"))
-    met = members.select("family", "id", "root", each("blocks").alias("block"), salt.alias("salt"), F.lit(False).alias("query"))
-    sets = cut(_sets(only(docs, members.select("id"), "id")).dropDuplicates(["id"]))
+    met = members.filter("blocks > 0").select("family", "id", "root", each("blocks").alias("block"), salt.alias("salt"), F.lit(False).alias("query"))
+    sets = _sets(only(docs, members.select("id"), "id")).dropDuplicates(["id"])
     rows = queries.union(met.select(*queries.columns)).join(sets, "id")
-    return cut(rows.groupBy("family", "block", "salt").applyInArrow(_meet, f"a {kind}, b {kind}"))
+    return rows.groupBy("family", "block", "salt").applyInArrow(_meet, f"a {kind}, b {kind}")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, root) for every id in ``links`` (a, b) but the roots: the smallest id that can be reached.
 
     Alternates large-star (every larger neighbour moves to the smallest known id) and small-star (the same for
-    smaller neighbours) until nothing changes. Minima are aggregated before they are joined back, so that an id
-    with very many neighbours is no group in one task.
+    smaller neighbours) until every id has either larger neighbours only or one, a smaller. Minima are aggregated
+    before they are joined back, so that an id with very many neighbours is no group in one task.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    edges, before = cut(edges), None
+    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    parts = edges.count() // EDGES + 1  # no round has more edges than this
     while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
+        ways = edges.select("u", "v").union(edges.select("v", "u")).toDF("x", "y").coalesce(parts)
+        least = cut(ways.groupBy("x").agg(F.min("y").alias("low"), F.count("*").alias("ways")).coalesce(parts))
+        if least.filter("low < x AND ways > 1").isEmpty():
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
-        before = now
-        ways = edges.select("u", "v").union(edges.select("v", "u")).toDF("x", "y")
-        least = ways.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = ways.join(least, "x").filter("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(moved.union(least.select("u", F.col("m").alias("v"))).distinct())
+        large = ways.join(least, "x").filter("y > x").select(F.col("y").alias("u"), F.least("low", "x").alias("v")).coalesce(parts)
+        low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts)
+        moved = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut(moved.union(low.select("u", F.col("m").alias("v"))).distinct().coalesce(parts))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -238,36 +231,23 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     Words are lower-cased (A to Z). Texts of which the shared shingles are at least 75 of 100 of all are linked;
     bands find such a pair with a chance of 1 - 2e-5 at the threshold itself, and more above. Null, empty and
     blank texts have no shingles and no links. Rows with equal keys are placed by their own text each. A row with a null key has
-    no links and a null component, and is kept.
+    no links and a null component, and is kept. An empty table gives an empty result; other columns are not read.
     """
     signed = cut(sign(docs, key, text))
     some = signed.filter("n > 0 AND id IS NOT NULL")
-    unique = cut(some.groupBy("same").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+    unique = cut(some.groupBy("same").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     whole = docs.select(docs[key].alias("id"), docs[text].alias("text"))
 
-    placed = unique.select("id", "n", F.explode("bands").alias("band"))
-    heads = placed.groupBy("band").agg(F.min(F.struct("id", "n")).alias("head"), F.count("*").alias("m")).filter("m > 1")
+    placed = unique.select("id", "n", F.explode(band_keys()).alias("band"))
+    heads = placed.groupBy("band").agg(F.min("id").alias("head"), F.min_by("n", "id").alias("head_n"), F.count("*").alias("m")).filter("m > 1")
     shared = cut(placed.join(heads, "band"))
-    near = "100 * least(n, {0}) >= 75 * greatest(n, {0})"
-    stars = cut(shared.filter("id <> head.id AND " + near.format("head.n")).select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct())
-    links = confirm(stars, unique, whole)
-
-    root = components(links)
-    labelled = cut(shared.filter("m > 2").join(root, "id", "left").select("band", "id", "n", F.coalesce("root", "id").alias("root")))
-    torn = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).filter("low <> high")
-    torn = cut(torn.select("band", "m"))
-    one = labelled.join(torn.filter(F.col("m") <= SMALL).select("band"), "band")
-    two = one.select("band", *(F.col(c).alias(f"{c}_2") for c in ("id", "n", "root")))
-    rest = one.join(two, "band").filter("id < id_2 AND root <> root_2 AND " + near.format("n_2")).select(F.col("id").alias("a"), F.col("id_2").alias("b")).distinct()
-    rest = cut(rest.join(stars, ["a", "b"], "left_anti"))
-    more = [root.toDF("a", "b")]
-    if not rest.isEmpty():
-        more.append(confirm(rest, unique, whole))
-    large = torn.filter(F.col("m") > SMALL)
-    if not large.isEmpty():
-        more.append(_meetings(labelled, large, whole))
-    if len(more) > 1:
-        root = components(reduce(DataFrame.union, more))
+    stars = shared.filter("id <> head AND 100 * least(n, head_n) >= 75 * greatest(n, head_n)").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    root = components(confirm(stars, unique, whole))
+
+    labelled = shared.filter("m > 2").join(root, "id", "left").select("band", "id", "n", F.coalesce("root", "id").alias("root"))
+    more = cut(_meetings(cut(labelled), whole))
+    if not more.isEmpty():
+        root = components(root.toDF("a", "b").union(more))
 
     first = unique.select("same", F.col("id").alias("rep")).join(root, F.col("rep") == root["id"], "left").select("same", F.coalesce("root", "rep").alias("root"))
     by = signed.select("id", "n", "same").join(first, "same", "left")
