@@ -8,8 +8,8 @@ the distinct keys of a block, never positions, and no key meets more than one en
 
 from __future__ import annotations
 
-import gc
 import hashlib
+import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -18,7 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space of every word split: space and the bytes 9 to 13.
 SPACE = r"\x20\x09-\x0D"
@@ -31,20 +32,27 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialises ``df`` in the checkpoint folder the session names, so that a lost executor costs a read."""
+    """Materialises ``df`` in the checkpoint folder the session names, so that a lost executor costs a read.
+
+    Where none is named, a local session gets a temporary one; a cluster, whose machines don't share such a folder, an error.
+    """
     sc = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemill-"))
     return df.checkpoint()
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle and checkpoint files that nothing refers to any more.
+def columns(docs: DataFrame, but: Iterable[str] = ()) -> list[str]:
+    """Names of the columns of ``docs`` but those named, in whatever case."""
+    skip = {c.lower() for c in but}
+    return [c for c in docs.columns if c.lower() not in skip]
 
-    It does so when the driver collects its garbage, which a driver with little to do may put off for long.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+def as_row(docs: DataFrame, name: str = "row") -> Column:
+    """All columns of ``docs`` as one, so that names that an operator uses can't clash with theirs."""
+    return F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias(name)
 
 
 def width(spark: SparkSession) -> int:

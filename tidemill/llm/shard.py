@@ -7,6 +7,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.common import as_row, columns
+
 SHARDS, SLOTS = 48, 5003
 
 
@@ -52,14 +54,13 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 def assign(docs: DataFrame, shards: list[str], slots: int = SLOTS, key: str = "doc_id", out: str = "shard") -> DataFrame:
     """``docs`` with ``slot`` and ``out`` (the shard's name) after its columns; no shuffle of ``docs``.
 
-    The table has ``slots`` rows whatever the input, so it may be broadcast. Equal keys go together. Columns of
-    ``docs`` that have a name of the two are replaced.
+    The table has ``slots`` rows whatever the input, so it may be broadcast. Equal keys go together, null keys to one
+    shard. Columns of ``docs`` that have a name of the two, in whatever case, are replaced. Rows stay one to one; an
+    empty table gives an empty result.
     """
     names = ",".join(str(s) for s in lookup_table(shards, slots))
-    spark = docs.sparkSession
-    table = spark.range(1).select(F.posexplode(F.split(F.lit(names), ",")).alias("slot_", "owner_"))
+    table = docs.sparkSession.range(1).select(F.posexplode(F.split(F.lit(names), ",")).alias("at", "owner"))
     listed = F.array(*(F.lit(s) for s in shards))
-    table = table.select(F.col("slot_").cast("long").alias("_slot_key"), F.element_at(listed, F.col("owner_").cast("int") + 1).alias("_slot_owner"))
-    kept = [docs[c] for c in docs.columns if c not in ("slot", out)]
-    placed = docs.select(*kept, slot_of(docs[key], slots).alias("slot"))
-    return placed.join(F.broadcast(table), placed["slot"] == F.col("_slot_key")).select(*(placed[c] for c in placed.columns), F.col("_slot_owner").alias(out))
+    table = table.select(F.col("at").cast("long").alias("at"), F.element_at(listed, F.col("owner").cast("int") + 1).alias("owner"))
+    placed = docs.select(as_row(docs), slot_of(docs[key], slots).alias("slot")).join(F.broadcast(table), F.col("slot") == F.col("at"))
+    return placed.select(*(F.col("row").getField(c).alias(c) for c in columns(docs, ("slot", out))), "slot", F.col("owner").alias(out))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import PACKED, U64, Block, Rolling, Words, answers, bucket_of, carried, cut, pack, packed, width, with_answers
+from tidemill.llm.common import PACKED, U64, Block, Rolling, Words, answers, bucket_of, carried, columns, cut, pack, packed, width, with_answers
 
 WINDOW = 50
 #: A perfect difference set: every residue modulo 31 is a difference of two of the six.
@@ -209,6 +209,11 @@ def remove_repeats(
     have no words and come back as empty or as they are. Rows with equal keys don't remove each other's words; a
     row with a null key keeps all and removes none. An empty table gives an empty result.
     """
+    return _repeats(docs, key, text, digest, carry, block_bytes).toDF(key, "n_words", "n_removed", "kept", *carry)
+
+
+def _repeats(docs: DataFrame, key: str, text: str, digest: bool, carry: Sequence[str], block_bytes: int) -> DataFrame:
+    """(id, n_words, n_removed, kept, carried_0, carried_1, ...) of every row."""
     buckets = width(docs.sparkSession)
     blocks = pack(docs, key, text, block_bytes, _ask_anchors(buckets), carry)
     anchors = cut(answers(blocks, _anchor_replies))
@@ -219,15 +224,15 @@ def remove_repeats(
         return _finish(block, [b for s, b in replies.items() if s < buckets], [b for s, b in replies.items() if s >= buckets], digest)
 
     more = "".join(f", carried_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
-    found = with_answers(blocks, both, use, f"id long, n_words long, n_removed long, kept string{more}")
-    return found.toDF(key, "n_words", "n_removed", "kept", *carry)
+    return with_answers(blocks, both, use, f"id long, n_words long, n_removed long, kept string{more}")
 
 
 def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
     """``docs``, same columns, with repeated passages cut out of ``text``; ``length``, where there is such a column,
-    becomes the new number of code points. A null text comes back empty."""
-    rest = [c for c in docs.columns if c not in (key, text)]
-    found = remove_repeats(docs, key, text, carry=rest).select(F.col(key).cast(docs.schema[key].dataType), F.col("kept").alias(text), *rest)
-    if length in rest:
-        found = found.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
-    return found.select(*docs.columns)
+    becomes the new number of code points. A null text comes back empty; otherwise as ``remove_repeats``, which says
+    what happens to null and repeated keys. Other columns may have any name."""
+    rest = columns(docs, (key, text))
+    found = _repeats(docs, key, text, False, rest, BLOCK)
+    new = {key.lower(): F.col("id").cast(docs.schema[key].dataType), text.lower(): F.col("kept")}
+    new |= {c.lower(): F.length("kept").cast(docs.schema[c].dataType) if c.lower() == length.lower() else F.col(f"carried_{k}") for k, c in enumerate(rest)}
+    return found.select(*(new[c.lower()].alias(c) for c in docs.columns))
