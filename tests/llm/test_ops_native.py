@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.llm import mix, quality, shard
+from tidemill.llm import mix, neardup, quality, shard, substring
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
 TEXTS = [None, "", " \n\t", "a", "the cat the cat the cat", "x y z x y z\nline\nline\n\nline ", "A#b* C|d <e> the of", "é ü\x0bß\x0cq\x1cz\x85w", "w " * 70 + "\nend", " ".join(f"w{k}" for k in range(300))]
@@ -110,10 +110,85 @@ def test_expectation_maximisation_finds_planted_accuracies():
         good = rng.random() < 0.7
         seen[tuple((1 if good == (rng.random() < p) else -1) if rng.random() < 0.9 else 0 for p in right)] += 1
     model = quality.expectation_maximisation(list(seen.items()), names)
-    assert abs(model.good - 0.7) < 0.05 and all(abs(x - p) < 0.06 for n, p in zip(names, right) for x in model.right[n])
+    assert abs(model.good - 0.7) < 0.05
+    for n, p in zip(names, right):
+        on_good, on_bad = model.chances[n]
+        assert on_good == pytest.approx((0.9 * (1 - p), 0.1, 0.9 * p), abs=0.06) and on_bad == pytest.approx((0.9 * p, 0.1, 0.9 * (1 - p)), abs=0.06)
     assert quality.expectation_maximisation([], names).good == pytest.approx(0.8)
 
 
+@pytest.mark.parametrize("on_bad, on_good", [(0.9, 0.01), (0.3, 0.3), (0.02, 0.6)])
+def test_rules_that_only_vote_bad_are_judged_by_how_they_fire(on_bad, on_good):
+    rng = random.Random(3)
+    names, seen = list("abcdefg"), collections.Counter()
+    for _ in range(30000):
+        good = rng.random() < 0.8
+        honest = [1 if good == (rng.random() < 0.85) else -1 for _ in range(3)]
+        seen[(*honest, *(-1 if rng.random() < (on_good if good else on_bad) else 0 for _ in range(4)))] += 1
+    model = quality.expectation_maximisation(list(seen.items()), names)
+    assert abs(model.good - 0.8) < 0.05
+    for n in names[3:]:
+        assert abs(model.chances[n][0][0] - on_good) < 0.05 and abs(model.chances[n][1][0] - on_bad) < 0.05
+        fired = model.weights(n)[0]
+        assert fired < -2 if on_bad > 0.5 else abs(fired) < 0.2
+    assert all(model.weights(n)[0] < -1 < 1 < model.weights(n)[2] for n in names[:3])
+
+
+def test_posterior_and_verdict_equal_a_plain_version(spark):
+    """All votes of all documents, weighed in Python by Bayes' rule under a model fitted document by document."""
+    docs = frame(spark, 400)
+    counted = quality.features(docs)
+    names = list(quality.rules())
+    rows = counted.select("*", *(v.alias("vote_" + n) for n, v in quality.rules().items())).collect()
+    left = [r for r in rows if r.n_words >= 50 and 100 * r.n_repeat_words <= 50 * r.n_words]
+    assert 10 < len(left) < len(rows)
+    chances = {n: quality.PRIOR for n in names}
+    good = quality.GOOD
+
+    def odds(r):
+        return math.log(good / (1 - good)) + sum(math.log(chances[n][0][r["vote_" + n] + 1] / chances[n][1][r["vote_" + n] + 1]) for n in names)
+
+    for _ in range(500):
+        p = [1 / (1 + math.exp(-odds(r))) for r in left]
+        tally = {n: [[2 * x for x in side] for side in quality.PRIOR] for n in names}
+        for r, x in zip(left, p):
+            for n in names:
+                tally[n][0][r["vote_" + n] + 1] += x
+                tally[n][1][r["vote_" + n] + 1] += 1 - x
+        chances = {n: tuple(tuple(x / sum(side) for x in side) for side in t) for n, t in tally.items()}
+        good = (sum(p) + 1.6) / (len(left) + 2)
+    judged = {tuple(r[c] for c in counted.columns): r for r in quality.judge(counted).collect()}
+
+    def weight(n, vote):
+        w = [math.log(g / b) for g, b in zip(*chances[n])]
+        return w[vote + 1] if w[0] <= 0 <= w[2] else 0.0
+
+    for r in rows:
+        found = judged[tuple(r[c] for c in counted.columns)]
+        expected = 1 / (1 + math.exp(-math.log(good / (1 - good)) - sum(weight(n, r["vote_" + n]) for n in names)))
+        failed = r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
+        assert found.posterior == pytest.approx(expected, abs=1e-4) and found.base_failed == failed
+        assert found.kept == (not failed and expected >= 0.5)
+
+
+def test_any_column_names(spark):
+    """Names that operators use themselves, in any case."""
+    text = " ".join(f"w{k}" for k in range(80))
+    schema = "doc_id long, text string, source string, Row string, KEPT int, n_words int, n_removed int, Slot int, _slot_key int, at int, owner string, id int, part int, place int, copies int, body string"
+    rows = [(1, text, "a", "r", *range(6), "o", 7, 8, 9, 10, "b"), (2, text + " end", None, None, *[None] * 6, None, *[None] * 4, None), (None, None, "a", "q", *range(6), "o", 7, 8, 9, 10, "b")]
+    docs = spark.createDataFrame(rows, schema)
+    placed = shard.assign(docs, ["s", "t"], 5)
+    assert placed.columns == [c for c in docs.columns if c != "Slot"] + ["slot", "shard"] and placed.count() == 3
+    cleaned = substring.clean(docs)
+    assert cleaned.columns == docs.columns
+    given, by = ({r.doc_id: r.asDict() for r in df.collect()} for df in (docs, cleaned))
+    given[2]["text"], given[None]["text"] = "end", ""
+    assert by == given
+    kept = quality.keep(docs)
+    assert kept.columns == docs.columns
+    assert mix.mix(docs).columns == docs.columns and neardup.deduplicate(docs).columns == docs.columns
+
+
 def test_shards_are_even_stable_and_leave_little_to_move(spark):
     names = [f"s{k}" for k in range(20)]
     table = shard.lookup_table(names, 5003)

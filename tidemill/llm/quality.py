@@ -1,7 +1,7 @@
 """Quality rules by weak supervision, with DataFrame functions only.
 
 Each rule votes good (1), bad (-1) or abstains (0) on a document. Expectation-maximisation over the counts of
-vote patterns estimates how often each rule is right about good and about bad documents; the posterior
+vote patterns estimates how often each rule casts each vote on good and on bad documents; the posterior
 probability of good then decides, so that no single rule rejects a document.
 """
 
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import SPACE, cut
+from tidemill.llm.common import SPACE, as_row, cut
 
 #: Fixed value: frequent short words of English, French, German and Spanish.
 STOP = (
@@ -96,55 +96,64 @@ def rules() -> dict[str, Column]:
     }
 
 
+#: What a vote says, in the order of a rule's chances.
+VOTES = (-1, 0, 1)
+#: Chances of VOTES on good and on bad documents before any is seen, and how many imagined documents of each class back them.
+PRIOR, BACKED = ((0.05, 0.35, 0.6), (0.6, 0.35, 0.05)), 2.0
+GOOD = 0.8
+
+
 @dataclass(frozen=True)
 class Model:
-    """Share of good documents, and for each rule the chance that a vote is right on good and on bad documents."""
+    """Share of good documents, and for each rule the chances of VOTES on good and on bad documents."""
 
     good: float
-    right: dict[str, tuple[float, float]]
+    chances: dict[str, tuple[tuple[float, ...], tuple[float, ...]]]
+
+    def weights(self, name: str) -> tuple[float, ...]:
+        """What each vote of a rule adds to the log odds of good: abstaining counts as it was seen to. A rule whose votes
+        speak for the other side (more bad votes on good documents, or the reverse) has no say."""
+        bad, none, good = (math.log(g / b) for g, b in zip(*self.chances[name]))
+        return (bad, none, good) if bad <= 0 <= good else (0.0, 0.0, 0.0)
 
     def posterior(self, votes: dict[str, Column]) -> Column:
-        """Probability of good given the votes; abstaining says nothing."""
+        """Probability of good given the votes."""
         log_odds = F.lit(math.log(self.good / (1 - self.good)))
-        for name, (on_good, on_bad) in self.right.items():
-            up, down = math.log(on_good / (1 - on_bad)), math.log((1 - on_good) / on_bad)
-            log_odds = log_odds + F.when(votes[name] > 0, up).when(votes[name] < 0, down).otherwise(0.0)
+        for name in self.chances:
+            bad, none, good = self.weights(name)
+            log_odds = log_odds + F.when(votes[name] > 0, good).when(votes[name] < 0, bad).otherwise(none)
         return F.lit(1.0) / (1 + F.exp(-log_odds))
 
 
-def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 200, slack: float = 1e-7) -> Model:
+def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 500, slack: float = 1e-7) -> Model:
     """Fits the model to counts of vote patterns (3 to the number of rules of them at most, whatever the corpus).
 
-    Starts from rules that are right eight times of ten. Estimates are held between 0.02 and 0.98 by adding two
-    imagined votes for each, and a rule's accuracies at 0.5 or more, which keeps the classes from changing places.
+    Every rule has chances of its own for a good vote, a bad vote and none, on good and on bad documents, so that a
+    rule that only ever votes bad is judged by how much more often it does so on bad documents. PRIOR, as imagined
+    documents, says which class is which, and keeps chances of votes that nobody cast above zero.
     """
     k = len(names)
-    good, right = 0.8, [(0.8, 0.8)] * k
-    patterns = sorted(patterns)
+    good, chances = GOOD, [PRIOR] * k
+    patterns = sorted((tuple(VOTES.index(v) for v in votes), count) for votes, count in patterns)
     for _ in range(rounds):
-        total = mass = 0.0
-        tally = [[0.0, 0.0, 0.0, 0.0] for _ in range(k)]  # right on good, voted on good, right on bad, voted on bad
+        logs = [[math.log(g / b) for g, b in zip(*c)] for c in chances]
+        start = math.log(good / (1 - good))
+        tally = [([BACKED * p for p in PRIOR[0]], [BACKED * p for p in PRIOR[1]]) for _ in range(k)]
+        total, mass = BACKED, BACKED * GOOD
         for votes, count in patterns:
-            odds = math.log(good / (1 - good))
-            for v, (g, b) in zip(votes, right):
-                if v:
-                    odds += math.log(g / (1 - b)) if v > 0 else math.log((1 - g) / b)
+            odds = start + sum(w[v] for w, v in zip(logs, votes))
             p = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
             total, mass = total + count, mass + count * p
-            for v, t in zip(votes, tally):
-                if v:
-                    t[0] += count * p * (v > 0)
-                    t[1] += count * p
-                    t[2] += count * (1 - p) * (v < 0)
-                    t[3] += count * (1 - p)
-        hold = lambda r, n: min(0.98, max(0.5, (r + 1.6) / (n + 2)))
-        new = [(hold(t[0], t[1]), hold(t[2], t[3])) for t in tally]
-        share = min(0.98, max(0.02, (mass + 1.6) / (total + 2)))
-        moved = max([abs(share - good), *(abs(x - y) for p, q in zip(new, right) for x, y in zip(p, q))])
-        good, right = share, new
+            for v, (on_good, on_bad) in zip(votes, tally):
+                on_good[v] += count * p
+                on_bad[v] += count * (1 - p)
+        new = [tuple(tuple(x / sum(side) for x in side) for side in t) for t in tally]
+        share = mass / total
+        moved = max([abs(share - good), *(abs(x - y) for n, o in zip(new, chances) for p, q in zip(n, o) for x, y in zip(p, q))])
+        good, chances = share, new
         if moved < slack:
             break
-    return Model(good, dict(zip(names, right)))
+    return Model(good, dict(zip(names, chances)))
 
 
 def fit(counted: DataFrame) -> Model:
@@ -169,7 +178,10 @@ def judge(counted: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def keep(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, columns unchanged. The model is fitted to all of them first."""
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[text].alias("body"))
-    model = fit(features(rows, "body", "body").drop("body"))
-    return judge(features(rows, "row", "body"), model).filter("kept").select("row.*")
+    """The rows of ``docs`` that are kept, columns and repeated rows unchanged, whatever the columns' names.
+
+    The model is fitted to all of them first; texts are counted once, and rows wait for the verdict with their counts
+    in the checkpoint folder. A null text counts as empty and goes. An empty table gives an empty result.
+    """
+    rows = docs.select(as_row(docs), docs[text].alias("body"))
+    return judge(features(rows, "row", "body")).filter("kept").select("row.*")
