@@ -19,29 +19,37 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def ranks(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with ``place``, from 0 by source in code-point order, null last: ranges of sources are ordered each by
+    its own task, and begin at the number of sources in the ranges before."""
+    order = F.col("source").asc_nulls_last()
+    ranges = cut(sizes.repartitionByRange(order).withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range, not each source
+    begins = ranges.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("begin"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(order))
+    return ranges.join(F.broadcast(begins), "part").select("source", "source_size", (F.col("begin") + within - 1).cast("long").alias("place"))
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size, target) from one row per (source, source_size).
 
     Weights 1, 2, 3, repeating, by the source's place in code-point order, null last. All sizes together are
     shared by weight; a target stops at MOST times its source's size and the excess is shared anew until none is
-    above. In order of size over weight, a source stops if its limit is no more than its part of what is left.
+    above. Each round is one sum over all sources: a source stops if its limit is no more than its part of what is left
+    to those that had not stopped. An empty table gives an empty result.
     """
-    everything = Window.partitionBy()
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    by_room = Window.orderBy("room", F.col("source").asc_nulls_last())
-    before = by_room.rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (
-        sizes.withColumn("weight", (F.row_number().over(by_name) - 1).cast("long") % 3 + 1)
-        .withColumn("room", F.col("source_size").cast("double") / F.col("weight"))
-        .withColumn("left", F.sum("source_size").over(everything) - F.coalesce(F.sum(F.col("source_size") * MOST).over(before), F.lit(0)))
-        .withColumn("among", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-        .withColumn("stops", (MOST * F.col("source_size")).cast("double") * F.col("among") <= F.col("weight").cast("double") * F.col("left"))
-    )
-    rest = ranked.withColumn("left", F.max(F.when(~F.col("stops"), F.col("left"))).over(everything)).withColumn(
-        "among", F.max(F.when(~F.col("stops"), F.col("among"))).over(everything)
-    )
-    shared = F.col("weight").cast("double") * F.col("left").cast("double") / F.col("among").cast("double")
-    return rest.select("source", "source_size", F.when(F.col("stops"), (MOST * F.col("source_size")).cast("double")).otherwise(shared).alias("target"))
+    ranked = cut(ranks(sizes).withColumn("weight", F.col("place") % 3 + 1))
+    size, weight = F.col("source_size"), F.col("weight")
+    left, among, stops = 0, 0, F.lit(False)
+    while True:
+        row = ranked.select(F.sum(size), F.sum(F.when(stops, MOST * size).otherwise(0)), F.sum(F.when(~stops, weight).otherwise(0))).first()
+        now = (row[0] or 0) - (row[1] or 0), row[2] or 0
+        if now == (left, among) or not now[1]:
+            break
+        left, among = now
+        stops = (MOST * size).cast("double") * F.lit(float(among)) <= weight.cast("double") * F.lit(float(left))
+    shared = weight.cast("double") * F.lit(float(left)) / F.lit(float(among or 1))
+    return ranked.select("source", "source_size", F.when(stops, (MOST * size).cast("double")).otherwise(shared).alias("target"))
 
 
 def draw(key: Column, seed: str = SEED) -> Column:
