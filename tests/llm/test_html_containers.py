@@ -1,5 +1,7 @@
 """Main text by container: short parts of an article stay, and names of wrappers do not lose it."""
 
+import random
+
 import pytest
 
 from tidemill.llm import html_text
@@ -35,3 +37,45 @@ def test_furniture_stays_out():
     for kind in ('class="sidebar"', 'id="comments"', 'class="cookie-notice"', 'class="left newsletter_signup"', 'role="complementary"'):
         page = f"<body><div {kind}>{box}<article class='comment'>{box}</article></div><article><p>{LONG}</p></article></body>"
         assert html_text.extract(page) == LONG
+
+
+@pytest.mark.parametrize("part", ['<div class="related-work"><p>{}</p></div>', '<p class="research-notice-board">{}</p>', '<blockquote class="social-quote">{}</blockquote>', "<aside>Side words<p>{}</p>", "<nav>Menu<div><p>{}</p></div>"])
+def test_names_that_only_contain_furniture_and_ends_that_are_missing(part):
+    page = f"<body><article><p>{LONG}</p>{part.format('Kept.')}<p>End.</p></article></body>"
+    assert html_text.extract(page) == f"{LONG}\nKept.\nEnd."
+
+
+@pytest.mark.parametrize("kind", ["comment-list", "site-nav", "ad-slot-1", "related-posts", "shareButtons", "sidebar__inner", "cookie-notice", "newsletter_signup"])
+def test_names_that_are_furniture_throughout(kind):
+    page = f"<body><article><p>{LONG}</p><div class='x {kind}'><p>{LONG}</p></div><p>End.</p></article></body>"
+    assert html_text.extract(page) == f"{LONG}\nEnd."
+
+
+def plain_spans(weights, k, surge):
+    """Windows one by one: lines with text reach as far as each window of k lines that ends at the next ones has some."""
+    padded = [0] * (k - 1) + list(weights) + [0] * k
+    window = lambda first: sum(padded[first + k - 1 : first + 2 * k - 1])  # noqa: E731  of lines first .. first + k - 1
+    out, i = [], 0
+    while i < len(weights):
+        j = i
+        while j < len(weights) and weights[i] and window(j):
+            j += 1
+        if weights[i] and any(window(f) >= surge for f in range(i - k + 1, j)):
+            out.append((i, j))
+        i = max(j, i + 1)
+    return out
+
+
+def test_surges_and_dives_equal_the_plain_ones():
+    rng = random.Random(14)
+    for _ in range(500):
+        weights = [rng.choice([0, 0, 0, 3, 9, 40]) for _ in range(rng.randint(0, 25))]
+        for surge in (1, 30):
+            assert html_text.spans(weights, 3, surge) == plain_spans(weights, 3, surge), weights
+
+
+def test_very_long_and_broken_pages():
+    paragraphs = [f"Paragraph {k} of a very long page." for k in range(40_000)]
+    page = "<body><nav>" * 200 + "<article>" + "".join(f"<p>{p}<div class=ad>x" for p in paragraphs)
+    assert html_text.extract("<article>" + "".join(f"<p>{p}" for p in paragraphs)) == "\n".join(paragraphs)
+    assert html_text.extract(page).split("\n")[0] == paragraphs[0]

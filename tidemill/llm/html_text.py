@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,15 +22,19 @@ INLINE = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Containers that set parts of a page apart; between them the line distribution drops to zero.
 APART = frozenset("html body main article section div ul ol dl table form nav header footer aside".split())
-#: Words in class, id or role that mark page furniture.
-_WORDS = (
-    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|side-?bar|footer|masthead|site-?header|page-?header|cookies?|consent|"
-    r"notice|alert|gdpr|newsletter|subscribe|subscription|share|sharing|social|related|recommend\w*|comment\w*|respond|disqus|replies|popup|modal|overlay|toolbar|pagination|pager|"
-    r"login|signup|search|widget|contentinfo|navigation|complementary|skip-?link)"
+#: Words in class, id or role that mark page furniture, and words that name a place or shape beside them.
+FURNITURE_WORDS = (
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|footer|masthead|cookies?|consent|"
+    r"notice|alert|gdpr|newsletter|subscribe|subscription|share|sharing|social|related|recommend\w*|comments?|respond|disqus|replies|popup|modal|overlay|toolbar|pagination|pager|"
+    r"login|signup|search|widget|contentinfo|navigation|complementary|skip"
 )
-FURNITURE = re.compile(rf"(?:^|[\s_-]){_WORDS}(?=$|[\s_-])", re.I)
-#: A name that consists of such words alone.
-FURNITURE_ONLY = re.compile(rf"(?:^|\s){_WORDS}(?:[_-]{_WORDS})*(?=$|\s)", re.I)
+_PLACE_WORDS = (
+    r"(?:area|articles|aside|bar|block|body|bottom|box|btns?|buttons?|card|cell|column|container|content|desktop|form|global|group|header|holder|icons?|inner|items?|left|link|links|list|"
+    r"main|media|mobile|outer|page|panel|posts|primary|results|right|row|secondary|section|side|site|slot|small|stories|thread|top|unit|widgets?|wrap|wrapper|zone|\d+)"
+)
+#: A name all of whose parts are such words, at least one of them of furniture.
+FURNITURE = re.compile(rf"(?:^|\s)(?:{_PLACE_WORDS}[_-]+)*(?:{FURNITURE_WORDS})(?:[_-]+(?:{FURNITURE_WORDS}|{_PLACE_WORDS}))*(?=$|\s)", re.I)
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<close2>/?)(?P<name2>[A-Za-z][^\s/>]*)(?P<rest2>[^>]*)>",
     re.S,
@@ -40,15 +45,17 @@ K, SURGE = 3, 30
 
 
 class _Part:
-    """An open or closed container. ``mark`` says how its name speaks of furniture: 2 with nothing else, 1 among other
-    words, 0 not at all; ``home`` is the outermost article or main around it, or else the innermost div."""
+    """An open or closed container. ``named`` says that its name is furniture's; ``home`` is the outermost article or main
+    around it, or else the innermost div."""
 
-    __slots__ = ("name", "up", "mark", "home", "weight", "away")
+    __slots__ = ("name", "up", "named", "home", "away")
 
-    def __init__(self, name: str, up: _Part | None, mark: int) -> None:
-        self.name, self.up, self.mark, self.weight, self.away = name, up, mark, 0, False
+    def __init__(self, name: str, up: _Part | None, named: bool) -> None:
+        self.name, self.up, self.named = name, up, named
         whole = up is not None and up.home.name in ("article", "main")
         self.home: _Part = up.home if whole or up is not None and name not in ("article", "main", "div") else self
+        free = name in ("article", "main") and not named
+        self.away: bool = not free and (up is not None and up.away or named and name not in ("article", "main"))
 
 
 class _Lines:
@@ -58,8 +65,7 @@ class _Lines:
         self.rows: list[tuple[str, int, _Part]] = []
         self.parts: list[str] = []
         self.linked = 0
-        self.seen = [_Part("body", None, 0)]
-        self.part = self.seen[0]
+        self.part = _Part("body", None, False)
 
     def end(self) -> None:
         if self.parts:
@@ -69,13 +75,13 @@ class _Lines:
             self.parts, self.linked = [], 0
 
     def gap(self, k: int) -> None:
+        """Leaves the place of furniture empty."""
         self.end()
         if self.rows and self.rows[-1][0]:
             self.rows += [("", 0, self.part)] * k
 
-    def enter(self, name: str, mark: int) -> None:
-        self.part = _Part(name, self.part, mark)
-        self.seen.append(self.part)
+    def enter(self, name: str, named: bool) -> None:
+        self.part = _Part(name, self.part, named)
 
     def leave(self, name: str) -> None:
         """Closes the innermost container of that name; other ends do not reach out of an article."""
@@ -87,42 +93,42 @@ class _Lines:
         self.part = at.up or self.part
 
     def read(self, k: int) -> list[tuple[str, int, _Part]]:
-        """The rows, gaps in place of furniture: what is named so alone, or among other words with less than a quarter
-        of the weight outside the former. An article or main within is not furniture unless it is named so."""
+        """The rows, gaps in place of what furniture holds; an article or main in it is not furniture unless it is named so."""
         self.end()
-
-        def judge(light: int) -> None:
-            for p in self.seen:
-                free = p.name in ("article", "main") and not p.mark
-                p.away = not free and (p.up is not None and p.up.away or p.name not in ("article", "main") and (p.mark == 2 or p.mark == 1 and 4 * p.weight < light))
-
-        judge(0)
-        for _, w, part in self.rows:
-            part.weight += 0 if part.away else w
-        for p in reversed(self.seen[1:]):
-            p.up.weight += p.weight
-        judge(self.seen[0].weight)
         kept: list[tuple[str, int, _Part]] = []
         for row in self.rows:
-            if row[2].away:
-                row = ("", 0, row[2])
-                if kept and kept[-1][0]:
-                    kept += [row] * k
-            else:
+            if not row[2].away:
                 kept.append(row)
+            elif kept and kept[-1][0]:
+                kept += [("", 0, row[2])] * k
         return kept
 
 
-def _marks(rest: str) -> str:
-    """Class, id and role of a tag."""
-    return " ".join(x or y or z for x, y, z in _MARK.findall(rest)) if rest else ""
+def _furniture(rest: str) -> bool:
+    """Whether class, id or role of a tag name furniture."""
+    return bool(rest) and any(FURNITURE.search(_CAMEL.sub("-", x or y or z)) for x, y, z in _MARK.findall(rest))
+
+
+class _Ends:
+    """Where a page's end tags are, by name; each name is sought once."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.known = page, {}
+
+    def after(self, name: str, at: int) -> int:
+        if name not in self.known:
+            self.known[name] = [m.start() for m in re.finditer(rf"</{name}\b", self.page, re.I)]
+        found = self.known[name]
+        k = bisect_left(found, at)
+        return found[k] if k < len(found) else len(self.page)
 
 
 def lines(page: str) -> list[tuple[str, int, _Part]]:
-    """Strips markup; one line per block element, K empty lines where a container begins or ends."""
+    """Strips markup; one line per block element, K empty lines in place of furniture."""
     out, at, n = _Lines(), 0, len(page)
     dropped: list[str] = []  # open elements inside dropped content, outermost first
     article = link = 0
+    loose, ends = False, _Ends(page)
     while at < n:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else n]
@@ -143,8 +149,8 @@ def lines(page: str) -> list[tuple[str, int, _Part]]:
             if not dropped and name not in ("title", "script", "style"):
                 out.end()
             continue
-        if dropped == ["p"] and not closing and name not in INLINE and name not in VOID:
-            dropped.clear()  # a paragraph ends where another block begins
+        if loose and dropped and not closing and name not in INLINE and name not in VOID:
+            dropped.clear()  # what has no end of its own, as a paragraph may, ends where another block begins
         if dropped:
             if name in VOID:
                 continue
@@ -156,20 +162,20 @@ def lines(page: str) -> list[tuple[str, int, _Part]]:
                 dropped.clear()  # an element that was never closed can't hold the article
                 article += name == "article" and not closing
                 if name != "body":
-                    out.leave(name) if closing else out.enter(name, 1 if FURNITURE.search(_marks(rest)) else 0)
+                    out.leave(name) if closing else out.enter(name, _furniture(rest))
             continue
         if name in VOID:
             if name in ("br", "hr"):
                 out.end()
             continue
         if not closing:
-            marks = _marks(rest)
+            named = name not in ("html", "body") and name not in INLINE and _furniture(rest)
             away = name in DROP and not (name == "header" and article) or (rest and bool(_HIDDEN.search(rest)))
-            named = marks and name not in ("html", "body") and name not in INLINE and FURNITURE.search(marks)
             if away or (named and name not in APART):
                 if not rest.endswith("/"):
                     dropped.append(name)
-                out.gap(K) if name in APART else out.end()
+                    loose = name == "p" or ends.after(name, at) >= ends.after("(?:article|main|body)", at)
+                out.gap(K)
                 continue
         if name == "a":
             link = 0 if closing else 1
@@ -177,12 +183,12 @@ def lines(page: str) -> list[tuple[str, int, _Part]]:
             article = max(0, article + (-1 if closing else 1))
         if name not in INLINE:
             link = 0
-            out.gap(K) if name in APART else out.end()
+            out.end()
             if name in APART and name not in ("html", "body"):
                 if closing:
                     out.leave(name)
                 elif not rest.endswith("/"):
-                    out.enter(name, 0 if not named else 2 if FURNITURE_ONLY.search(marks) else 1)
+                    out.enter(name, named)
     return out.read(K)
 
 
@@ -211,19 +217,20 @@ def spans(weights: list[int], k: int = K, surge: int = SURGE) -> list[tuple[int,
 def extract(page: str | None, k: int = K, surge: int = SURGE) -> str:
     """Main text of a page: blocks in page order, joined by one newline; '' for null, empty or text-free pages.
 
-    The heaviest container (outermost article or main; without one, innermost div or the body) is the article: every
-    stretch in it is kept, whatever its weight, with all of every other container that has at least a quarter of its
-    weight. Only containers with a surge count, unless there is none.
+    Text surges and dives as ``spans`` says. The container in which most text surges (outermost article or main; without
+    one, innermost div or the body) is the article, and so is every other with at least a quarter of its text. Of these all
+    lines are kept between a surge and its dive, with windows taken over their lines alone, so that nothing beside the
+    article counts; once in the article, text of any length surges, and only lines that are all links don't.
     """
     rows = lines(page or "")
     weights = [w for _, w, _ in rows]
-    surges, found = spans(weights, k, surge), spans(weights, k, 1)
+    found = spans(weights, k, surge) or spans(weights, k, 1)
     if not found:
         return ""
     total: dict[_Part, int] = {}
-    for a, b in surges or found:
-        home = rows[a][2].home
-        total[home] = total.get(home, 0) + sum(weights[a:b])
+    for a, b in found:
+        for i in range(a, b):
+            total[rows[i][2].home] = total.get(rows[i][2].home, 0) + weights[i]
     heavy = max(total, key=total.__getitem__)
     homes = {h for h in total if 4 * total[h] >= total[heavy]}
 
@@ -233,7 +240,8 @@ def extract(page: str | None, k: int = K, surge: int = SURGE) -> str:
         return part is heavy
 
     held = inside if heavy.up is not None else lambda part: part.home is heavy
-    return "\n".join(text for a, b in found if rows[a][2].home in homes or held(rows[a][2]) for text, _, _ in rows[a:b] if text)
+    own = [row for row in rows if row[2].home in homes or held(row[2])]
+    return "\n".join(text for a, b in spans([w for _, w, _ in own], k, 1) for text, _, _ in own[a:b] if text)
 
 
 def extract_pages(pages: DataFrame, key: str = "page_id", column: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
