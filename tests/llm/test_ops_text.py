@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
 from tidemill.llm import bpe, html_text, license, ogg
@@ -113,9 +114,38 @@ def test_windows_surge_and_dive():
     assert html_text.spans([]) == [] and html_text.spans([0, 0]) == []
 
 
-def whole(name, template, words):
-    """Unbanded alignment."""
-    return license.align(name, template, words, -len(template), len(words))
+def plain_alignment(template, words):
+    """(first, last, matched) of the best local alignment over all cells, row by row."""
+    above, best = {}, ((0, 0, 0, 0), -1)
+    for t in template:
+        row = {}
+        for j, w in enumerate(words):
+            zero = (0, 0, 0)
+            ways = []
+            s, m, f = above.get(j - 1, zero)
+            if w == t:
+                ways.append((s + 2, m + 1, f if s else -j))
+            else:
+                ways.append((s - 1, m, f))
+            for s, m, f in (above.get(j, zero), row.get(j - 1, zero)):
+                ways.append((s - 1, m, f))
+            row[j] = max(max(ways), zero) if max(ways)[0] > 0 else zero
+            if row[j] > best[0][:3]:
+                best = ((*row[j], 0), j)
+        above = row
+    return (-best[0][2], best[1], best[0][1]) if best[1] >= 0 else None
+
+
+def test_alignment_equals_the_plain_one():
+    rng = random.Random(12)
+    for _ in range(300):
+        template = [rng.randrange(6) for _ in range(rng.randint(1, 14))]
+        words = [rng.randrange(8) for _ in range(rng.randint(0, 40))]
+        if rng.random() < 0.7:
+            part = [w for w in template if rng.random() < 0.9]
+            words[len(words) // 2 : len(words) // 2] = part
+        found = license.align(np.array(template), np.array(words, np.int64), -len(template), len(words), 0, len(words))
+        assert found == plain_alignment(template, words)
 
 
 def test_license_spans(spark):
@@ -132,14 +162,29 @@ def test_license_spans(spark):
         texts.append(f"é {filler(30)}\n{' '.join(tokens)}\n{filler(30)}")
     df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, license string")
     rows = license.scan(df).collect()
-    for k, name in planted.items():
-        mine = [r for r in rows if r.doc_id == k and r.license == name]
-        assert len(mine) == 1 and mine[0].coverage >= 0.9, name
-        words = license.tokens(texts[k])
-        m = whole(name, index.templates[name], words)
-        assert (m.matched, m.length) == (mine[0].matched, mine[0].length)
-        span = texts[k][mine[0].start : mine[0].end]
-        assert license.tokens(span) == words[m.first : m.last + 1]
-    assert {r.doc_id for r in rows} == set(planted)
+    assert {r.doc_id for r in rows} == set(planted) and len(rows) == len(planted)
+    for r in rows:
+        name, words = planted[r.doc_id], license.tokens(texts[r.doc_id])
+        assert r.license == name and r.coverage >= 0.9
+        first, last, matched = plain_alignment(index.templates[name], words)
+        assert (r.matched, r.length) == (matched, len(index.templates[name]))
+        assert license.tokens(texts[r.doc_id][r.start : r.end]) == words[first : last + 1]
     twice = spark.createDataFrame([(1, "Released under the MIT License. " + filler(20) + " Released under the MIT License.")], "doc_id long, text string")
     assert license.scan(twice).count() == 2 and license.scan(df.limit(0)).count() == 0
+
+
+def test_overlapping_licenses_give_the_best():
+    index = license.Index()
+
+    def found(text):
+        words = license.tokens(text)
+        hits = license._hits(license.Words([license.utf8(text).translate(license.LOWER)], license._BETWEEN), index)
+        return [(m.license, m.first) for m in index.match(words, hits.get(0, []))]
+
+    for name in ("CC-BY-4.0", "CC-BY-SA-4.0", "Apache-2.0-header", "MIT", "MIT-permission", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0-notice"):
+        assert found("one two " + license.TEMPLATES[name] + " three") == [(name, 2)], name
+    copies = " ".join(["Released under the MIT License."] * 300)  # copies next to each other, ties throughout
+    assert found(copies) == [("MIT-notice", 5 * k) for k in range(300)]
+    long = " ".join(f"w{k}" for k in range(200_000)) + " Licensed under CC BY-NC 4.0. " + license.TEMPLATES["Zlib"]
+    assert found(long) == [("CC-BY-NC-4.0-notice", 200_000), ("Zlib", 200_007)]
+    assert found("") == []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,36 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemill.llm.common import LOWER, Rolling, Words, each_run, utf8
+from tidemill.llm.license_texts import TEMPLATES
 
 GRAM, WINNOW = 3, 3
 COVERAGE = 0.8
 _RUN = 4 << 20
 
-#: Notices by which the licenses ask to be named.
-TEMPLATES = {
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
-    "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software "
-    'distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
-    "See the License for the specific language governing permissions and limitations under the License.",
-    "MIT-notice": "Released under the MIT License.",
-    "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
-    '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, '
-    "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
-    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-    "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "BSD-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
-    "You can obtain one at http://mozilla.org/MPL/2.0/.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
-    "copyright notice and this permission notice appear in all copies.",
-}
-
 #: Bytes between tokens: everything but letters, digits and the bytes of longer UTF-8 sequences.
 _BETWEEN = np.array([not (chr(b).isascii() and chr(b).isalnum() or b >= 128) for b in range(256)])
 
@@ -84,63 +61,87 @@ class Index:
             for k in np.flatnonzero(winnow(hashes)).tolist():
                 found.setdefault(int(hashes[k]), []).append((name, k))
         self.places = found
+        self.number = {w: n for n, w in enumerate(sorted({w for words in self.templates.values() for w in words}))}
+        self.coded = {k: np.array([self.number[w] for w in words], np.int64) for k, words in self.templates.items()}
         self.keys = np.array(sorted(found), np.uint64)
 
     def match(self, words: list[bytes], hits: list[tuple[int, int]]) -> list[Match]:
-        """Matches of one text, given the (token, fingerprint hash) pairs found in it, in order of tokens."""
-        diagonals: dict[str, list[int]] = {}
+        """Matches of one text, given the (token, fingerprint hash) pairs found in it, in order of tokens.
+
+        Where matches overlap, the one with more matched tokens stays, of equal ones that with the higher coverage, then the first.
+        """
+        diagonals: dict[str, set[int]] = {}
         for at, h in hits:
             for name, place in self.places[h]:
-                diagonals.setdefault(name, []).append(at - place)
-        out: list[Match] = []
-        for name, found in diagonals.items():
-            template = self.templates[name]
-            band = 2 + len(template) // 8
-            found = sorted(set(found))
-            group = [found[0]]
-            best: list[Match] = []
-            for d in [*found[1:], None]:
-                if d is not None and d - group[-1] <= band:
-                    group.append(d)
-                    continue
-                m = align(name, template, words, group[0] - band, group[-1] + band)
-                if m and m.matched >= COVERAGE * len(template):
-                    if best and m.first <= best[-1].last:
-                        best[-1] = max(best[-1], m, key=lambda x: (x.matched, -x.first))
-                    else:
-                        best.append(m)
-                group = [d]
-            out += best
-        return sorted(out, key=lambda m: (m.first, m.license))
-
-
-def align(name: str, template: list[bytes], words: list[bytes], low: int, high: int) -> Match | None:
-    """Best local alignment with text token - template token between ``low`` and ``high``.
-
-    A match counts 2, a difference or gap -1; of equal scores the earliest in the text wins.
+                diagonals.setdefault(name, set()).add(at - place)
+        coded = np.array([self.number.get(w, -1) for w in words], np.int64)
+        found: list[Match] = []
+        for name, starts in diagonals.items():
+            size, band, order = len(self.templates[name]), self.band(name), sorted(starts)
+            low = order[0]
+            for d, after in zip(order, [*order[1:], None]):
+                if after is None or after - d > band:
+                    found += self._within(name, coded, low - band, d + band, max(0, low - band), min(len(words), d + band + size))
+                    low = after
+        taken: list[Match] = []  # in order of place, none overlaps another
+        for m in sorted(found, key=lambda m: (-m.matched, m.length, m.first, m.license)):
+            k = bisect_left(taken, m.first, key=lambda t: t.first)
+            if (k == 0 or taken[k - 1].last < m.first) and (k == len(taken) or m.last < taken[k].first):
+                taken.insert(k, m)
+        return taken
+
+    def band(self, name: str) -> int:
+        return 2 + len(self.templates[name]) // 8
+
+    def _within(self, name: str, words: np.ndarray, low: int, high: int, begin: int, end: int) -> list[Match]:
+        """The best match among tokens begin .. end - 1, and those beside it."""
+        found, todo = [], [(begin, end)]
+        while todo:
+            i, j = todo.pop()
+            best = align(self.coded[name], words, low, high, i, j) if (j - i) >= COVERAGE * len(self.templates[name]) else None
+            if best and best[2] >= COVERAGE * len(self.templates[name]):
+                found.append(Match(name, *best, len(self.templates[name])))
+                todo += [(i, best[0]), (best[1] + 1, j)]
+        return found
+
+
+_FIRST, _SCORE = 21, 42
+
+
+def align(template: np.ndarray, words: np.ndarray, low: int, high: int, begin: int, end: int) -> tuple[int, int, int] | None:
+    """(first, last, matched) of the best local alignment of tokens begin .. end - 1 with text token - template token
+    between ``low`` and ``high``.
+
+    A match counts 2, a difference or gap -1; of equal scores more matches win, then the earlier start, then the earlier end.
+    A cell holds score, matches and start as one number, so that a row is a few array operations: a gap along the row
+    costs its length, and the best of all earlier cells less their distance is a running maximum.
     """
-    begin, end = max(0, low), min(len(words), high + len(template))
-    span = end - begin
-    if span <= 0:
+    if end <= begin:
         return None
-    # score, matched and first token of the best alignment that ends at (template i, text j)
-    above = [(0, 0, -1)] * (span + 1)
-    best = (0, 0, -1, -1)
-    for i, t in enumerate(template):
-        row = [(0, 0, -1)] * (span + 1)
-        for j in range(max(begin, low + i), min(end, high + i + 1)):
-            k = j - begin + 1
-            s, m, f = above[k - 1]
-            if words[j] == t:
-                now = (s + 2, m + 1, f if f >= 0 else j)
-            else:
-                now = max((s - 1, m, f), (above[k][0] - 1, *above[k][1:]), (row[k - 1][0] - 1, *row[k - 1][1:]), key=lambda x: (x[0], x[1]))
-            if now[0] > 0:
-                row[k] = now
-                if (now[0], now[1]) > best[:2]:
-                    best = (now[0], now[1], now[2], j)
+    one, match = 1 << _SCORE, (2 << _SCORE) + (1 << _FIRST)
+    fresh = (1 << _FIRST) - 1 - np.arange(end - begin)  # of equal cells, that with the earliest start is the largest
+    above = np.zeros(end - begin + 1, np.int64)
+    best, last = 0, -1
+    for i, t in enumerate(template.tolist()):
+        a, b = max(begin, low + i) - begin, min(end, high + i + 1) - begin
+        row = np.zeros(end - begin + 1, np.int64)
+        if a < b:
+            before = above[a:b]
+            same = words[begin + a : begin + b] == t
+            step = np.where(same, np.where(before >= one, before, fresh[a:b]) + match, before - one)
+            cells = np.maximum(step, above[a + 1 : b + 1] - one)
+            cells[cells < one] = 0
+            along = np.arange(b - a, dtype=np.int64) << _SCORE
+            cells = np.maximum.accumulate(cells + along) - along
+            cells[cells < one] = 0
+            row[a + 1 : b + 1] = cells
+            k = int(cells.argmax())
+            if cells[k] > best:
+                best, last = int(cells[k]), begin + a + k
         above = row
-    return Match(name, best[2], best[3], best[1], len(template)) if best[0] else None
+    if not best:
+        return None
+    return begin + (1 << _FIRST) - 1 - (best & ((1 << _FIRST) - 1)), last, best >> _FIRST & ((1 << _FIRST) - 1)
 
 
 _SCHEMA = "license string, start long, end long, matched long, length long, coverage double"
@@ -150,7 +151,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: di
     """(key, license, start, end, matched, length, coverage), one row for each notice found.
 
     ``start`` and ``end`` are code points of the text; coverage is the share of the template's tokens that match
-    in order, COVERAGE at least. A text may give several rows or none; null and empty texts give none.
+    in order, COVERAGE at least. A text may give several rows or none, which don't overlap; null and empty texts give none,
+    an empty table an empty result. Rows with equal keys, and null keys, are scanned each; other columns are not read.
     """
     templates = TEMPLATES if templates is None else templates
 
