@@ -102,18 +102,24 @@ class Codec:
 _CODECS: dict[str, Codec] = {}
 
 
-def codec(path: str) -> Codec:
-    """The codec of a vocabulary file, kept for the life of the worker process."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+def codec(name: str) -> Codec:
+    """The codec of a vocabulary file, kept for the life of the worker process: a path, or the name of a public
+    tokenizer's file, which is looked up on the machine that uses it."""
+    if name not in _CODECS:
+        if "/" not in name:
+            import public_tokenizers
 
+            _CODECS[name] = Codec(str(public_tokenizers.path(name)))
+        else:
+            _CODECS[name] = Codec(name)
+    return _CODECS[name]
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+
+def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids): token ids of every whole text. Null and empty texts have no ids; rows stay one to one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = codec(vocabulary)
         for t in each_run(batches, "text", 2 << 20):
             ids = [c.encode(x.as_py()) for x in t.column("text")]
             yield pa.RecordBatch.from_arrays(
@@ -125,11 +131,11 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, f"key {kind}, n_tokens long, ids array<int>").withColumnRenamed("key", key)
 
 
-def decode(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+def decode(tokens: DataFrame, vocabulary: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(key, text) of a column of id arrays; a null array decodes to the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = codec(vocabulary)
         for t in batches:
             texts = [c.decode(x.as_py() or []) for x in t.column("ids")]
             yield pa.RecordBatch.from_arrays([t.column("key"), pa.array(texts, pa.string())], ["key", "text"])
@@ -138,11 +144,11 @@ def decode(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
     return tokens.select(tokens[key].alias("key"), tokens[ids].alias("ids")).mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)
 
 
-def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def digests(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256): encodes and decodes each text, keeping digests only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = codec(vocabulary)
         names = {i: str(i) for i in c.bytes}
         for t in each_run(batches, "text", 2 << 20):
             counts, coded, decoded = [], [], []

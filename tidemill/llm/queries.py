@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemill.llm import bpe, html_text, license, lm_score, mix, neardup, ogg, quality, shard, substring
 
-VOCABULARY = os.environ.get("TIDEMILL_BPE", "/opt/tokenizers/byte_bpe_50k.json")
+#: A public tokenizer's file, or a path.
+VOCABULARY = os.environ.get("TIDEMILL_BPE", "byte_bpe_50k.json")
 SHARD_NAMES = [f"shard-{k:02d}" for k in range(shard.SHARDS)]
 Query = Callable[[SparkSession, str], DataFrame]
 
