@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill import plans
+from tidemill.functions import text
 
 DATA = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
@@ -62,6 +63,13 @@ def test_sentences_of_orders_with_large_ids(spark, tmp_path, query):
     same_far_away(spark, tmp_path, "orders", query, "o_orderkey", "o_orderkey")
 
 
+def test_many_sources_meet_by_a_shuffle(spark):
+    docs = spark.createDataFrame([(k, f"{k} the quick brown fox jumps over {k}") for k in range(9)], "d long, t string")
+    items = spark.createDataFrame([(k, f"the quick brown fox jumps {k}") for k in range(5)], "i long, t string")
+    few, many = (sorted(map(tuple, text.quotes(docs, "d", "t", items, "i", "t", 12, most).collect())) for most in (1000, 3))
+    assert few == many and len({d for d, _, _ in few}) == 9
+
+
 @needs_tables
 @pytest.mark.parametrize(
     ("name", "query", "key", "found"),

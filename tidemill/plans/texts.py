@@ -9,8 +9,8 @@ from pyspark.sql.window import Window
 from tidemill.functions import speech, text as fn
 from tidemill.registry import query, table
 
-#: Characters of a quote, and rows of the items' side up to which it is broadcast.
-QUOTE, BROADCAST_MOST = 20, 1_000_000
+#: Characters of a quote, and how many different ones of the items' side every task may hold (8 bytes each).
+QUOTE, QUOTES_MOST = 20, 1_000_000
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,18 +27,25 @@ def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", F.concat(said, F.col("o_custkey").cast("string"), F.lit("@example.com 입니다")).alias("said"))
 
 
-_EMAILS = "regexp_extract_all(lower(text), '[a-z0-9._%+-]+@[a-z0-9-]+(?:\\.[a-z0-9-]+)+')"
-_BARE = "regexp_replace(regexp_replace(regexp_replace(lower(text), '[a-z0-9._%+-]+@[a-z0-9-]+(?:\\.[a-z0-9-]+)+', ' ', 'g'), '(\\d{4})[-./](\\d{1,2})[-./](\\d{1,2})', ' ', 'g'), '(?:(\\d{4})년\\s*)?(\\d{1,2})월\\s*(\\d{1,2})일', ' ', 'g')"
+_LOW = "lower(coalesce(text, ''))"
+_MAIL = r"[0-9a-z._%+\-]+@[0-9a-z\-]+(?:\.[0-9a-z\-]+)*\.[a-z]{2,}"
+_DAY = r"(^|[^\d])\d{4}\s*[-./]\s*\d{1,2}\s*[-./]\s*\d{1,2}($|[^\d])"
 
 
 @query(
-    f"WITH t AS (SELECT doc_id, list_concat(['email:' || x for x in {_EMAILS}], ['num:' || x for x in [translate(y, ',-', '') for y in regexp_extract_all({_BARE}, '\\d(?:[\\d,-]*\\d)?')] if length(x) >= 4]) AS v "
-    "FROM documents) SELECT doc_id, array_to_string(list_sort(list_distinct(v)), ' ') AS tokens FROM t WHERE len(v) > 0"
+    rf"WITH m AS (SELECT doc_id, regexp_extract_all({_LOW}, '{_MAIL}') AS emails, regexp_replace({_LOW}, '{_MAIL}', ' ', 'g') AS bare FROM documents), "
+    rf"d AS (SELECT doc_id, emails, regexp_replace(regexp_replace(bare, '{_DAY}', '\1 \2', 'g'), '{_DAY}', '\1 \2', 'g') AS bare FROM m), "
+    # a comma before three digits and no fourth becomes another mark, twice, as neighbours share a character
+    r"c AS (SELECT doc_id, emails, regexp_replace(regexp_replace(bare, ',(\d{3})([^\d]|$)', '§\1\2', 'g'), ',(\d{3})([^\d]|$)', '§\1\2', 'g') AS bare FROM d), "
+    r"n AS (SELECT doc_id, emails, [translate(x, '§-', '') FOR x IN regexp_extract_all(bare, '\d+(?:-\d+|§\d{3})*')] AS numbers FROM c), "
+    "v AS (SELECT doc_id, list_concat(['email:' || x FOR x IN emails], ['num:' || x FOR x IN numbers IF length(x) >= 4]) AS v FROM n) "
+    "SELECT doc_id, array_to_string(list_sort(list_distinct(v)), ' ') AS tokens FROM v WHERE len(v) > 0"
 )
 def value_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E-mails and numbers of each document that has any (dates are compared in another query)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.filter(fn.tokens(F.col("text")), lambda x: ~x.startswith("date:")).alias("v"))
-    return d.filter(F.size("v") > 0).select("doc_id", F.array_join("v", " ").alias("tokens"))
+    """E-mails and numbers of each document that has any (dates are compared in another query); worked out once a row."""
+    of = F.filter(fn.tokens(F.col("text")), lambda x: ~x.startswith("date:"))
+    found = table(spark, sf_dir, "documents").select("doc_id", of.alias("v")).select("doc_id", F.explode("v").alias("v"))
+    return found.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("v")), " ").alias("tokens"))
 
 
 @query(
@@ -53,17 +60,14 @@ def date_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT o_orderkey, n = any_in OR contains(src, n) AS grounded FROM (SELECT o_orderkey, (o_orderkey % 10000)::VARCHAR AS n, (o_custkey * 1000 + o_orderkey % 1000)::VARCHAR AS src, o_custkey::VARCHAR AS any_in FROM orders)"
+    "SELECT o_orderkey, contains(any_in, n) OR contains(src, n) AS grounded FROM (SELECT o_orderkey, (o_orderkey % 10000)::VARCHAR AS n, (o_custkey * 1000 + o_orderkey % 1000)::VARCHAR AS src, o_custkey::VARCHAR AS any_in FROM orders)"
 )
 def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a stated number is a source or part of a longer source number; a fold over the row's small array."""
     num = lambda c: F.concat(F.lit("num:"), c.cast("string"))
     sources = F.array(num(F.col("o_custkey") * 1000 + F.col("o_orderkey") % 1000), num(F.col("o_custkey")))
-    stated = F.concat(F.lit("num:"), (F.col("o_orderkey") % 10000).cast("string"))
-    same = F.col("stated") == F.element_at("sources", 2)
-    part = F.exists(F.slice("sources", 1, 1), lambda s: s.contains(F.substring("stated", 5, 20)))
-    o = table(spark, sf_dir, "orders").select("o_orderkey", stated.alias("stated"), sources.alias("sources"))
-    return o.select("o_orderkey", (same | part).alias("grounded"))
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", fn.grounded(num(F.col("o_orderkey") % 10000), sources).alias("grounded"))
 
 
 _DIGITS = "(o_orderkey * 1111 % 100000)::VARCHAR"
@@ -101,21 +105,11 @@ def jamo_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", fn.name_distance(F.col("s_name"), F.lit("Supplier#000000001")).alias("distance"))
 
 
-@query(
-    "WITH b AS (SELECT h, min(item_id) AS item_id FROM (SELECT item_id, md5(substr(text, i, 40)) AS h FROM (SELECT item_id, text, unnest(range(1, greatest(length(text) - 38, 1))) AS i FROM benchmark WHERE length(text) >= 40)) GROUP BY h), "
-    "d AS (SELECT DISTINCT doc_id, md5(substr(text, i, 40)) AS h FROM (SELECT doc_id, text, unnest(range(1, greatest(length(text) - 38, 1))) AS i FROM documents WHERE length(text) BETWEEN 40 AND 3000)) "
-    "SELECT doc_id, item_id, count(*) AS shingles FROM d JOIN b USING (h) GROUP BY doc_id, item_id"
-)
+@query()
 def section_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of 20 characters of squashed text that documents of any length share with benchmark items, the first item
-    of each counting. A task sends each run of a document once; the items' side is broadcast if it was counted small.
-
-    The registered SQL is narrower: runs of 40 characters of unsquashed texts of up to 3,000 characters.
-    """
-    b = fn.pieces(table(spark, sf_dir, "benchmark"), "item_id", "text", QUOTE).groupBy("piece").agg(F.min("item_id").alias("item_id"))
-    d = fn.pieces(table(spark, sf_dir, "documents"), "doc_id", "text", QUOTE)
-    both = d.join(F.broadcast(b) if b.limit(BROADCAST_MOST + 1).count() <= BROADCAST_MOST else b, "piece")
-    return both.groupBy("doc_id", "item_id").agg(F.count_distinct("piece").alias("shingles"))
+    of each counting."""
+    return fn.quotes(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text", QUOTE, QUOTES_MOST)
 
 
 @query(
@@ -153,7 +147,7 @@ def canonical_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.select("l_orderkey", F.to_json(F.struct("lines", F.lit(None).cast("string").alias("note"), F.col("l_orderkey").alias("order"))).alias("args"))
 
 
-@query("SELECT l_orderkey, array_to_string(list_sort(list_distinct(list_concat(list(round(l_extendedprice)::BIGINT * l_quantity::BIGINT), list(round(l_extendedprice)::BIGINT)))), ' ') AS amounts FROM lineitem WHERE l_orderkey < 3000 GROUP BY l_orderkey")
+@query("SELECT l_orderkey, array_to_string(list_sort(list_distinct(list_concat(list(round(l_extendedprice)::BIGINT * l_quantity::BIGINT), list(round(l_extendedprice)::BIGINT)))), ' ') AS amounts FROM lineitem GROUP BY l_orderkey")
 def result_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amounts at any depth of a JSON result."""
     won = F.round("l_extendedprice").cast("long").alias("unit_price_won")
@@ -162,7 +156,17 @@ def result_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.select("l_orderkey", F.array_join(F.transform(fn.json_amounts(doc), lambda x: x.cast("string")), " ").alias("amounts"))
 
 
-@query()
+_TERMS = (
+    "s AS (SELECT unnest([-1, 0, 1]) AS v), c AS (SELECT a.v AS a, b.v AS b, d.v AS d, e.v AS e, abs(a.v) + abs(b.v) + abs(d.v) + abs(e.v) AS terms FROM s a, s b, s d, s e), "
+    "t AS (SELECT * FROM c WHERE (a <> 0 OR b <> 0) AND (terms BETWEEN 2 AND 3 OR terms = 1 AND a + b = 1)), "
+    "o AS (SELECT o_orderkey, o_custkey % 3000 + 1 AS x, o_orderkey % 2000 + 3001 AS y, round(o_totalprice)::BIGINT % 7000 AS value FROM orders)"
+)
+
+
+@query(
+    f"WITH {_TERMS} SELECT o_orderkey, bool_or(a * x + b * y + d * 3000 + e * 5000 = value) AS explained FROM o, t "
+    "WHERE NOT (x = 3000 AND d <> 0) AND NOT (y = 5000 AND e <> 0) GROUP BY o_orderkey"
+)
 def combined_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amounts explained as sum or difference of a result's amounts and fixed ones."""
     o = table(spark, sf_dir, "orders")
@@ -170,26 +174,50 @@ def combined_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", fn.by_combination(F.round("o_totalprice").cast("long") % 7000, own).alias("explained"))
 
 
-@query()
+@query(
+    "WITH k AS (SELECT unnest([['email', '3'], ['phone', ''], ['id', '0'], ['amount', ''], ['date', '2']]) AS k) "
+    "SELECT k[1] AS kind, count(*) AS n, count(*) FILTER ((o_orderkey % 4)::VARCHAR <> k[2]) AS kept FROM orders, k GROUP BY k[1]"
+)
 def entity_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed values of each sentence and whether a damaged copy still has them, counted by kind."""
-    s = _sentences(spark, sf_dir).withColumn("heard", F.translate("said", ",", " "))
-    e = s.select(F.inline(fn.entity_survival("said", "heard")))
-    return e.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("survived").alias("kept"))
+    """Typed values of each sentence and whether a damaged copy still has them, counted by kind. Copies lose their hyphens,
+    the commas of their amounts, the mark of their month, or the sign of their e-mail address."""
+    lost = (F.replace("said", F.lit("-"), F.lit("")), F.translate("said", ",", " "), F.replace("said", F.lit("월"), F.lit("")), F.replace("said", F.lit("@"), F.lit(" ")))
+    heard = F.get(F.array(*lost), (F.col("o_orderkey") % 4).cast("int"))
+    each = _sentences(spark, sf_dir).select("said", heard.alias("heard"), F.explode(fn.entities(F.col("said"))).alias("e"))
+    kept = fn.survived(F.col("e.kind"), F.col("e.value"), F.col("heard"))
+    return each.groupBy("e.kind").agg(F.count("*").alias("n"), F.count_if(kept).alias("kept"))
 
 
-@query()
+_ONES = "'', '일', '이', '삼', '사', '오', '육', '칠', '팔', '구'"
+_PLACED = "[" + ", ".join(f"[{', '.join(repr('' if d == 0 else ('' if d == 1 else '일이삼사오육칠팔구'[d - 1]) + place) for d in range(10))}]" for place in ("천", "백", "십")) + f", [{_ONES}]]"
+_GROUP = f"g AS (SELECT n, p[1][n // 1000 + 1] || p[2][n // 100 % 10 + 1] || p[3][n // 10 % 10 + 1] || p[4][n % 10 + 1] AS said FROM (SELECT unnest(range(10000)) AS n, {_PLACED} AS p))"
+_DIGITS_SAID = "translate({}, '0123456789', '공일이삼사오육칠팔구')"
+
+
+@query(
+    f"WITH {_GROUP}, o AS (SELECT *, round(o_totalprice)::BIGINT AS won, month(o_orderdate) AS m FROM orders) "
+    f"SELECT o_orderkey, '주문 오 다시 ' || {_DIGITS_SAID.format("lpad((o_orderkey % 100000)::VARCHAR, 5, '0')")} || ' 금액은 ' || "
+    "CASE WHEN won >= 10000 THEN CASE WHEN won // 10000 = 1 THEN '' ELSE hi.said END || '만' || CASE WHEN won % 10000 > 0 THEN ' ' ELSE '' END ELSE '' END || lo.said || ' 원이고 ' || "
+    "CASE m WHEN 6 THEN '유' WHEN 10 THEN '시' ELSE mo.said END || '월 ' || da.said || '일에 샀어요. 번호는 공일공, ' || "
+    f"{_DIGITS_SAID.format("lpad((o_custkey % 10000)::VARCHAR, 4, '0')")} || ', ' || {_DIGITS_SAID.format("lpad((o_orderkey % 10000)::VARCHAR, 4, '0')")} || "
+    f"', 메일은 유 에스 이 알 ' || {_DIGITS_SAID.format('o_custkey::VARCHAR')} || ' 골뱅이 이그잼플 닷컴 입니다' AS spoken "
+    "FROM o JOIN g hi ON hi.n = won // 10000 JOIN g lo ON lo.n = won % 10000 JOIN g mo ON mo.n = m JOIN g da ON da.n = day(o_orderdate)"
+)
 def verbalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences as they are said."""
-    return _sentences(spark, sf_dir).select("o_orderkey", speech.column(speech.verbalize, F.col("said")).alias("spoken"))
+    return _sentences(spark, sf_dir).select("o_orderkey", speech.verbalize(F.col("said")).alias("spoken"))
 
 
-@query("SELECT o_orderkey, true AS restored FROM orders WHERE o_orderkey < 20000")
+@query(
+    "SELECT o_orderkey, 'O-' || lpad((o_orderkey % 100000)::VARCHAR, 5, '0') AS number, "
+    "'010-' || lpad((o_custkey % 10000)::VARCHAR, 4, '0') || '-' || lpad((o_orderkey % 10000)::VARCHAR, 4, '0') AS phone FROM orders"
+)
 def spoken_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order numbers and phones, said and written again, come back as they were."""
-    s = _sentences(spark, sf_dir).withColumn("again", speech.column(lambda t: speech.spoken_to_written(speech.verbalize(t)), F.col("said")))
-    number, phone = F.regexp_extract("said", r"O-\d{5}", 0), F.regexp_extract("said", r"010-\d{4}-\d{4}", 0)
-    return s.select("o_orderkey", (F.col("again").contains(number) & F.col("again").contains(phone)).alias("restored"))
+    """Order numbers and phones as they come back once they were said and written again."""
+    again = speech.spoken_to_written(speech.verbalize(F.col("said")))
+    return _sentences(spark, sf_dir).select("o_orderkey", again.alias("again")).select(
+        "o_orderkey", F.regexp_extract("again", r"O-\d{5}", 0).alias("number"), F.regexp_extract("again", r"010-\d{4}-\d{4}", 0).alias("phone")
+    )
 
 
 @query("SELECT o_orderkey, 'O-' || lpad((o_orderkey % 100000)::VARCHAR, 5, '0') || ' ' || replace(format('{:,}', round(o_totalprice)::BIGINT // 10000 * 10000 + 500), '''', '') || '원 a' || o_custkey || '@example.com' AS text FROM orders")
@@ -199,44 +227,61 @@ def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     heard = F.concat(
         F.lit("5-"), F.lpad((F.col("o_orderkey") % 100000).cast("string"), 5, "0"), F.lit(" "), F.floor(F.round("o_totalprice") / 10000).cast("string"), F.lit("만 500원 a"), F.col("o_custkey").cast("string"), F.lit(" 골뱅이 이그잼플 닷컴")
     )
-    return o.select("o_orderkey", speech.column(speech.normalize_heard, heard).alias("text"))
+    return o.select("o_orderkey", speech.normalize_heard(heard).alias("text"))
 
 
-@query()
+@query(
+    "SELECT o_orderkey, place FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderkey // 1000 ORDER BY o_orderkey) AS place FROM orders) WHERE o_orderkey % 5 = 0"
+)
 def respelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions of a record's utterances that are said otherwise today."""
-    s = _sentences(spark, sf_dir).withColumn("was", F.when(F.col("o_orderkey") % 5 == 0, F.lit("")).otherwise(speech.column(speech.verbalize, F.col("said"))))
-    changed = ~F.col("was").eqNullSafe(speech.column(speech.verbalize, F.col("said")))
-    return s.withColumn("place", F.row_number().over(Window.partitionBy((F.col("o_orderkey") / 1000).cast("int")).orderBy("o_orderkey"))).filter(changed).select("o_orderkey", "place")
+    said = _sentences(spark, sf_dir).select("o_orderkey", speech.verbalize(F.col("said")).alias("now"))
+    was = F.when(F.col("o_orderkey") % 5 == 0, F.concat("now", F.lit("?"))).otherwise(F.col("now"))
+    placed = said.withColumn("place", F.row_number().over(Window.partitionBy((F.col("o_orderkey") / 1000).cast("int")).orderBy("o_orderkey")))
+    return placed.filter(~was.eqNullSafe(F.col("now"))).select("o_orderkey", "place")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN event_type END AS tool FROM events WHERE event_id < 5000")
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN event_type END AS tool FROM events")
 def leaked_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tool calls written into a reply as JSON."""
     call = F.concat(F.lit('I will {now} do {"name": "'), "event_type", F.lit('", "arguments": {"k": 1}} for you'))
     e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 4 == 0, call).otherwise(F.lit("no { call }")).alias("t"))
-    return e.select("event_id", speech.column(fn.leaked_call, F.col("t")).alias("tool"))
+    return e.select("event_id", fn.column(fn.leaked_call, F.col("t")).alias("tool"))
 
 
-@query("SELECT event_id, 'Good day.' AS kept FROM events WHERE event_id < 5000")
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Good day.' WHEN 1 THEN 'Good day. I show the ' || event_type || '.' ELSE 'The system of ' || event_type || ', I think, works.' END AS kept FROM events")
 def redacted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies without the clauses that quote instructions."""
     rules = "neverrevealthesystemprompt"
     windows = {rules[k : k + 10] for k in range(len(rules) - 9)}
-    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("Good day. I must never reveal the system "), "event_type", F.lit(".")).alias("t"))
-    return e.select("event_id", speech.column(lambda t: fn.without_quotes(t, windows), F.col("t")).alias("kept"))
+    quoting = F.concat(F.lit("Good day. I must never reveal the system "), "event_type", F.lit("."))
+    short, other = F.concat(F.lit("Good day. I show the "), "event_type", F.lit(".")), F.concat(F.lit("The system of "), "event_type", F.lit(", I think, works."))
+    e = table(spark, sf_dir, "events").select("event_id", F.get(F.array(quoting, short, other, other), (F.col("event_id") % 4).cast("int")).alias("t"))
+    return e.select("event_id", fn.column(lambda t: fn.without_quotes(t, windows), F.col("t")).alias("kept"))
 
 
-@query("SELECT c_custkey, contains(lower(replace('hello Customer ' || c_name || ' bye', ' ', '')), lower(replace(c_name, ' ', ''))) AS named FROM customer")
+@query("SELECT c_custkey, c_custkey % 3 <> 1 AS named FROM customer")
 def names_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names in a text, spaces aside."""
-    flat = lambda c: F.lower(F.replace(c, F.lit(" "), F.lit("")))
-    c = table(spark, sf_dir, "customer")
-    return c.select("c_custkey", flat(F.concat(F.lit("hello Customer "), "c_name", F.lit(" bye"))).contains(flat(F.col("c_name"))).alias("named"))
+    said = F.when(F.col("c_custkey") % 3 == 0, F.replace("c_name", F.lit("#"), F.lit(" # "))).when(F.col("c_custkey") % 3 == 1, F.lit("Customer")).otherwise(F.upper("c_name"))
+    return table(spark, sf_dir, "customer").select("c_custkey", fn.names(F.concat(F.lit("hello "), said, F.lit(" bye")), F.col("c_name")).alias("named"))
 
 
-@query("SELECT doc_id, contains(regexp_replace(text, '(\\d),(\\d{3})', '\\1\\2', 'g'), '12') AS states FROM documents WHERE text IS NOT NULL")
+@query(r"SELECT doc_id, regexp_matches(replace(text, ',', '§'), '(^|[^0-9A-Za-z.\-§]|[^0-9]§)12($|[^\d\-§]|§($|[^\d])|-($|[^\d]))') AS states FROM documents WHERE text IS NOT NULL")
 def stated_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a text states a number, thousands separators aside."""
+    """Whether a text states the number 12, thousands separators aside, not as part of another number or id."""
     d = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
-    return d.select("doc_id", F.regexp_replace("text", r"(\d),(\d{3})", "$1$2").contains("12").alias("states"))
+    return d.select("doc_id", fn.states_number(F.col("text"), F.lit(12)).alias("states"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 5 < 3 AS dated, o_orderkey % 2 = 0 AS tracked FROM orders")
+def stated_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether sentences state an order's day (written in several ways, or with another year or month) and its parcel number."""
+    day = F.col("o_orderdate").cast("date")
+    wrong = F.concat_ws("-", (F.year(day) + 1).cast("string"), F.date_format(day, "MM"), F.date_format(day, "dd"))
+    other = F.concat(F.month(F.add_months(day, 1)).cast("string"), F.lit("월 1일"))
+    ways = [F.date_format(day, "yyyy-MM-dd"), F.date_format(day, "M월 d일"), F.date_format(day, "yyyy년 M월 d일"), wrong, other]
+    parcel = F.concat(F.lit("P-"), F.lpad("o_orderkey", 9, "0"))
+    told = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("is "), F.replace(F.lower(parcel), F.lit("-"), F.lit(" \u2013 ")))).otherwise(F.concat(parcel, F.lit("7")))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", day.alias("day"), parcel.alias("parcel"), F.concat(F.lit("on "), F.get(F.array(*ways), (F.col("o_orderkey") % 5).cast("int")), F.lit("에 ")).alias("said"), told.alias("told"))
+    return o.select("o_orderkey", fn.states_date(F.col("said"), F.col("day")).alias("dated"), fn.states_text(F.col("told"), F.col("parcel")).alias("tracked"))
