@@ -51,14 +51,39 @@ def test_drawn_sign_flips_are_near_the_exact_p():
     assert not is_exact and n == 14 and abs(drawn - exact) < 0.02
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 24, 80, 1000])
+def test_draws_are_those_of_the_generator(n):
+    rng, source = random.Random(7), op.Draws(7)
+    assert [x for k in (1, 3, 996, 4000) for x in source.below(n, k).tolist()] == [rng.choice(range(n)) for _ in range(5000)]
+    rng, source = random.Random(9), op.Draws(9)
+    assert source.heads(700).tolist() == [rng.random() < 0.5 for _ in range(700)]
+
+
+def test_drawn_p_is_that_of_the_generator():
+    ds = [random.Random(4).choice((-1.5, 1, 2, 0.25)) + k / 64 for k in range(25)]
+    rng = random.Random(op.FLIP_SEED)
+    hits = sum(abs(sum(d if rng.random() < 0.5 else -d for d in ds)) >= abs(sum(ds)) - 1e-9 for _ in range(op.DRAWS))
+    assert op.sign_flip_p(ds) == ((hits + 1) / (op.DRAWS + 1), 25, False)
+
+
 def test_resampling_order_statistics(spark):
     df = spark.createDataFrame([(k, float(k % 2)) for k in range(20)], "task int, v double")
-    r = op.resampled(df, op.mean_of(1), draws=1000).first()
-    rng, rows = random.Random(op.SEED), [(k, float(k % 2)) for k in range(20)]
-    means = sorted(sum(x[1] for x in rng.choices(rows, k=20)) / 20 for _ in range(1000))
+    r = op.resampled(df, "task", op.mean_of("v"), draws=1000).first()
+    rng, rows = random.Random(op.SEED), [float(k % 2) for k in range(20)]
+    means = sorted(sum(rng.choice(rows) for _ in rows) / 20 for _ in range(1000))
     assert (r.point, r.low, r.high) == (0.5, pytest.approx(means[25]), pytest.approx(means[974]))
     pooled = spark.createDataFrame([(1, 1, 2, 1, 1), (2, 0, 0, 1, 2)], "task int, a int, b int, c int, d int")
-    assert op.resampled(pooled, op.pooled_ratio(1, 2, 3, 4), draws=50).first().point == pytest.approx(2 / 3 - 1 / 2)
+    assert op.resampled(pooled, "task", op.pooled_ratio("a", "b", "c", "d"), draws=50).first().point == pytest.approx(2 / 3 - 1 / 2)
+
+
+def test_runs_of_different_tasks_are_no_pair(spark):
+    a = spark.createDataFrame([("a", 4, 1), ("b", 4, 0), ("c", 1, 1)], "task string, n long, c long")
+    better = spark.createDataFrame([("a", 4, 3), ("b", 4, 1), ("c", 4, 4)], "task string, n long, c long")
+    assert sorted((r.task, r.difference) for r in op.paired(a, better, "task", 1).collect()) == [("a", 0.5), ("b", 0.25), ("c", 0.0)]
+    assert {r.task for r in op.paired(a, better, "task", 4).collect()} == {"a", "b"}
+    for one, two in ((a, better.filter("task <> 'a'")), (a.filter("task <> 'b'"), better)):
+        with pytest.raises(Exception, match="same tasks"):
+            op.paired(one, two, "task", 1).collect()
 
 
 def test_shares_of_the_negative_control_add_up(spark):

@@ -6,12 +6,15 @@ import math
 import random
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RESAMPLES, EXACT_MOST, DRAWS, SLACK = 10_000, 20, 20_000, 1e-9
-SEED = 20260919
+SEED, FLIP_SEED = 20260919, 20261024
+#: Failures in a row after which a run stops.
+FAILURES = 3
 
 
 def success(verdict: Column, ending_judged: Column, state_equal: Column, values: Column) -> Column:
@@ -58,69 +61,115 @@ def pass_k_table(by_task: DataFrame) -> DataFrame:
     return each.groupBy("k").agg(value.alias("value"))
 
 
-def resampled(values: DataFrame, statistic: Callable[[list], float | None], seed: int = SEED, draws: int = RESAMPLES) -> DataFrame:
+class Draws:
+    """The 32-bit outputs of Python's generator for a seed, in order, as arrays: what is published with a seed can then be
+    drawn again a few thousand times faster."""
+
+    def __init__(self, seed: int):
+        *key, at = random.Random(seed).getstate()[1]
+        self.source = np.random.MT19937()
+        self.source.state = {"bit_generator": "MT19937", "state": {"key": np.array(key, np.uint32), "pos": at}}
+        self.left = np.zeros(0, np.uint32)
+
+    def below(self, n: int, count: int) -> np.ndarray:
+        """``count`` places below n, as so many single choices among n: the high bits of each output that are below n."""
+        bits = n.bit_length()
+        if bits > 32:
+            raise ValueError("more than 2**32 - 1 rows to draw from")
+        parts, have = [np.zeros(0, np.uint32)], 0
+        while have < count:
+            raw = self.left if len(self.left) else self.source.random_raw(max(1024, int((count - have) * (1 << bits) / n))).astype(np.uint32)
+            places = raw >> np.uint32(32 - bits)
+            kept = np.flatnonzero(places < n)[: count - have]
+            have += len(kept)
+            self.left = raw[kept[-1] + 1 :] if have == count else raw[:0]
+            parts.append(places[kept])
+        return np.concatenate(parts).astype(np.int64)
+
+    def heads(self, count: int) -> np.ndarray:
+        """``count`` times whether a number from 0 to 1 is below a half: the first bit of the first of its two outputs."""
+        return self.source.random_raw(2 * count)[::2] < 1 << 31
+
+
+#: Values of a frame, a column each, to the statistic of each of several draws; nan where it is undefined. The places that
+#: a draw chose are a row of the array.
+Statistic = Callable[[dict[str, np.ndarray], np.ndarray], np.ndarray]
+#: Places drawn at a time.
+_AT_ONCE = 1 << 22
+
+
+def resampled(values: DataFrame, order: str, statistic: Statistic, seed: int = SEED, draws: int = RESAMPLES) -> DataFrame:
     """One row (point, low, high) for a table of one row a task: the statistic, and its 2.5 and 97.5 % order
     statistics over resamples of the tasks drawn with replacement.
 
-    The rows are per-task summaries, brought to one task on purpose: the draws must come from one generator, in
-    the order of the first column. Draws for which the statistic is undefined (None) are dropped.
+    Tasks are drawn from in the order of ``order``, draw after draw from one generator, as published intervals are; so
+    the columns used, as arrays, are brought to one task on purpose (8 bytes a value), and draws are made by the block.
+    Draws for which the statistic is undefined are dropped. nan if there are no rows, or the point is undefined.
     """
-    columns = values.columns
 
     def run(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        rows = [tuple(r) for r in frame.sort_values(columns[0]).drop(columns=["one"]).itertuples(index=False)]
-        if not rows or (point := statistic(rows)) is None:
-            return pd.DataFrame({"point": [math.nan], "low": [math.nan], "high": [math.nan]})
-        rng = random.Random(seed)
-        found = [s for _ in range(draws) if (s := statistic(rng.choices(rows, k=len(rows)))) is not None]
-        found.sort()
-        low, high = int(len(found) * 0.025), max(0, int(len(found) * 0.975) - 1)
-        return pd.DataFrame({"point": [point], "low": [found[low]], "high": [found[high]]})
+        frame = frame.sort_values(order)
+        columns = {c: frame[c].to_numpy(np.float64) for c in frame.columns if c not in (order, "one")}
+        n = len(frame)
+        point = float(statistic(columns, np.arange(n)[None, :])[0])
+        if math.isnan(point):
+            return pd.DataFrame({"point": [point], "low": [point], "high": [point]})
+        source, found, block = Draws(seed), [], max(1, _AT_ONCE // n)
+        for k in range(0, draws, block):
+            rows = min(block, draws - k)
+            found.append(statistic(columns, source.below(n, rows * n).reshape(rows, n)))
+        known = np.sort(np.concatenate(found))
+        known = known[~np.isnan(known)]
+        low, high = (float(known[k]) for k in (int(0.025 * len(known)), int(0.975 * len(known)) - 1))
+        return pd.DataFrame({"point": [point], "low": [low], "high": [high]})
 
     return values.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "point double, low double, high double")
 
 
-def mean_of(place: int) -> Callable[[list], float | None]:
-    """Statistic: mean of one field of the rows."""
-    return lambda rows: math.fsum(r[place] for r in rows) / len(rows) if rows else None
+def mean_of(column: str) -> Statistic:
+    """Statistic: mean of a column."""
+    return lambda values, places: values[column][places].mean(axis=1)
 
 
-def pooled_ratio(num: int, den: int, num2: int, den2: int) -> Callable[[list], float | None]:
-    """Statistic: difference of two ratios of sums; undefined if either denominator is zero."""
+def pooled_ratio(num: str, den: str, num2: str, den2: str) -> Statistic:
+    """Statistic: difference of two ratios of sums, the second less the first; undefined if either denominator is zero."""
 
-    def statistic(rows: list) -> float | None:
-        d, d2 = sum(r[den] for r in rows), sum(r[den2] for r in rows)
-        return sum(r[num2] for r in rows) / d2 - sum(r[num] for r in rows) / d if d and d2 else None
+    def statistic(values: dict[str, np.ndarray], places: np.ndarray) -> np.ndarray:
+        n, d, n2, d2 = (values[c][places].sum(axis=1) for c in (num, den, num2, den2))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where((d != 0) & (d2 != 0), n2 / d2 - n / d, np.nan)
 
     return statistic
 
 
-def sign_flip_p(differences: Iterable[float], exact_most: int = EXACT_MOST, draws: int = DRAWS, seed: int = SEED) -> tuple[float, int, bool]:
+def sign_flip_p(differences: Iterable[float], exact_most: int = EXACT_MOST, draws: int = DRAWS, seed: int = FLIP_SEED) -> tuple[float, int, bool]:
     """Two-sided p of the mean difference under random signs, how many differences count, and whether it is exact.
 
-    Zero differences say nothing. Up to ``exact_most`` of the others all sign patterns are counted, by sums of
-    either half held against each other; beyond, (hits + 1) / (draws + 1) over drawn patterns.
+    Zero differences say nothing. Up to ``exact_most`` of the others, the distribution of the sum is built up one
+    difference at a time, sums that are equal counted together; beyond, sign patterns are drawn.
     """
-    some = [d for d in differences if d]
-    if not some:
-        return 1.0, 0, True
-    target = abs(math.fsum(some)) - SLACK
-    if len(some) <= exact_most:
-        halves = []
-        for part in (some[: len(some) // 2], some[len(some) // 2 :]):
-            sums = [0.0]
-            for d in part:
-                sums = [s + x for s in sums for x in (d, -d)]
-            halves.append(sums)
-        hits = sum(abs(a + b) >= target for a in halves[0] for b in halves[1])
-        return hits / 2 ** len(some), len(some), True
-    rng = random.Random(seed)
-    hits = sum(abs(math.fsum(d if rng.random() < 0.5 else -d for d in some)) >= target for _ in range(draws))
-    return (hits + 1) / (draws + 1), len(some), False
+    d = np.array([x for x in differences if x], np.float64)
+    least = abs(math.fsum(d)) - SLACK
+    if least <= 0:
+        return 1.0, len(d), True
+    if len(d) <= exact_most:
+        sums, ways = np.zeros(1), np.ones(1)
+        for x in d:
+            both = np.concatenate((sums - x, sums + x))
+            order = np.argsort(both)
+            both, twice = both[order], np.concatenate((ways, ways))[order]
+            begins = np.flatnonzero(np.diff(both, prepend=-np.inf) > SLACK / 1000)
+            sums, ways = both[begins], np.add.reduceat(twice, begins)
+        return float(ways[np.abs(sums) >= least].sum() / ways.sum()), len(d), True
+    source, hits, block = Draws(seed), 0, max(1, _AT_ONCE // len(d))
+    for k in range(0, draws, block):
+        plus = source.heads(min(block, draws - k) * len(d)).reshape(-1, len(d))
+        hits += int((np.abs(2 * (plus @ d) - d.sum()) >= least).sum())
+    return (1 + hits) / (1 + draws), len(d), False
 
 
 def sign_flip(differences: DataFrame, key: str, value: str) -> DataFrame:
-    """One row (p, n, exact) for a table of one difference a task, taken in the order of ``key``."""
+    """One row (p, n, exact) for a table of one difference a task, taken in the order of ``key``; one task holds all."""
 
     def run(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         p, n, exact = sign_flip_p(frame.sort_values("k")["d"].tolist())
@@ -141,11 +190,14 @@ def sign_flip_exact_sql(differences: DataFrame, value: str) -> DataFrame:
 
 
 def paired(base: DataFrame, other: DataFrame, task: str, k: int) -> DataFrame:
-    """(task, difference) of pass^k between two runs for the tasks with k trials or more in both."""
-    both = base.filter(F.col("n") >= k).select(task, pass_hat_k(F.col("n"), F.col("c"), F.lit(k)).alias("was")).join(
-        other.filter(F.col("n") >= k).select(task, pass_hat_k(F.col("n"), F.col("c"), F.lit(k)).alias("is")), task
-    )
-    return both.select(task, (F.col("is") - F.col("was")).alias("difference"))
+    """(task, difference) of pass^k between two runs, over the tasks with k trials or more in both. Both must have the same
+    tasks; a task that one run lacks is an error."""
+    was, now = (df.select(task, F.struct("n", "c").alias(name)) for df, name in ((base, "was"), (other, "now")))
+    both = was.join(now, task, "full_outer")
+    lacking = F.raise_error(F.concat(F.lit("both runs must have the same tasks: "), F.col(task).cast("string")))
+    whole = F.when(F.col("was").isNull() | F.col("now").isNull(), lacking.cast("boolean")).otherwise(F.lit(True))
+    value = lambda of: pass_hat_k(F.col(f"{of}.n"), F.col(f"{of}.c"), F.lit(k))
+    return both.filter(whole).select(task, (value("now") - value("was")).alias("difference")).filter("difference IS NOT NULL")
 
 
 def negative_control(pairs: DataFrame, task: str, fired: str, base: str, arm: str) -> DataFrame:

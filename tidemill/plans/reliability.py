@@ -77,30 +77,56 @@ def pass_k_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def paired_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Difference of pass^1 between two runs, for tasks that both have."""
+    return op.paired(*_both(spark, sf_dir), "task", 1).withColumn("difference", F.round("difference", 9))
+
+
+def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The two runs, of the tasks that both have."""
     a, z = _halves(spark, sf_dir)
-    return op.paired(a, z, "task", 1).withColumn("difference", F.round("difference", 9))
+    return a.join(z.select("task"), "task", "left_semi"), z.join(a.select("task"), "task", "left_semi")
+
+
+def _rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.trials_by_task(trials(spark, sf_dir), "task", "passed").select("task", (F.col("c") / F.col("n")).alias("rate"))
+
+
+def _sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, z = _both(spark, sf_dir)
+    return a.join(z.withColumnsRenamed({"n": "n2", "c": "c2"}), "task")
 
 
 @query()
 def bootstrap_pass_1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval of mean pass^1 over 10,000 resamples of the tasks."""
-    by = op.trials_by_task(trials(spark, sf_dir), "task", "passed").select("task", (F.col("c") / F.col("n")).alias("rate"))
-    return op.resampled(by, op.mean_of(1))
+    return op.resampled(_rates(spark, sf_dir), "task", op.mean_of("rate"))
 
 
 @query()
 def bootstrap_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval of the mean paired difference between two runs, resampled by task."""
-    a, z = _halves(spark, sf_dir)
-    return op.resampled(op.paired(a, z, "task", 1), op.mean_of(1))
+    return op.resampled(op.paired(*_both(spark, sf_dir), "task", 1), "task", op.mean_of("difference"))
 
 
 @query()
 def bootstrap_pooled_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval of the difference of two pooled ratios, sums taken anew in each resample."""
-    a, z = _halves(spark, sf_dir)
-    both = a.join(z.withColumnsRenamed({"n": "n2", "c": "c2"}), "task").select("task", "c", "n", "c2", "n2")
-    return op.resampled(both, op.pooled_ratio(1, 2, 3, 4), seed=20261005)
+    return op.resampled(_sums(spark, sf_dir), "task", op.pooled_ratio("c", "n", "c2", "n2"), seed=20261005)
+
+
+@query(
+    f"WITH {_BY_TASK}, {_HALVES}, p AS (SELECT a.n, a.c, z.n AS n2, z.c AS c2 FROM a JOIN z USING (task)) "
+    "SELECT 'pass_1' AS statistic, round(avg(c / n), 9) AS point FROM b UNION ALL SELECT 'paired', round(avg(c2 / n2 - c / n), 9) FROM p "
+    "UNION ALL SELECT 'pooled_ratio', round(sum(c2) / sum(n2) - sum(c) / sum(n), 9) FROM p"
+)
+def resampled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of the three resamplings over the tasks as they are, by the same functions, without draws."""
+    none = [
+        ("pass_1", _rates(spark, sf_dir), op.mean_of("rate")),
+        ("paired", op.paired(*_both(spark, sf_dir), "task", 1), op.mean_of("difference")),
+        ("pooled_ratio", _sums(spark, sf_dir), op.pooled_ratio("c", "n", "c2", "n2")),
+    ]
+    points = [op.resampled(df, "task", f, draws=40).select(F.lit(name).alias("statistic"), F.round("point", 9).alias("point")) for name, df, f in none]
+    return points[0].union(points[1]).union(points[2])
 
 
 _SEGMENTS = (
@@ -141,8 +167,7 @@ def sign_flip_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def sign_flip_monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p by drawn sign patterns, for more differences than can be enumerated."""
-    a, z = _halves(spark, sf_dir)
-    return op.sign_flip(op.paired(a, z, "task", 1), "task", "difference")
+    return op.sign_flip(op.paired(*_both(spark, sf_dir), "task", 1), "task", "difference")
 
 
 @query(
@@ -238,10 +263,10 @@ def best_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     "WITH e AS (SELECT *, (event_type = 'error') AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, "
     "row_number() OVER (PARTITION BY user_id, event_type = 'error' ORDER BY ts, event_id) AS j FROM events), "
     "g AS (SELECT user_id, k - j AS island, count(*) AS length, max(k) AS pos FROM e WHERE bad GROUP BY 1, 2) "
-    "SELECT user_id, max(length) AS longest, coalesce(min(pos - length + 2) FILTER (length >= 2), 0) AS stops_at FROM g GROUP BY user_id"
+    "SELECT user_id, max(length) AS longest, coalesce(min(pos - length + 3) FILTER (length >= 3), 0) AS stops_at FROM g GROUP BY user_id"
 )
 def failure_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Longest run of consecutive failures of each user, and where a stop after two in a row would come (0: never)."""
+    """Longest run of consecutive failures of each user, and where a stop after three in a row would come (0: never)."""
     bad = F.col("event_type") == "error"
     order = ("ts", "event_id")
     e = table(spark, sf_dir, "events").select(
@@ -251,7 +276,7 @@ def failure_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.row_number().over(Window.partitionBy("user_id", bad).orderBy(*order)).alias("j"),
     )
     g = e.filter("bad").groupBy("user_id", (F.col("k") - F.col("j")).alias("island")).agg(F.count("*").alias("length"), F.max("k").alias("pos"))
-    stop = F.min(F.when(F.col("length") >= 2, F.col("pos") - F.col("length") + 2))
+    stop = F.min(F.when(F.col("length") >= op.FAILURES, F.col("pos") - F.col("length") + op.FAILURES))
     return g.groupBy("user_id").agg(F.max("length").alias("longest"), F.coalesce(stop, F.lit(0)).alias("stops_at"))
 
 
