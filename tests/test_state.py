@@ -1,6 +1,7 @@
 from collections import Counter
 from datetime import datetime
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -44,6 +45,15 @@ def test_fingerprints_ignore_order_and_see_changes(spark):
     df = spark.range(50).toDF("k")
     f = lambda d: op.fingerprint("t", d, ["k"]).first().hash
     assert f(df) == f(df.orderBy(F.desc("k"))) != f(df.filter("k > 0"))
+    pairs = [df.union(df.filter(f"k = {k}")).union(df.filter(f"k = {k}")) for k in (3, 4)]
+    assert len({f(df), *map(f, pairs)}) == 3
+    rows = lambda *values: spark.createDataFrame([(v,) for v in values], "k string")
+    assert len({f(rows(None)), f(rows("")), f(rows())}) == 3
+
+
+def test_floating_numbers_are_no_plain_values(spark):
+    with pytest.raises(TypeError, match="price"):
+        op.dump(spark.createDataFrame([(1, 0.5)], "id int, price double"), ["id"])
 
 
 def test_refused_requests_leave_the_stock(spark):
@@ -72,4 +82,5 @@ def test_decisions_and_their_effect(spark):
     assert {r.k: r.code for r in d.collect()} == {1: None, 2: "closed", 3: "not_found"}
     after = writes.apply(state, d.filter("code IS NULL"), "k", {"s": F.lit("C")})
     assert sorted(map(tuple, after.collect())) == [(1, "C"), (2, "F")]
-    assert sorted(map(tuple, writes.dry_run(state, d).collect())) == [(1, "O"), (2, "F")]
+    assert [tuple(r) for r in writes.dry_run(state, d.filter("code IS NULL"), "k", {"s": F.lit("C")}).collect()] == [(1, "s", "O", "C")]
+    assert writes.dry_run(state, d.filter("code IS NULL"), "k", {"s": F.lit("O")}).collect() == []

@@ -7,7 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-STALL, SCRIPT = r"(?i)\b(?:one moment|please wait|잠시만)\b", r"[一-鿿぀-ヿ]"
+# Promises to act, requests to the customer, letters of other scripts.
+PROMISE = r"(확인|조회|처리|접수|진행|발급|변경|취소|연결|검토)\s*(해|하)\s*(보|드리)?\s*겠습니다|잠시만|기다려\s*주"
+ASKS = r"[?？]|알려\s*주|말씀해\s*주|불러\s*주|입력해\s*주"
+SCRIPT = r"[\u4e00-\u9fff\u3040-\u30ff]"
 MAX_TURNS, MAX_REPEATS = 20, 2
 
 
@@ -26,8 +29,8 @@ def collapsed(text: Column) -> Column:
 
 
 def is_stall(text: Column) -> Column:
-    """A promise to come back, without a question."""
-    return text.rlike(STALL) & ~text.contains("?")
+    """A promise to act, with nothing that the customer is asked for."""
+    return text.rlike("(?U)" + PROMISE) & ~text.rlike("(?U)" + ASKS)
 
 
 def loops(messages: DataFrame) -> DataFrame:

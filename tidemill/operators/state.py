@@ -11,7 +11,10 @@ from pyspark.sql.window import Window
 
 
 def plain(name: str, kind: T.DataType) -> Column:
-    """A column as comparable plain value: times as ISO seconds in UTC, dates as ISO dates, the rest unchanged."""
+    """A column as comparable plain value: times as ISO seconds in UTC, dates as ISO dates, the rest unchanged. Floating
+    numbers have no plain value that compares as it should, and are refused."""
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        raise TypeError(f"{name}: a floating number is no plain value")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias(name)
     if isinstance(kind, T.DateType):
@@ -72,10 +75,12 @@ def row_hash(columns: Sequence[str]) -> Column:
 
 
 def fingerprint(name: str, df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row (name, n, hash): exclusive or of 60 bits of every row's MD5. Rows that occur an even number of times
-    cancel out, so it suits tables with a key."""
-    bits = F.conv(F.substring(F.md5(F.concat_ws("|", *columns)), 1, 15), 16, 10).cast("long")
-    return df.agg(F.count("*").alias("n"), F.bit_xor(bits).alias("hash")).select(F.lit(name).alias("name"), "n", "hash")
+    """One row (name, n, hash): sum of the first 60 bits of every row's SHA-256, as text. A row counts as often as it
+    occurs; no order, no sort, no list. Nulls are written as \\N, so that they are no empty text."""
+    row = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns))
+    bits = F.conv(F.substring(F.sha2(row, 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    total = F.coalesce(F.sum(bits), F.lit(0)).cast("string")
+    return df.agg(F.count("*").alias("n"), total.alias("hash")).select(F.lit(name).alias("name"), "n", "hash")
 
 
 def sample(df: DataFrame, key: str, k: int, seed: str) -> DataFrame:

@@ -27,9 +27,11 @@ def apply(state: DataFrame, accepted: DataFrame, key: str, changes: dict[str, Co
     return changed.select(*(F.when(F.col("_hit"), changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in state.columns))
 
 
-def dry_run(state: DataFrame, accepted: DataFrame) -> DataFrame:
-    """What a rehearsal leaves: the state as it was."""
-    return state
+def dry_run(state: DataFrame, accepted: DataFrame, key: str, changes: dict[str, Column]) -> DataFrame:
+    """(key, field, was, would_be) of what ``apply`` would change, a row for each field, as text; the state is not touched."""
+    hit = state.join(accepted.select(key).distinct(), key, "left_semi")
+    fields = F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("was"), v.cast("string").alias("would_be")) for c, v in changes.items()))
+    return hit.select(key, F.inline(fields)).filter("NOT was <=> would_be")
 
 
 def take_stock(requests: DataFrame, stock: DataFrame, key: str, order: str, quantity: str, left: str) -> DataFrame:

@@ -48,8 +48,13 @@ def reply_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.loops(messages(spark, sf_dir).filter("role = 'assistant'"))
 
 
+#: A sentence behind some replies, so that the tables have what is looked for.
+_TAIL = "CASE (conv_id + turn) % 4 WHEN 0 THEN ' 확인해 보겠습니다.' WHEN 1 THEN ' 잠시만요, 번호를 알려 주세요.' WHEN 2 THEN ' 곧 처리해 드리겠습니다?' ELSE '' END"
+
+
 @query(
-    f"SELECT conv_id, turn, coalesce(p = lag(p) OVER (PARTITION BY conv_id ORDER BY turn), false) AS repeats, regexp_matches(text, '(?i)(one moment|please wait|잠시만)') AND NOT contains(text, '?') AS stalls, "
+    f"SELECT conv_id, turn, coalesce(p = lag(p) OVER (PARTITION BY conv_id ORDER BY turn), false) AS repeats, "
+    f"regexp_matches(text || {_TAIL}, '{op.PROMISE}') AND NOT regexp_matches(text || {_TAIL}, '{op.ASKS}') AS stalls, "
     f"len(regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}\\x{{3040}}-\\x{{30ff}}]')) >= 2 AS other_script FROM (SELECT *, {_PLAIN} AS p FROM conversations WHERE role = 'assistant')"
 )
 def reply_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +62,7 @@ def reply_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = messages(spark, sf_dir).filter("role = 'assistant'").withColumn("p", op.collapsed(F.col("text")))
     repeats = F.coalesce(F.col("p") == F.lag("p").over(op.in_order()), F.lit(False))
     other = F.regexp_count("text", F.lit(op.SCRIPT)) >= 2
-    return m.select("conv_id", "turn", repeats.alias("repeats"), op.is_stall(F.col("text")).alias("stalls"), other.alias("other_script"))
+    return m.select("conv_id", "turn", repeats.alias("repeats"), op.is_stall(F.concat("text", F.expr(_TAIL))).alias("stalls"), other.alias("other_script"))
 
 
 _TURNS = "t AS (SELECT *, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS exchange FROM conversations)"
@@ -80,7 +85,7 @@ def injection_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH p AS (SELECT DISTINCT conv_id AS a, conv_id + 1 AS b FROM conversations WHERE conv_id % 2 = 0), "
+    "WITH p AS (SELECT DISTINCT conv_id AS a, conv_id + 1 AS b FROM conversations), "
     "x AS (SELECT a, b, turn, role, text FROM p JOIN conversations ON conv_id = a), y AS (SELECT a, b, turn, role, text FROM p JOIN conversations ON conv_id = b), "
     "d AS (SELECT coalesce(x.a, y.a) AS a, coalesce(x.b, y.b) AS b, coalesce(x.turn, y.turn) AS turn, coalesce(x.role, y.role) AS side FROM x FULL JOIN y ON x.a = y.a AND x.turn = y.turn "
     "WHERE x.role IS DISTINCT FROM y.role OR x.text IS DISTINCT FROM y.text) SELECT a, b, min(turn) AS turn, arg_min(side, turn) AS side FROM d GROUP BY a, b"
@@ -88,7 +93,7 @@ def injection_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where neighbouring conversations part, and whose message it is."""
     m = messages(spark, sf_dir)
-    pairs = m.filter("conv_id % 2 = 0").select(F.col("conv_id").alias("a"), (F.col("conv_id") + 1).alias("b")).distinct()
+    pairs = m.select(F.col("conv_id").alias("a"), (F.col("conv_id") + 1).alias("b")).distinct()
     return op.first_divergence(pairs, m, m)
 
 
@@ -167,8 +172,7 @@ def consent_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unbacked_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First sentence of each reply that claims something done which no earlier message of the conversation shows."""
     m = messages(spark, sf_dir)
-    fixed = [(-1, 0, "user", "취소해 주세요"), (-1, 1, "assistant", "주문 취소가 완료되었습니다. 감사합니다."), (-1, 2, "user", "네"), (-1, 3, "assistant", "취소해 드리겠습니다.")]
+    fixed = [(-1, 0, "user", "취소해 주세요"), (-1, 1, "assistant", "주문 취소가 완료되었습니다. 감사합니다."), (-1, 2, "user", "네"), (-1, 3, "assistant", "취소해 드리겠습니다."), (-1, 4, "system", 'cancel_order\n{"status": "cancelled"}'), (-1, 5, "assistant", "취소가 완료되었습니다.")]
     m = m.union(spark.createDataFrame(fixed, m.schema))
-    before = F.array_agg(F.when(F.col("role") == "system", F.col("text"))).over(op.in_order().rowsBetween(Window.unboundedPreceding, -1))
-    replies = m.withColumn("shown", F.coalesce(before, F.array().cast("array<string>"))).filter("role = 'assistant'")
-    return replies.select("conv_id", "turn", claims.unbacked("text", "shown").alias("claim")).select("conv_id", "turn", "claim.*").filter("sentence IS NOT NULL")
+    results = m.filter("role = 'system'")
+    return claims.unbacked(m.filter("role = 'assistant'"), results)

@@ -19,10 +19,11 @@ def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return o.select(*columns), changed.select(*columns)
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+00:00') AS o_orderdate, o_totalprice FROM orders")
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+00:00') AS o_orderdate, round(o_totalprice * 100)::BIGINT AS cents FROM orders")
 def state_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain rows of a table in key order: free text left out, times as ISO seconds in UTC."""
-    return op.dump(table(spark, sf_dir, "orders"), ["o_orderkey"], ignored=["o_orderpriority"])
+    o = table(spark, sf_dir, "orders").withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("long"))
+    return op.dump(o, ["o_orderkey"], ignored=["o_orderpriority", "o_totalprice"])
 
 
 @query(f"WITH {_A}, {_B} SELECT 'only_expected' AS side, * FROM (FROM a EXCEPT FROM b) UNION ALL SELECT 'only_actual', * FROM (FROM b EXCEPT FROM a)")
@@ -114,7 +115,7 @@ def row_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT 'orders' AS name, count(*) AS n, bit_xor(('0x' || substr(md5(concat_ws('|', o_orderkey, o_custkey, o_orderstatus)), 1, 15))::BIGINT) AS hash FROM orders"
+    "SELECT 'orders' AS name, count(*) AS n, sum(('0x' || substr(sha256(concat_ws('|', o_orderkey, o_custkey, o_orderstatus)), 1, 15))::BIGINT)::HUGEINT::VARCHAR AS hash FROM orders"
 )
 def state_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of a table that doesn't depend on the order of its rows: added up in parallel, no sort, no list."""
