@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from tidemill.sources import records as src
 
 
@@ -9,7 +11,7 @@ def episode(task, trial, values, **more):
 
 
 def test_records(spark, tmp_path):
-    calls = [{"tool": "find_customer", "ok": True, "agent_call": 1}, {"tool": "get_order", "ok": False, "agent_call": 1}]
+    calls = [{"name": "find_customer", "ok": True, "agent_call": 1}, {"name": "get_order", "ok": False, "agent_call": 1}]
     llm = [{"who": "agent", "index": 1}, {"who": "agent", "index": 3}, {"who": "user", "index": 2}]
     rows = [
         episode("a", 0, {}, tool_calls=calls, llm_calls=llm, voice=[{"said": "x", "heard": "y"}]),
@@ -33,3 +35,13 @@ def test_records(spark, tmp_path):
     src.append(df.drop("run_id"), out)
     assert src.episodes(spark, out).count() == 8
     assert src.copy_once(df, str(tmp_path / "t")) and not src.copy_once(df, str(tmp_path / "t"))
+
+
+def test_manifests_tell_test_runs(spark, tmp_path):
+    for run, text in {"r1": {"run_id": "one", "tasks_file": "tasks/dev.yaml", "task_sha256": {"dev-1": "x"}, "config": {"errors": "E1"}}, "r2": {"tasks_file": "C:\\\\tasks\\\\my-test.yaml"}, "r3": {"task_sha256": {"test-1": "y"}}, "r4": {"tasks_file": "tests/dev.yaml"}}.items():
+        (tmp_path / run).mkdir()
+        (tmp_path / run / "manifest.json").write_text(json.dumps(text, indent=1))
+    m = src.manifests(spark, f"{tmp_path}/*/manifest.json")
+    found = {r.run_id: r.t for r in m.select("run_id", src.is_test_run(F.col("tasks_file"), F.col("task_sha256")).alias("t")).collect()}
+    assert found == {"one": False, "r2": True, "r3": True, "r4": False}
+    assert m.filter("run_id = 'one'").first().config == {"errors": "E1"}

@@ -74,12 +74,17 @@ def row_hash(columns: Sequence[str]) -> Column:
     return F.sha2(F.concat_ws("|", *columns), 256)
 
 
+def row_bits(*columns: Column) -> Column:
+    """First 60 bits of the SHA-256 of a row, as a number that can be summed. Nulls are written as \\N, so that they are no
+    empty text."""
+    row = F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("\\N")) for c in columns))
+    return F.conv(F.substring(F.sha2(row, 256), 1, 15), 16, 10).cast("decimal(38,0)")
+
+
 def fingerprint(name: str, df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row (name, n, hash): sum of the first 60 bits of every row's SHA-256, as text. A row counts as often as it
-    occurs; no order, no sort, no list. Nulls are written as \\N, so that they are no empty text."""
-    row = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns))
-    bits = F.conv(F.substring(F.sha2(row, 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    total = F.coalesce(F.sum(bits), F.lit(0)).cast("string")
+    occurs; no order, no sort, no list."""
+    total = F.coalesce(F.sum(row_bits(*(F.col(c) for c in columns))), F.lit(0)).cast("string")
     return df.agg(F.count("*").alias("n"), total.alias("hash")).select(F.lit(name).alias("name"), "n", "hash")
 
 

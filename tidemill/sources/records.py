@@ -12,23 +12,49 @@ def _struct(**fields: T.DataType) -> T.StructType:
 
 
 _S, _L, _D, _B = T.StringType(), T.LongType(), T.DoubleType(), T.BooleanType()
-TOOL_CALL = _struct(tool=_S, args=_S, raw_arguments=_S, ok=_B, error=_S, agent_call=_L, seconds=_D)
-LLM_CALL = _struct(who=_S, index=_L, content=_S, prompt_tokens=_L, seconds=_D)
+_LIST, _FOUND = T.ArrayType(_S), T.MapType(_S, _B)
+TOOL_CALL = _struct(agent_call=_L, name=_S, raw_arguments=_S, args=_S, ok=_B, error_code=_S, policy_blocked=_B, violations=_LIST, content=_S, write=_B, ms=_D)
+LLM_CALL = _struct(
+    who=_S, index=_L, seed=_L, text=_S, tool_calls=_LIST, format_error=_S, dropped_text=_S, dropped_calls=_L, finish_reason=_S, prompt_tokens=_L, completion_tokens=_L,
+    wall_ms=_D, load_ms=_D, prompt_eval_ms=_D, eval_ms=_D,
+)
 MESSAGE = _struct(role=_S, content=_S, tool_name=_S, delivered=_B, harness=_B)
-VERDICT = _struct(success=_B, db_match=_B, values=T.MapType(_S, _B))
+VERDICT = _struct(
+    success=_B, judged=_B, db_match=_B, values=_FOUND, unexpected_writes=_L, missing_writes=_L, policy_violations=_LIST, policy_blocks=_LIST, blocked_forbidden_attempts=_L, auth_blocks=_L
+)
 UTTERANCE = _struct(said=_S, spoken=_S, heard=_S, text=_S, cached=_B, seconds=_D)
 #: Free-form parts (arguments) stay JSON text; fields that older records lack are null and filled by readers.
 EPISODE = _struct(
-    task_id=_S, trial=_L, status=_S, termination=_S, config=T.MapType(_S, _S), messages=T.ArrayType(MESSAGE), tool_calls=T.ArrayType(TOOL_CALL),
-    llm_calls=T.ArrayType(LLM_CALL), verdict=VERDICT, voice=T.ArrayType(UTTERANCE), seconds=_D,
+    run_id=_S, task_id=_S, task_sha256=_S, trial=_L, status=_S, termination=_S, verdict=VERDICT, error=_S, messages=T.ArrayType(MESSAGE), user_messages=T.ArrayType(MESSAGE),
+    tool_calls=T.ArrayType(TOOL_CALL), llm_calls=T.ArrayType(LLM_CALL), seed_hash=_S, final_hash=_S, gold_hash=_S, wall_seconds=_D, voice=T.ArrayType(UTTERANCE),
 )
+#: What is read of a run's manifest; the rest of it stays in ``text``.
+MANIFEST = _struct(run_id=_S, tasks_file=_S, task_sha256=T.MapType(_S, _S), config=T.MapType(_S, _S), agent_provider=T.MapType(_S, _S), user_provider=T.MapType(_S, _S))
 JUDGED = ("agent_stop", "customer_stop", "out_of_scope", "max_user_turns")
 
 
+def _folder() -> Column:
+    return F.element_at(F.split(F.input_file_name(), "/"), -2)
+
+
 def episodes(spark: SparkSession, path: str) -> DataFrame:
-    """Records of one or more runs, one JSON object a line; blank lines are skipped, the file's folder is the run."""
+    """Records of one or more runs, one JSON object a line; blank lines are skipped, a run without a name has its folder's."""
     read = spark.read.schema(EPISODE).json(path)
-    return read.withColumn("run_id", F.element_at(F.split(F.input_file_name(), "/"), -2))
+    return read.withColumn("run_id", F.coalesce("run_id", _folder()))
+
+
+def manifests(spark: SparkSession, path: str) -> DataFrame:
+    """Manifests (or summaries), one file each: the fields of MANIFEST, the whole as ``text``, and the folder as ``run_id``."""
+    read = spark.read.text(path, wholetext=True).select(_folder().alias("folder"), F.col("value").alias("text"))
+    found = read.select("folder", "text", F.from_json("text", MANIFEST).alias("m"))
+    return found.select(F.coalesce("m.run_id", "folder").alias("run_id"), *(F.col(f"m.{c}") for c in MANIFEST.names if c != "run_id"), "text")
+
+
+def is_test_run(tasks_file: Column, task_sha256: Column) -> Column:
+    """Whether a manifest is of held-back tasks, by the name of their file or of any task; nothing may be made of those."""
+    stem = F.regexp_replace(F.regexp_extract(F.coalesce(tasks_file, F.lit("")), r"([^/\\\\]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    named = F.exists(F.map_keys(F.coalesce(task_sha256, F.create_map().cast("map<string,string>"))), lambda k: k.startswith("test-"))
+    return stem.contains("test") | named
 
 
 def judged(records: DataFrame) -> DataFrame:
@@ -59,7 +85,7 @@ def utterances(records: DataFrame, others: DataFrame | None = None) -> DataFrame
 
 def identified(records: DataFrame, tools: tuple[str, ...] = ("find_customer", "verify_caller")) -> DataFrame:
     """(task_id, share): share of a task's episodes with a successful identity call."""
-    found = F.exists("tool_calls", lambda t: t["ok"] & t["tool"].isin(*tools))
+    found = F.exists("tool_calls", lambda t: t["ok"] & t["name"].isin(*tools))
     return records.groupBy("task_id").agg(F.avg(F.coalesce(found, F.lit(False)).cast("int")).alias("share"))
 
 
@@ -68,7 +94,7 @@ def fired(records: DataFrame, axis: dict[str, Column] | None = None) -> DataFram
     axis = axis or {
         "retry": F.exists("tool_calls", lambda t: ~t["ok"]),
         "long": F.size("llm_calls") > 30,
-        "shipment": F.exists("tool_calls", lambda t: t["ok"] & (t["tool"] == "track_shipment")),
+        "shipment": F.exists("tool_calls", lambda t: t["ok"] & (t["name"] == "track_shipment")),
     }
     return records.withColumn("fired", F.array_compact(F.array(*(F.when(p, name) for name, p in axis.items()))))
 
@@ -80,7 +106,7 @@ def after_held_claims(records: DataFrame) -> DataFrame:
 
     key = ["run_id", "task_id", "trial"]
     calls = records.select(*key, F.inline("llm_calls")).filter("who = 'agent'").select(*key, "index")
-    tools = records.select(*key, F.posexplode("tool_calls").alias("pos", "t")).groupBy(*key, F.col("t.agent_call").alias("index")).agg(F.max_by("t.tool", "pos").alias("tool"))
+    tools = records.select(*key, F.posexplode("tool_calls").alias("pos", "t")).groupBy(*key, F.col("t.agent_call").alias("index")).agg(F.max_by("t.name", "pos").alias("tool"))
     nxt = F.lead(F.coalesce("tool", F.lit("reply"))).over(Window.partitionBy(*key).orderBy("index"))
     return calls.join(tools, [*key, "index"], "left").withColumn("next", F.coalesce(nxt, F.lit("end"))).drop("tool")
 
