@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space of every word split: space and the bytes 9 to 13.
@@ -55,9 +55,15 @@ def as_row(docs: DataFrame, name: str = "row") -> Column:
     return F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias(name)
 
 
-def width(spark: SparkSession) -> int:
-    """How many hash buckets keys are dealt over: the session's shuffle partitions."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of text whose keys one hash bucket may have to answer for.
+BUCKET = 64 << 20
+
+
+def width(docs: DataFrame, text: str) -> int:
+    """How many hash buckets keys are dealt over: the session's shuffle partitions, or more where a bucket would answer for
+    more than BUCKET bytes of text. One pass over the lengths of the texts."""
+    size = docs.agg(F.sum(F.octet_length(docs[text]))).first()[0] or 0
+    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
 
 
 def utf8(text: str | None) -> bytes:

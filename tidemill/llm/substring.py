@@ -23,7 +23,7 @@ WINDOW = 50
 #: A perfect difference set: every residue modulo 31 is a difference of two of the six.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 ANCHOR = WINDOW - PERIOD + 1
-BLOCK = 12 << 20
+BLOCK = 8 << 20
 _SECOND = 0xD1342543DE82EF95 | 1
 _ENTRY = np.dtype([("h", "<u8"), ("g", "<u4"), ("id", "<i8")])
 
@@ -214,7 +214,7 @@ def remove_repeats(
 
 def _repeats(docs: DataFrame, key: str, text: str, digest: bool, carry: Sequence[str], block_bytes: int) -> DataFrame:
     """(id, n_words, n_removed, kept, carried_0, carried_1, ...) of every row."""
-    buckets = width(docs.sparkSession)
+    buckets = width(docs, text)
     blocks = pack(docs, key, text, block_bytes, _ask_anchors(buckets), carry)
     anchors = cut(answers(blocks, _anchor_replies))
     windows = answers(with_answers(blocks, anchors, _ask_windows(buckets), PACKED), _window_replies)
