@@ -133,13 +133,42 @@ def endings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", ending.alias("ending"))
 
 
+_LIMITS = op.Limits(turns=6, calls=8, errors=3, format=1, claim=1, stall=1, repeat=1)
+#: What is wrong with a reply, and which messages of the system are failed tools: made up from the message's place.
+_WRONG = "CASE (conv_id * 3 + turn) % 11 WHEN 0 THEN 'format' WHEN 1 THEN 'claim' WHEN 2 THEN 'stall' END"
+_AS_SAID = "CASE WHEN conv_id % 3 = 0 THEN 'the same  again' ELSE text END"
+_HELD_STALL = "e.kind = 'stall' AND r.is < 1"
+_HELD_REPEAT = f"e.kind IN ('reply', 'stall') AND NOT ({_HELD_STALL}) AND e.said = r.last AND r.ir < 1"
+_AGENT = "e.kind IN ('format', 'claim', 'stall', 'reply')"
+_REPLY = f"{_AGENT} AND e.kind NOT IN ('format', 'claim') AND NOT ({_HELD_STALL}) AND NOT coalesce({_HELD_REPEAT}, false)"
+
+
+def _more(count: str, hit: str) -> str:
+    return f"r.{count} + (coalesce({hit}, false) AND NOT ({_AGENT} AND r.calls >= 8))::BIGINT"
+
+
+def _turn(count: str, hit: str) -> str:
+    return f"CASE WHEN e.kind = 'user' THEN 0 ELSE r.{count} + coalesce({hit}, false)::BIGINT END"
+
+
 @query(
-    "SELECT conv_id, count(*) FILTER (role = 'user') AS customer_turns, count(*) FILTER (role = 'assistant') AS replies, 0::BIGINT AS repeats, "
-    "CASE WHEN arg_max(role, turn) = 'assistant' THEN 'answered' ELSE 'open' END AS ended FROM conversations GROUP BY conv_id"
+    f"WITH RECURSIVE m AS (SELECT conv_id, turn, role, {_WRONG} AS wrong, trim(regexp_replace({_AS_SAID}, '\\s+', ' ', 'g')) AS said FROM conversations), "
+    "e AS (SELECT conv_id, role, said, CASE WHEN role = 'assistant' THEN coalesce(wrong, 'reply') WHEN role = 'user' THEN 'user' WHEN turn % 2 = 0 THEN 'error' ELSE 'other' END AS kind, "
+    "row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM m), "
+    "r AS (SELECT DISTINCT conv_id, 0::BIGINT AS n, 0::BIGINT AS turns, 0::BIGINT AS calls, 0::BIGINT AS replies, 0::BIGINT AS formats, 0::BIGINT AS claims, 0::BIGINT AS stalls, 0::BIGINT AS repeats, 0::BIGINT AS errors, "
+    "0::BIGINT AS fi, 0::BIGINT AS ic, 0::BIGINT AS is, 0::BIGINT AS ir, NULL::VARCHAR AS last, '' AS role, '' AS ended FROM e UNION ALL SELECT r.conv_id, e.n, "
+    f"{_more('turns', "e.kind = 'user' AND r.turns < 6")}, {_more('calls', _AGENT)}, {_more('replies', _REPLY)}, {_more('formats', "e.kind = 'format'")}, {_more('claims', "e.kind = 'claim'")}, {_more('stalls', _HELD_STALL)}, "
+    f"{_more('repeats', _HELD_REPEAT)}, {_more('errors', "e.kind = 'error'")}, {_turn('fi', "e.kind = 'format'")}, {_turn('ic', "e.kind = 'claim'")}, {_turn('is', _HELD_STALL)}, {_turn('ir', _HELD_REPEAT)}, "
+    f"CASE WHEN {_REPLY} THEN e.said ELSE r.last END, CASE WHEN {_REPLY} THEN 'reply' ELSE e.role END, "
+    f"CASE WHEN e.kind = 'user' AND r.turns >= 6 THEN 'max_user_turns' WHEN {_AGENT} AND r.calls >= 8 THEN 'max_agent_calls' WHEN e.kind = 'format' AND r.fi >= 1 THEN 'agent_format_error' "
+    "WHEN e.kind = 'claim' AND r.ic >= 1 THEN 'unbacked_claim' WHEN e.kind = 'error' AND r.errors >= 2 THEN 'tool_errors' ELSE '' END FROM r JOIN e ON e.conv_id = r.conv_id AND e.n = r.n + 1 WHERE r.ended = '') "
+    "SELECT conv_id, turns AS customer_turns, calls, replies, formats, claims, stalls, repeats, errors AS tool_errors, CASE WHEN ended <> '' THEN ended WHEN role = 'reply' THEN 'answered' ELSE 'open' END AS ended "
+    "FROM r QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1"
 )
 def conversation_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state machine over each conversation. (The SQL holds as long as no limit is met, which none is in the tables.)"""
-    return op.fold(messages(spark, sf_dir))
+    """The state machine over each conversation, with replies held and asked for again by kind, under tight limits."""
+    m = messages(spark, sf_dir).withColumns({"wrong": F.expr(_WRONG), "text": F.expr(_AS_SAID)})
+    return op.fold(op.events(m, problem=F.col("wrong"), failed=F.col("turn") % 2 == 0), _LIMITS)
 
 
 @query("WITH e AS (SELECT conv_id, list(struct_pack(t := turn, r := role, n := length(text)) ORDER BY turn) AS log FROM conversations GROUP BY 1) SELECT conv_id, x.t AS turn, x.r AS role, x.n AS chars FROM (SELECT conv_id, unnest(log) AS x FROM e)")
