@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.functions.unicode import nfd
+
 
 def nest(df: DataFrame, key: str, fields: Sequence[str], out: str) -> DataFrame:
     """(key, out): the rows of each key as an array of structs, ordered by the fields in turn.
@@ -50,3 +52,29 @@ def violations(checks: dict[str, DataFrame]) -> DataFrame:
     """(check, violations, keys) of named tables of one column, zero counts included."""
     parts = [rows.agg(F.count("*").alias("violations"), F.count_distinct(rows.columns[0]).alias("keys")).select(F.lit(name).alias("check"), "violations", "keys") for name, rows in checks.items()]
     return reduce(DataFrame.unionByName, parts)
+
+
+def _shorter(words: Column) -> Column:
+    """All words of an array with one letter left out."""
+    cut = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda k: F.concat(F.substring(w, F.lit(1), k - 1), F.substring(w, k + 1, F.length(w))))
+    return F.flatten(F.transform(F.filter(words, lambda w: F.length(w) > 0), cut))
+
+
+def near_names(people: DataFrame, key: str, group: str, name: str, most: int = 2) -> DataFrame:
+    """(key, other, distance): ordered pairs of one group whose names, spaces aside, differ by ``most`` edits of letters at
+    most. Syllables count as their letters.
+
+    Names that near share what is left of both when up to ``most`` letters are taken out of each, so candidates come from
+    an equality join on such rests, not from all pairs of a group; a name has about length ** most / 2 of them.
+    """
+    slim = people.select(key, group, nfd(F.regexp_replace(name, r"\s+", "")).alias("letters")).filter("letters IS NOT NULL")
+    rests, last = F.array("letters"), F.array("letters")
+    for _ in range(most):
+        last = F.array_distinct(_shorter(last))
+        rests = F.concat(rests, last)
+    # as a row of its own, so that the rests are worked out once
+    each = slim.select(key, group, "letters", F.explode(F.array_distinct(rests)).alias("rest"))
+    one, two = (each.select(F.col(key).alias(k), F.col(group), F.col("letters").alias(f"{k}_letters"), "rest") for k in ("_one", "_two"))
+    pairs = one.join(two, [group, "rest"]).filter("_one <> _two").select("_one", "_two", "_one_letters", "_two_letters").distinct()
+    near = pairs.withColumn("distance", F.levenshtein("_one_letters", "_two_letters", most)).filter("distance >= 0")
+    return near.select(F.col("_one").alias(key), F.col("_two").alias("other"), "distance")

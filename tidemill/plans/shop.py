@@ -107,16 +107,29 @@ def exchange_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.alternatives(table(spark, sf_dir, "part"), ["p_brand", "p_type"], "p_partkey", F.col("p_size") >= 10).withColumnRenamed("p_partkey", "part")
 
 
+#: Syllables of a supplier's made-up Korean name: an initial, a vowel and a final each differ from name to name.
+_SYLLABLES = ("s_suppkey * 588 % (19 * 588)", "6 * 588 + s_suppkey * 28 % 588", "9 * 588 + s_suppkey * 5 % 28")
+
+
+def korean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(s_suppkey, s_nationkey, name) of suppliers; in some there is a space."""
+    one, two, three = (F.expr(f"cast(44032 + {s} AS int)") for s in _SYLLABLES)
+    syllable = lambda code: F.decode(F.unhex(F.hex(code)), "UTF-16BE")
+    gap = F.when(F.col("s_suppkey") % 3 == 0, " ").otherwise("")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.concat(syllable(one), gap, syllable(two), syllable(three)).alias("name"))
+
+
+_FINALS = "'!\"#$%&()*+,-./:;<=>?@[]^_{|'"
+_LETTERS = " || ".join(f"chr((65 + ({s}) // 588)::INTEGER) || chr((97 + ({s}) % 588 // 28)::INTEGER) || CASE WHEN ({s}) % 28 = 0 THEN '' ELSE substr({_FINALS}, ({s}) % 28, 1) END" for s in _SYLLABLES)
+
+
 @query(
-    "SELECT a.s_suppkey AS a, b.s_suppkey AS b, levenshtein(a.s_name, b.s_name) AS distance FROM supplier a JOIN supplier b "
-    "ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey WHERE levenshtein(a.s_name, b.s_name) <= 2"
+    f"WITH n AS (SELECT s_suppkey, s_nationkey, {_LETTERS} AS letters FROM supplier) SELECT a.s_suppkey, b.s_suppkey AS other, levenshtein(a.letters, b.letters) AS distance "
+    "FROM n a JOIN n b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey WHERE levenshtein(a.letters, b.letters) <= 2"
 )
 def name_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of one nation whose names differ by two edits at most; the distance stops counting beyond."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    a, b = (s.select(F.col("s_suppkey").alias(x), F.col("s_name").alias(f"{x}_name"), "s_nationkey") for x in "ab")
-    near = F.levenshtein("a_name", "b_name", 2)
-    return a.join(b, "s_nationkey").filter("a < b").withColumn("distance", near).filter("distance >= 0").select("a", "b", "distance")
+    """Ordered pairs of one nation whose names differ by two letters at most."""
+    return op.near_names(korean_names(spark, sf_dir), "s_suppkey", "s_nationkey", "name")
 
 
 @query(
@@ -141,8 +154,8 @@ def latest_approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, ts, event_type, row_number() OVER (ORDER BY event_id) AS place FROM events WHERE user_id = 7")
 def session_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of one session in order."""
-    e = table(spark, sf_dir, "events").filter("user_id = 7").select("event_id", "ts", "event_type")
-    return e.withColumn("place", F.row_number().over(Window.orderBy("event_id")))
+    e = table(spark, sf_dir, "events").filter("user_id = 7").withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
+    return e.select("event_id", "ts", "event_type", "place")
 
 
 _CHECKS = {

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemill.functions import speech, text as fn
+from tidemill.plans.shop import _LETTERS, korean_names
 from tidemill.registry import query, table
 
 #: Characters of a quote, and how many different ones of the items' side every task may hold (8 bytes each).
@@ -99,10 +100,12 @@ def channel_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT s_suppkey, levenshtein(replace(s_name, ' ', ''), 'Supplier#000000001') AS distance FROM supplier")
+@query(f"SELECT s_suppkey, levenshtein({_LETTERS}, (SELECT {_LETTERS} FROM supplier WHERE s_suppkey = 1)) AS distance FROM supplier")
 def jamo_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edits between names by letter; the same as by character outside Hangul."""
-    return table(spark, sf_dir, "supplier").select("s_suppkey", fn.name_distance(F.col("s_name"), F.lit("Supplier#000000001")).alias("distance"))
+    """Edits by letter between each name and the first."""
+    names = korean_names(spark, sf_dir)
+    first = names.filter("s_suppkey = 1").select(F.col("name").alias("first"))
+    return names.crossJoin(F.broadcast(first)).select("s_suppkey", fn.name_distance(F.col("name"), F.col("first")).alias("distance"))
 
 
 @query()
