@@ -1,4 +1,8 @@
-"""A corpus pipeline: quality, near duplicates, repeated passages, source mix, tokens."""
+"""A corpus pipeline: quality, near duplicates, repeated passages, source mix, tokens.
+
+Each stage takes all that the one before kept, returns the columns of documents (all but the last), whatever their names,
+and gives an empty result for an empty table.
+"""
 
 from __future__ import annotations
 
@@ -10,27 +14,31 @@ from tidemill.llm.queries import VOCABULARY, documents
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that base rules and vote model keep."""
+    """Documents that base rules and vote model keep, repeated rows included. Null, empty and short texts go; null keys and
+    sources don't matter. The model is fitted to all documents given."""
     return quality.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: that with the least key. Rows with one key stay or go by their own texts,
+    rows without a key stay."""
     return neardup.deduplicate(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that a document with a smaller id has."""
+    """Documents without passages of 50 words that a document with a smaller key has; ``n_chars`` is counted anew. Rows with
+    one key don't clean each other, rows without a key are left as they are, null texts come back empty. No row goes."""
     return substring.clean(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target asks."""
+    """Documents as often as their source's target asks, none to three times. A null source is a source of its own; rows with
+    one key are drawn alike."""
     return mix.mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document."""
+    """(doc_id, n_tokens, ids) of each document, one row for each row given; null and empty texts have no tokens."""
     return bpe.encode(docs, VOCABULARY)
 
 
