@@ -177,11 +177,20 @@ def judge(counted: DataFrame, model: Model | None = None) -> DataFrame:
     return failed.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
 
 
-def keep(docs: DataFrame, text: str = "text") -> DataFrame:
+#: Rejected documents (16 bytes each) up to which their list is broadcast; a longer one is joined by key.
+BROADCAST_MOST = 1_000_000
+
+
+def keep(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that are kept, columns and repeated rows unchanged, whatever the columns' names.
 
-    The model is fitted to all of them first; texts are counted once, and rows wait for the verdict with their counts
-    in the checkpoint folder. A null text counts as empty and goes. An empty table gives an empty result.
+    The model is fitted to all of them first; texts are counted once, and what waits for the verdict is a row of counts
+    for each document, told by its key and a 64-bit hash of its text, as equal texts have equal counts. A null text counts
+    as empty and goes; null keys are keys like others. An empty table gives an empty result.
     """
-    rows = docs.select(as_row(docs), docs[text].alias("body"))
-    return judge(features(rows, "row", "body")).filter("kept").select("row.*")
+    told = docs.select(as_row(docs), docs[key].alias("of"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("hash"), docs[text].alias("body"))
+    counted = features(told.select(F.struct("of", "hash").alias("told"), "body"), "told", "body")
+    gone = cut(judge(counted).filter("NOT kept").select(F.col("told.of").alias("gone"), F.col("told.hash").alias("gone_hash")).distinct())
+    if gone.count() <= BROADCAST_MOST:
+        gone = F.broadcast(gone)
+    return told.join(gone, F.col("of").eqNullSafe(F.col("gone")) & (F.col("hash") == F.col("gone_hash")), "left_anti").select("row.*")
