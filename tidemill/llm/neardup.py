@@ -164,7 +164,7 @@ def _meet(t: pa.Table) -> pa.Table:
     ids, roots = t.column("id").to_pylist(), t.column("root").to_pylist()
     sets = [np.frombuffer(x.as_py(), U64) for x in t.column("shingles")]
     asked = np.flatnonzero(query).tolist()
-    sizes = np.array([len(sets[k]) for k in asked])
+    sizes = np.array([len(sets[k]) for k in asked], np.int64)
     hashes, owner = np.concatenate([sets[k] for k in asked] or [np.zeros(0, U64)]), np.repeat(np.arange(len(asked)), sizes)
     order = np.argsort(hashes, kind="stable")
     hashes, owner = hashes[order], owner[order]
