@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of every word split: space and the bytes 9 to 13.
@@ -31,19 +32,34 @@ _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialises ``df`` in the checkpoint folder the session names, so that a lost executor costs a read.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for what all executors must see.
 
     Where none is named, a local session gets a temporary one; a cluster, whose machines don't share such a folder, an error.
     """
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
         if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemill-"))
+        named = tempfile.mkdtemp(prefix="tidemill-")
+        sc.setCheckpointDir(named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialises ``df`` in the shared folder, so that a lost executor costs a read."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, of which later reads take the columns that they need."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tidemill-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def columns(docs: DataFrame, but: Iterable[str] = ()) -> list[str]:
     """Names of the columns of ``docs`` but those named, in whatever case."""
     skip = {c.lower() for c in but}

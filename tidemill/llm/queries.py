@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, html_text, license, lm_score, mix, neardup, ogg, quality, shard, substring
+from tidemill.llm import align, bpe, hardneg, html_text, license, lm_score, mix, neardup, ogg, quality, shard, substring
 
 #: A public tokenizer's file, or a path.
 VOCABULARY = os.environ.get("TIDEMILL_BPE", "byte_bpe_50k.json")
+PIECES = os.environ.get("TIDEMILL_PIECES", "piece_bpe_32k.model")
 SHARD_NAMES = [f"shard-{k:02d}" for k in range(shard.SHARDS)]
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,8 +74,18 @@ def op10_license_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(documents(spark, sf_dir))
 
 
+def op11_merge_path_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(documents(spark, sf_dir), VOCABULARY, PIECES)
+
+
+def op12_hilbert_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hardneg.mine(moved, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_context_tree_scores, op2_substring_dedup, op3_minhash_near_duplicates, op4_html_line_blocks, op5_bpe_codec, op6_lookup_shards, op7_ogg_media, op8_mix_sources, op9_quality_votes, op10_license_spans]
+    found = [op1_context_tree_scores, op2_substring_dedup, op3_minhash_near_duplicates, op4_html_line_blocks, op5_bpe_codec, op6_lookup_shards, op7_ogg_media, op8_mix_sources, op9_quality_votes, op10_license_spans, op11_merge_path_alignment, op12_hilbert_hard_negatives]
     return {f.__name__: f for f in found}
 
 
@@ -124,6 +135,18 @@ FROM w JOIN m ON m.id = w.doc_id LEFT JOIN n USING (doc_id)
 """
 
 
+_OP12 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = v.label AS same, v.vec_id AS id, list_inner_product(a.q, v.q)::BIGINT AS score
+      FROM v a JOIN v ON a.vec_id % 100 = 0 AND a.vec_id <> v.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     owners = ",".join(SHARD_NAMES[s] for s in shard.lookup_table(SHARD_NAMES))
     op6 = f"""
@@ -131,4 +154,4 @@ WITH k AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1,
 t AS (SELECT string_split('{owners}', ',') AS owners)
 SELECT doc_id, slot, owners[slot + 1] AS shard FROM k, t
 """
-    return {"op2_substring_dedup": _OP2, "op3_minhash_near_duplicates": _OP3, "op6_lookup_shards": op6, "op8_mix_sources": _OP8}
+    return {"op2_substring_dedup": _OP2, "op3_minhash_near_duplicates": _OP3, "op6_lookup_shards": op6, "op8_mix_sources": _OP8, "op12_hilbert_hard_negatives": _OP12}
