@@ -259,3 +259,13 @@ def test_pipeline(spark, tmp_path):
     assert all(r.n_chars == len(r.text) for r in seen["repeated_passages"])
     assert [len(seen[k]) for k in ("source_mix", "tokens")] == [len(seen["tokens"])] * 2
     assert sorted((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted((r.doc_id, r.n_tokens) for r in seen["tokens"])
+
+
+def test_rows_of_one_key_are_placed_by_their_own_texts(spark):
+    a, b = ("".join(f" {x}{k}" for k in range(60)) for x in "ab")
+    rows = [(1, a), (2, a + " end"), (2, b), (3, b + " end"), (None, a), (2, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = sorted(map(tuple, neardup.classes(docs).select("doc_id", "n_shingles", "component_id", "kept").collect()), key=repr)
+    assert found == sorted([(1, 56, 1, True), (2, 57, 1, False), (2, 56, 2, True), (3, 57, 2, False), (None, 56, None, True), (2, 56, 2, True)], key=repr)
+    for _ in range(2):
+        assert sorted(map(tuple, neardup.deduplicate(docs).collect()), key=repr) == sorted([(1, a), (2, b), (2, b), (None, a)], key=repr)

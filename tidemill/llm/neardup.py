@@ -1,22 +1,24 @@
 """MinHash near-duplicate detection: universal hash minima, banding, signature check, exact check, components.
 
-Equal word sequences are one node from the start, so copies never meet each other. Buckets are never expanded
-into all pairs: first every member of a bucket is held against the bucket's smallest document, and components of the
-links found join most of each bucket. In buckets that still hold several components, the members outside the most
-common one are a query set that is held, in blocks of bounded bytes, against all members.
+Equal word sequences are one node from the start, so copies never meet each other. Nodes are numbered by their digest, not
+by the documents' keys, so that rows of one key stay apart by their texts. Cells (here bands) are never expanded into all
+pairs: first every member of a cell is held against the cell's first node, and components of the links found join most of
+each cell. In cells that still hold several components, the members outside the most common one are a query set against
+all members, in blocks of bounded bytes: sketches tell which members have any partner left, and only those send their sets.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import LOWER, U64, Rolling, Words, cut, each_run, mix64, utf8
+from tidemill.llm.common import LOWER, U64, Rolling, Words, as_row, cut, each_run, mix64, utf8
 
 SHINGLE = 5
 ROWS, BANDS = 5, 40
@@ -24,8 +26,8 @@ ROWS, BANDS = 5, 40
 LEAST_EQUAL = round(ROWS * BANDS * (0.75 - 6 * (0.75 * 0.25 / (ROWS * BANDS)) ** 0.5))
 #: Ids (8 bytes each) up to which a list of documents is broadcast instead of joined by shuffling the texts.
 BROADCAST_IDS = 1_000_000
-#: Shingles (8 bytes each) in a block of queries, and of the documents that it meets.
-QUERIES, MET = 1 << 21, 1 << 22
+#: Shingles (8 bytes each) in a block of queries, and of the documents that it meets. Of sketches, SKETCHES times as many.
+QUERIES, MET, SKETCHES = 1 << 21, 1 << 22, 4
 #: Links (16 bytes each) in a partition while components are sought, at least: few links need few tasks.
 EDGES = 1 << 14
 _RUN = 4 << 20
@@ -76,45 +78,67 @@ def band_keys() -> Column:
     return F.expr(f"transform(sequence(0, {BANDS - 1}), k -> xxhash64(k, substring(sketch, {2 * ROWS} * k + 1, {2 * ROWS})))")
 
 
-def sign(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, same, n, sketch): digest of the word sequence, number of shingles, 16 bits of each minimum (null without shingles)."""
+def mark(docs: DataFrame, text: str) -> Column:
+    """A 64-bit hash of the text as it stands: with the key it tells which rows are meant."""
+    return F.xxhash64(F.coalesce(docs[text], F.lit("")))
+
+
+def signed(docs: DataFrame, key: str, text: str, schema: str, describe: Callable[[list[np.ndarray]], list[pa.Array]]) -> DataFrame:
+    """(id, mark, same, n, and the columns of ``schema`` that ``describe`` makes of each text's sorted set of shingle hashes).
+
+    ``same`` is a digest of the word sequence, ``n`` the size of the set."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in each_run(batches, "text", _RUN):
             texts = [utf8(x.as_py()).translate(LOWER) for x in t.column("text")]
             hashes, edges = shingle_hashes(texts)
-            n = [len(np.unique(hashes[i:j])) for i, j in zip(edges[:-1].tolist(), edges[1:].tolist())]
-            sketches = iter((minima(hashes, edges, ROWS * BANDS) >> U64(48)).astype("<u2"))
+            sets = [np.unique(hashes[i:j]) for i, j in zip(edges[:-1].tolist(), edges[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
                 [
                     t.column("id").combine_chunks(),
-                    pa.array([hashlib.blake2b(b" ".join(x.split()), digest_size=16).digest() for x in texts], pa.binary()),
-                    pa.array(n, pa.int64()),
-                    pa.array([next(sketches).tobytes() if k else None for k in n], pa.binary()),
+                    t.column("mark").combine_chunks(),
+                    pa.array([_same(x) for x in texts], pa.binary()),
+                    pa.array([len(x) for x in sets], pa.int64()),
+                    *describe(sets),
                 ],
-                ["id", "same", "n", "sketch"],
+                ["id", "mark", "same", "n", *names],
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    slim = docs.select(docs[key].alias("id"), docs[text].alias("text"))
-    return slim.mapInArrow(run, f"id {kind}, same binary, n long, sketch binary")
+    slim = docs.select(docs[key].alias("id"), mark(docs, text).alias("mark"), docs[text].alias("text"))
+    return slim.mapInArrow(run, f"id {kind}, mark long, same binary, n long, {schema}")
+
+
+def _same(text: bytes) -> bytes:
+    return hashlib.blake2b(b" ".join(text.split()), digest_size=16).digest()
+
 
+def _sketches(sets: list[np.ndarray]) -> list[pa.Array]:
+    """16 bits of each minimum; null without shingles."""
+    edges = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int64)
+    found = iter((minima(np.concatenate([np.zeros(0, U64), *sets]), edges, ROWS * BANDS) >> U64(48)).astype("<u2"))
+    return [pa.array([next(found).tobytes() if len(x) else None for x in sets], pa.binary())]
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """(id, shingles) of (id, text): the sorted distinct shingle hashes as bytes."""
+
+def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles) of ``nodes`` (node, id, same): the sorted distinct shingle hashes as bytes. Texts are read by key, and
+    told apart by digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in each_run(batches, "text", _RUN):
-            hashes, edges = shingle_hashes([utf8(x.as_py()).translate(LOWER) for x in t.column("text")])
+            texts = [utf8(x.as_py()).translate(LOWER) for x in t.column("text")]
+            hashes, edges = shingle_hashes(texts)
             sets = [np.unique(hashes[i:j]).tobytes() for i, j in zip(edges[:-1], edges[1:])]
-            yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks(), pa.array(sets, pa.binary())], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([_same(x) for x in texts], pa.binary()), pa.array(sets, pa.binary())], ["digest", "shingles"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, shingles binary")
+    found = only(docs, nodes.select("id"), "id").select("text").mapInArrow(run, "digest binary, shingles binary")
+    return found.join(nodes.select("node", "same"), F.col("digest") == F.col("same")).dropDuplicates(["node"]).select("node", "shingles")
 
 
 def _both(pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:
-    """``pairs`` with ``value`` of either document as x and y."""
-    left = of.select(of["id"].alias("a"), of[value].alias("x"))
+    """``pairs`` with ``value`` of either node as x and y."""
+    left = of.select(of["node"].alias("a"), of[value].alias("x"))
     return pairs.join(left, "a").join(left.withColumnsRenamed({"a": "b", "x": "y"}), "b")
 
 
@@ -126,18 +150,40 @@ def _where(pairs: DataFrame, test) -> DataFrame:
             hit = [test(x.as_py(), y.as_py()) for x, y in zip(t.column("x"), t.column("y"))]
             yield t.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _alike(x: bytes, y: bytes) -> bool:
     return int(np.count_nonzero(np.frombuffer(x, "<u2") == np.frombuffer(y, "<u2"))) >= LEAST_EQUAL
 
 
-def _linked(x: bytes, y: bytes) -> bool:
-    p, q = np.frombuffer(x, U64), np.frombuffer(y, U64)
-    common = len(np.intersect1d(p, q, assume_unique=True))
-    return 100 * common >= 75 * (len(p) + len(q) - common)
+def _near(sketches: list[bytes], n: np.ndarray, queries: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (query, other) of different roots whose sketches are alike."""
+    rows = np.frombuffer(b"".join(sketches), "<u2").reshape(len(sketches), -1)
+    found = [np.flatnonzero((np.count_nonzero(rows == rows[q], axis=1) >= LEAST_EQUAL) & (roots != roots[q])) for q in queries.tolist()]
+    return np.repeat(queries, [len(x) for x in found]), np.concatenate([np.zeros(0, np.int64), *found])
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share so many hundredths of their union."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+@dataclass(frozen=True)
+class Way:
+    """A way to link documents whose shingle sets share ``percent`` hundredths of their union.
+
+    Linked documents share a cell (a 64-bit number among those of the column ``cells``). ``alike`` tells of two sketches, and
+    ``near`` of many at once (sketches, sizes, indexes of queries, roots), which pairs may be linked."""
+
+    percent: int
+    cells: Callable[[], Column]
+    alike: Callable[[bytes, bytes], bool]
+    near: Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+MINHASH = Way(75, band_keys, _alike, _near)
 
 
 def only(docs: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
@@ -151,58 +197,88 @@ def only(docs: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> D
     return docs.join(ids, docs[key] == ids["only_id"], how)
 
 
-def confirm(pairs: DataFrame, unique: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked: signatures are compared first, full sets decide."""
-    alike = cut(_where(_both(pairs, unique, "sketch"), _alike))
-    sets = cut(_sets(only(docs, alike.select("a").union(alike.select("b")), "id")).dropDuplicates(["id"]))
-    return _where(_both(alike, sets, "shingles"), _linked)
-
-
-def _meet(t: pa.Table) -> pa.Table:
-    """Links between the queries of a block and the documents it meets: of each query, one to every other root."""
-    query = np.asarray(t.column("query"))
-    ids, roots = t.column("id").to_pylist(), t.column("root").to_pylist()
-    sets = [np.frombuffer(x.as_py(), U64) for x in t.column("shingles")]
-    asked = np.flatnonzero(query).tolist()
-    sizes = np.array([len(sets[k]) for k in asked], np.int64)
-    hashes, owner = np.concatenate([sets[k] for k in asked] or [np.zeros(0, U64)]), np.repeat(np.arange(len(asked)), sizes)
-    order = np.argsort(hashes, kind="stable")
-    hashes, owner = hashes[order], owner[order]
-    found: dict[tuple, tuple] = {}
-    for k in np.flatnonzero(~query).tolist():
-        low, high = np.searchsorted(hashes, sets[k]), np.searchsorted(hashes, sets[k], "right")
-        counts = high - low
-        places = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - low, counts)
-        common = np.bincount(owner[places], minlength=len(asked))
-        for q in np.flatnonzero(100 * common >= 75 * (sizes + len(sets[k]) - common)).tolist():
-            if roots[asked[q]] != roots[k]:
-                found.setdefault((asked[q], roots[k]), (ids[asked[q]], ids[k]))
-    kind = t.schema.field("id").type
-    return pa.table({"a": pa.array([x for x, _ in found.values()], kind), "b": pa.array([y for _, y in found.values()], kind)})
-
-
-def _meetings(labelled: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links between components within buckets, of (band, id, n, root). A bucket's family is its most common root; the
-    members of a family's buckets with another root are queries against all members."""
-    kind = docs.schema["id"].dataType.simpleString()
-    roots = labelled.groupBy("band", "root").agg(F.count("*").alias("k"))
-    families = roots.groupBy("band").agg(F.max(F.struct("k", "root")).alias("most"), F.count("*").alias("roots")).filter("roots > 1")
-    members = labelled.join(families.select("band", F.col("most.root").alias("family")), "band")
-    members = cut(members.select("family", "id", "n", "root").distinct())
-    if members.isEmpty():
-        return members.select(F.col("id").alias("a"), F.col("id").alias("b"))
+def confirm(pairs: DataFrame, unique: DataFrame, docs: DataFrame, way: Way) -> DataFrame:
+    """The pairs (a, b) that are linked: sketches are compared first, full sets decide."""
+    alike = cut(_where(_both(pairs, unique, "sketch"), way.alike))
+    nodes = unique.join(alike.select("a").union(alike.select("b")).distinct().toDF("node"), "node", "left_semi")
+    sets, percent = cut(_sets(docs, nodes)), way.percent
+    return _where(_both(alike, sets, "shingles"), lambda x, y: linked(np.frombuffer(x, U64), np.frombuffer(y, U64), percent))
+
+
+def _families(t: pa.Table) -> Iterator[pa.Table]:
+    """The families in a group, each with a query and another root."""
+    t = t.sort_by([("family", "ascending"), ("node", "ascending")])
+    family = np.asarray(t.column("family"))
+    edges = [0, *(np.flatnonzero(np.diff(family)) + 1).tolist(), len(family)]
+    for start, end in zip(edges, edges[1:]):
+        part = t.slice(start, end - start)
+        if np.asarray(part.column("query")).any():
+            yield part
+
+
+def _candidates(t: pa.Table, way: Way) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of a family, (query, member of another root), that sketches leave."""
+    sketches = [x.as_py() for x in t.column("sketch")]
+    return way.near(sketches, np.asarray(t.column("n")), np.flatnonzero(np.asarray(t.column("query"))), np.asarray(t.column("root")))
+
+
+def _survivors(way: Way) -> Callable[[pa.Table], pa.Table]:
+    def run(t: pa.Table) -> pa.Table:
+        kept = [part.take(pa.array(np.union1d(*_candidates(part, way)))).select(["family", "node"]) for part in _families(t)]
+        return pa.concat_tables([t.slice(0, 0).select(["family", "node"]), *kept])
+
+    return run
+
+
+def _meet(way: Way) -> Callable[[pa.Table], pa.Table]:
+    """Links between queries and members: of each query, one to every other root."""
+
+    def run(t: pa.Table) -> pa.Table:
+        a, b = [], []
+        for part in _families(t):
+            nodes, roots = part.column("node").to_pylist(), part.column("root").to_pylist()
+            sets = [np.frombuffer(x.as_py(), U64) for x in part.column("shingles")]
+            found = set()
+            for q, k in zip(*(x.tolist() for x in _candidates(part, way))):
+                if (q, roots[k]) not in found and linked(sets[q], sets[k], way.percent):
+                    found.add((q, roots[k]))
+                    a.append(nodes[q])
+                    b.append(nodes[k])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _in_blocks(members: DataFrame, weight: Column, times: int) -> DataFrame:
+    """Members of (family, node, n, root) dealt into groups (at, block, salt): queries, which are the members with another root
+    than the family's, by block, each to all salts; members by salt, each to all blocks. Families of one block share groups."""
+    spark = members.sparkSession
     parts = members.groupBy("family").agg(
-        F.ceil(F.coalesce(F.sum(F.when(F.col("root") != F.col("family"), F.col("n"))), F.lit(0)) / QUERIES).cast("int").alias("blocks"),
-        F.ceil(F.sum("n") / MET).cast("int").alias("salts"),
+        F.ceil(F.coalesce(F.sum(F.when(F.col("root") != F.col("family"), weight)), F.lit(0)) / (times * QUERIES)).cast("int").alias("blocks"),
+        F.ceil(F.sum(weight) / (times * MET)).cast("int").alias("salts"),
     )
-    members = members.join(parts, "family")
-    block, salt = F.pmod(F.xxhash64("id"), "blocks").cast("int"), F.pmod(F.xxhash64("id"), "salts").cast("int")
+    few = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = F.when((F.col("blocks") == 1) & (F.col("salts") == 1), F.pmod(F.xxhash64("family"), F.lit(few))).otherwise(-1 - F.col("family"))
+    members = members.join(parts.filter("blocks > 0"), "family").withColumn("at", at)
+    block, salt = F.pmod(F.xxhash64("node"), "blocks").cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), "salts").cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    queries = members.filter("root <> family").select("family", "id", "root", block.alias("block"), each("salts").alias("salt"), F.lit(True).alias("query"))
-    met = members.filter("blocks > 0").select("family", "id", "root", each("blocks").alias("block"), salt.alias("salt"), F.lit(False).alias("query"))
-    sets = _sets(only(docs, members.select("id"), "id")).dropDuplicates(["id"])
-    rows = queries.union(met.select(*queries.columns)).join(sets, "id")
-    return rows.groupBy("family", "block", "salt").applyInArrow(_meet, f"a {kind}, b {kind}")
+    queries = members.filter("root <> family").select("at", "family", "node", "n", "root", block.alias("block"), each("salts").alias("salt"), F.lit(True).alias("query"))
+    met = members.select("at", "family", "node", "n", "root", each("blocks").alias("block"), salt.alias("salt"), F.lit(False).alias("query"))
+    return queries.union(met.select(*queries.columns))
+
+
+def _meetings(labelled: DataFrame, unique: DataFrame, docs: DataFrame, way: Way) -> DataFrame:
+    """Links between components within cells, of (cell, node, n, root). A cell's family is its most common root; the
+    members of a family's cells with another root are queries against all members."""
+    roots = labelled.groupBy("cell", "root").agg(F.count("*").alias("k"))
+    families = roots.groupBy("cell").agg(F.max(F.struct("k", "root")).alias("most"), F.count("*").alias("roots")).filter("roots > 1")
+    members = labelled.join(families.select("cell", F.col("most.root").alias("family")), "cell")
+    members = cut(members.select("family", "node", "n", "root").distinct())
+    by, sketch = ["at", "block", "salt"], unique.select("node", "sketch")
+    left = _in_blocks(members, F.col("n") + 64, SKETCHES).join(sketch, "node").groupBy(*by).applyInArrow(_survivors(way), "family long, node long")
+    left = cut(members.join(left.distinct().toDF("family", "node"), ["family", "node"]))
+    sets = _sets(docs, unique.join(left.select("node").distinct(), "node", "left_semi"))
+    return _in_blocks(left, F.col("n"), 1).join(sketch, "node").join(sets, "node").groupBy(*by).applyInArrow(_meet(way), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -225,6 +301,35 @@ def components(links: DataFrame) -> DataFrame:
         edges = cut(moved.union(low.select("u", F.col("m").alias("v"))).distinct().coalesce(parts))
 
 
+def components_of(signs: DataFrame, docs: DataFrame, key: str, text: str, way: Way) -> DataFrame:
+    """(id, mark, n, component): every row of ``signs`` (made by ``signed``, with a sketch), with the least id that links reach."""
+    some = signs.filter("n > 0 AND id IS NOT NULL")
+    rest = [c for c in signs.columns if c not in ("id", "mark", "same")]
+    unique = cut(some.groupBy("same").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in rest))).withColumn("node", F.monotonically_increasing_id())
+    whole = docs.select(docs[key].alias("id"), docs[text].alias("text"))
+
+    placed = unique.select("node", "n", F.explode(way.cells()).alias("cell"))
+    heads = placed.groupBy("cell").agg(F.min("node").alias("head"), F.min_by("n", "node").alias("head_n"), F.count("*").alias("m")).filter("m > 1")
+    shared = cut(placed.join(heads, "cell"))
+    fits = 100 * F.least("n", "head_n") >= way.percent * F.greatest("n", "head_n")
+    stars = shared.filter((F.col("node") != F.col("head")) & fits).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    root = components(confirm(stars, unique, whole, way)).toDF("node", "root")
+
+    labelled = shared.filter("m > 2").join(root, "node", "left").select("cell", "node", "n", F.coalesce("root", "node").alias("root"))
+    more = cut(_meetings(cut(labelled), unique, whole, way))
+    if not more.isEmpty():
+        root = components(root.toDF("a", "b").union(more)).toDF("node", "root")
+
+    first = cut(unique.select("same", "id", "node").join(root, "node", "left").select("same", "id", F.coalesce("root", "node").alias("root")))
+    least = first.groupBy("root").agg(F.min("id").alias("component"))
+    found = signs.select("id", "mark", "n", "same").join(first.join(least, "root").select("same", "component"), "same", "left")
+    return found.select("id", "mark", "n", F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "id")).alias("component"))
+
+
+def _placed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return components_of(cut(signed(docs, key, text, "sketch binary", _sketches)), docs, key, text, MINHASH)
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row.
 
@@ -233,30 +338,15 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     blank texts have no shingles and no links. Rows with equal keys are placed by their own text each. A row with a null key has
     no links and a null component, and is kept. An empty table gives an empty result; other columns are not read.
     """
-    signed = cut(sign(docs, key, text))
-    some = signed.filter("n > 0 AND id IS NOT NULL")
-    unique = cut(some.groupBy("same").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    whole = docs.select(docs[key].alias("id"), docs[text].alias("text"))
-
-    placed = unique.select("id", "n", F.explode(band_keys()).alias("band"))
-    heads = placed.groupBy("band").agg(F.min("id").alias("head"), F.min_by("n", "id").alias("head_n"), F.count("*").alias("m")).filter("m > 1")
-    shared = cut(placed.join(heads, "band"))
-    stars = shared.filter("id <> head AND 100 * least(n, head_n) >= 75 * greatest(n, head_n)").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    root = components(confirm(stars, unique, whole))
-
-    labelled = shared.filter("m > 2").join(root, "id", "left").select("band", "id", "n", F.coalesce("root", "id").alias("root"))
-    more = cut(_meetings(cut(labelled), whole))
-    if not more.isEmpty():
-        root = components(root.toDF("a", "b").union(more))
-
-    first = unique.select("same", F.col("id").alias("rep")).join(root, F.col("rep") == root["id"], "left").select("same", F.coalesce("root", "rep").alias("root"))
-    by = signed.select("id", "n", "same").join(first, "same", "left")
-    component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("root", "id"))
-    return by.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
-        "kept", F.col(key).eqNullSafe(F.col("component_id"))
-    )
+    found = _placed(docs, key, text).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    return found.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those whose component has a smaller key."""
-    return only(docs, classes(docs, key, text).filter("NOT kept").select(key), key, "left_anti")
+    """The rows of ``docs`` without those whose component has a smaller key, told by key and text: rows of one key go or stay by
+    their own texts. Columns, their names and repeated rows are unchanged."""
+    told = docs.select(as_row(docs), docs[key].alias("of"), mark(docs, text).alias("mark"))
+    gone = cut(_placed(docs, key, text).filter("NOT id <=> component").select(F.col("id").alias("gone"), F.col("mark").alias("gone_mark")).distinct())
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return told.join(gone, (F.col("of") == F.col("gone")) & (F.col("mark") == F.col("gone_mark")), "left_anti").select("row.*")

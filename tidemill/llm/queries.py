@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import align, bpe, hardneg, html_text, license, lm_score, mix, neardup, ogg, quality, shard, substring
+from tidemill.llm import align, bpe, hardneg, html_text, license, lm_score, mix, neardup, ngram_join, ogg, quality, shard, substring
 
 #: A public tokenizer's file, or a path.
 VOCABULARY = os.environ.get("TIDEMILL_BPE", "byte_bpe_50k.json")
@@ -84,8 +84,12 @@ def op12_hilbert_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.mine(moved, F.col("vec_id") % 100 == 0)
 
 
+def op13_count_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_context_tree_scores, op2_substring_dedup, op3_minhash_near_duplicates, op4_html_line_blocks, op5_bpe_codec, op6_lookup_shards, op7_ogg_media, op8_mix_sources, op9_quality_votes, op10_license_spans, op11_merge_path_alignment, op12_hilbert_hard_negatives]
+    found = [op1_context_tree_scores, op2_substring_dedup, op3_minhash_near_duplicates, op4_html_line_blocks, op5_bpe_codec, op6_lookup_shards, op7_ogg_media, op8_mix_sources, op9_quality_votes, op10_license_spans, op11_merge_path_alignment, op12_hilbert_hard_negatives, op13_count_tree_join]
     return {f.__name__: f for f in found}
 
 
@@ -135,6 +139,8 @@ FROM w JOIN m ON m.id = w.doc_id LEFT JOIN n USING (doc_id)
 """
 
 
+_OP13 = _OP3.replace("100 * common >= 75 *", "100 * common >= 80 *").replace(", doc_id = component_id AS kept", "")
+
 _OP12 = """
 WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -154,4 +160,4 @@ WITH k AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1,
 t AS (SELECT string_split('{owners}', ',') AS owners)
 SELECT doc_id, slot, owners[slot + 1] AS shard FROM k, t
 """
-    return {"op2_substring_dedup": _OP2, "op3_minhash_near_duplicates": _OP3, "op6_lookup_shards": op6, "op8_mix_sources": _OP8, "op12_hilbert_hard_negatives": _OP12}
+    return {"op2_substring_dedup": _OP2, "op3_minhash_near_duplicates": _OP3, "op6_lookup_shards": op6, "op8_mix_sources": _OP8, "op12_hilbert_hard_negatives": _OP12, "op13_count_tree_join": _OP13}
