@@ -70,9 +70,12 @@ def gold_replay(tasks: DataFrame, state: DataFrame, key: str, owner: str, status
     """(id, place, key, code): the expected writes of one tool, in order, decided against the state. Null code: accepted.
 
     A task that is verified acts as its customer, who must own the order; one that isn't may not write at all. An order
-    that an earlier write of the same task closed is closed for the later ones, and for no other task.
+    that an earlier write of the same task closed is closed for the later ones, and for no other task. A write of any other
+    tool is an error: ``calls.run`` replays them all.
     """
-    acts = tasks.select("id", "customer_id", "gold_verified", F.posexplode("gold_actions").alias("place", "a")).filter(F.col("a.tool") == tool)
+    acts = tasks.select("id", "customer_id", "gold_verified", F.posexplode("gold_actions").alias("place", "a"))
+    other = F.raise_error(F.concat(F.lit("not a call of "), F.lit(tool), F.lit(": "), F.coalesce("a.tool", F.lit("null"))))
+    acts = acts.withColumn("a", F.when(F.col("a.tool").eqNullSafe(tool), F.col("a")).otherwise(other))
     asked = acts.select("id", "place", "customer_id", "gold_verified", F.get_json_object("a.args", "$.order_id").alias("asked"))
     met = asked.join(state.select(F.col(key).cast("string").alias("asked"), F.col(owner).cast("string").alias("_owner"), F.col(status).alias("_status")), "asked", "left")
     before = F.row_number().over(Window.partitionBy("id", "asked").orderBy("place")) > 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.plans import compare, conversations, reliability, rules, runs, shop, state, texts, writes  # noqa: F401  they register themselves
+from tidemill.plans import calls, compare, conversations, reliability, rules, runs, shop, state, texts, writes  # noqa: F401  they register themselves
 from tidemill.registry import REGISTRY, Query
 
 
