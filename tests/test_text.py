@@ -74,47 +74,48 @@ def test_all_kinds_of_numbers_are_read(spark):
     assert mapped(spark, speech.verbalize, [(f"{n:,}", None) for n in numbers]) == [(f"{n:,}", plain_number(n)) for n in numbers]
 
 
-def plain_claim(text, results):
-    """The first unbacked sentence, sentence by sentence."""
-    for sentence in filter(None, map(str.strip, re.split(claims.SENTENCE_END, text or ""))):
-        for clause in () if sentence.endswith("?") else re.split(claims.CLAUSE_END, sentence):
-            kinds = []
-            for m in re.finditer(claims.DONE, clause):
-                if not kinds and not re.search(claims.DELIVERY, clause[: m.start()]):
-                    kinds = [k for k, (said, _) in claims.KINDS.items() if re.search(said, clause[: m.end()])]
-            proofs = [claims.KINDS[k][1] for k in kinds]
-            if re.search(claims.RECEIVED, clause) and claims.QUEUED_KINDS & set(kinds):
-                proofs.append(claims.QUEUED)
-            if kinds and not any(re.search(p, r) for p in proofs for r in results):
-                return sentence, kinds
-    return None
-
-
+#: Replies, results that came before them (tool, content), and the kinds that the reply claims without proof.
+CANCELLED, QUEUED = ("cancel_order", '{"status": "cancelled"}'), ("cancel_order", "Error: [approval_required] 108,200원은 승인이 필요합니다.")
+PREVIEWED = ("cancel_order", 'CONFIRM_REQUIRED: ask\n{"tool": "cancel_order", "preview": {"status": "cancelled", "refund_won": 9}}')
 CLAIMS = [
-    "주문 취소가 완료되었습니다.",
-    "취소해 드리겠습니다. 취소가 완료되었나요?",
-    "배송이 완료되었습니다.",
-    "배송이 완료되었습니다만, 환불이 완료되었습니다.",
-    "본인 확인이 완료되었고, 취소는 가능합니다.",
-    "취소 요청이 접수되었습니다.",
-    "반품 접수를 완료했습니다. 쿠폰이 발급되었습니다!",
-    "이메일 주소가 변경되었습니다.",
-    "주소가 변경되었습니다.\n\n감사합니다",
-    "확인되었으며 교환이 처리되었습니다",
-    "배송이 완료되었으며 배송 취소가 완료되었습니다",
-    "",
-    None,
+    ("주문 취소가 완료되었습니다.", [], ["cancel"]),
+    ("주문 취소가 완료되었습니다.", [CANCELLED], None),
+    ("주문 취소가 완료되었습니다.", [PREVIEWED], ["cancel"]),
+    ("주문 취소가 완료되었습니다.", [("cancel_order", 'Error: [already_cancelled] "status": "cancelled"')], ["cancel"]),
+    ("주문 취소가 완료되었습니다.", [("get_order", 'Error: [not_order_owner] "status": "cancelled"')], ["cancel"]),
+    ("주문 취소가 완료되었습니다.", [("get_order", '{"status": "cancelled"}')], None),
+    ("주문 취소가 완료되었습니다.", [("get_order", '{"status": "paid"}')], ["cancel"]),
+    ("취소가 완료되었습니다.", [QUEUED], ["cancel"]),
+    ("취소 요청이 접수되었습니다.", [QUEUED], None),
+    ("취소 요청이 접수되었습니다.", [("cancel_order", "Error: [not_order_owner] x")], ["cancel"]),
+    ("쿠폰 요청이 접수되었습니다.", [QUEUED], ["coupon"]),
+    ("취소해 드리겠습니다. 취소가 완료되었나요?", [], None),
+    ("배송이 완료되었습니다.", [], None),
+    ("배송이 완료되었습니다만, 환불이 완료되었습니다.", [], ["refund"]),
+    ("3,000원이 환불되었습니다.", [("get_order", '{"refund_won": 0}')], ["refund"]),
+    ("3,000원이 환불되었습니다.", [("get_order", '{"refund_won": 3000}')], None),
+    ("3,000원이 환불되었습니다.", [PREVIEWED], ["refund"]),
+    ("본인 확인이 완료되었고, 취소는 가능합니다.", [], None),
+    ("반품 접수를 완료했습니다. 쿠폰이 발급되었습니다!", [("request_return", '{"request_id": "RT-1"}')], ["coupon"]),
+    ("반품 접수를 완료했습니다. 쿠폰이 발급되었습니다!", [("get_order", '{"kind": "return", "coupon_id": "CP-1"}')], None),
+    ("쿠폰이 발급되었습니다.", [("get_order", '{"coupons": []}')], ["coupon"]),
+    ("이메일 주소가 변경되었습니다.", [], None),
+    ("주소가 변경되었습니다.\n\n감사합니다", [("get_order", "address")], ["address"]),
+    ("주소가 변경되었습니다.", [("change_shipping_address", "ok")], None),
+    ("주소가 변경되었습니다.", [("change_shipping_address", "Error: [same_address] x")], ["address"]),
+    ("확인되었으며 교환이 처리되었습니다", [], ["exchange"]),
+    ("", [], None),
+    (None, [], None),
 ]
-RESULTS = ['cancel_order\n{"status": "cancelled"}', "cancel_order\nError: [approval_required] 12", 'request_return\n{"request_id": "RT-1"}', "change_shipping_address\nok", "x", None]
 
 
 def test_claims_need_results(spark):
-    replies = [(c, 2 * t, text) for c in range(len(RESULTS)) for t, text in enumerate(CLAIMS)]
-    results = [(c, 7, r) for c, r in enumerate(RESULTS)]
-    found = claims.unbacked(spark.createDataFrame(replies, "conv_id long, turn long, text string"), spark.createDataFrame(results, "conv_id long, turn long, text string"))
-    got = {(r.conv_id, r.turn): (r.sentence, list(r.kinds)) for r in found.collect()}
-    expected = {(c, t): plain_claim(text, [r for k, at, r in results if k == c and at < t and r]) for c, t, text in replies}
-    assert got == {k: v for k, v in expected.items() if v} and len(got) > 20
+    replies = [(k, 2, text) for k, (text, _, _) in enumerate(CLAIMS)]
+    results = [(k, 1, f"{tool}\n{content}") for k, (_, shown, _) in enumerate(CLAIMS) for tool, content in shown] + [(0, 3, "cancel_order\n" + CANCELLED[1]), (0, 0, None)]
+    schema = "conv_id long, turn long, text string"
+    found = claims.unbacked(spark.createDataFrame(replies, schema), spark.createDataFrame(results, schema))
+    assert {r.conv_id: list(r.kinds) for r in found.collect()} == {k: kinds for k, (_, _, kinds) in enumerate(CLAIMS) if kinds}
+    assert {r.conv_id: r.sentence for r in found.collect()}[18] == "쿠폰이 발급되었습니다!"
 
 
 def test_consent(spark):
