@@ -1,6 +1,7 @@
 """Main text by container: short parts of an article stay, and names of wrappers do not lose it."""
 
 import random
+import time
 
 import pytest
 
@@ -79,3 +80,67 @@ def test_very_long_and_broken_pages():
     page = "<body><nav>" * 200 + "<article>" + "".join(f"<p>{p}<div class=ad>x" for p in paragraphs)
     assert html_text.extract("<article>" + "".join(f"<p>{p}" for p in paragraphs)) == "\n".join(paragraphs)
     assert html_text.extract(page).split("\n")[0] == paragraphs[0]
+
+
+def _page(*blocks, wrap="article"):
+    return "<body><nav><a href=/>Home</a></nav>" + (f"<{wrap}>" if wrap else "") + "".join(blocks) + (f"</{wrap}>" if wrap else "") + "</body>"
+
+
+ENDS = ["This first paragraph of the article is long enough to surge well.", "And so is the last one, which says what there is left to say here."]
+
+
+@pytest.mark.parametrize(
+    "middle,lines",
+    [
+        ("<ul>" + "".join(f"<li><a href=/{k}>Reference {k}</a></li>" for k in range(4)) + "</ul>", [f"Reference {k}" for k in range(4)]),
+        ("<table><tr>" + "".join(f"<td><a href=/{k}>Cell {k}</a></td>" for k in range(5)) + "</tr></table>", [f"Cell {k}" for k in range(5)]),
+        ("<p><a href=/x>One linked line</a></p>", ["One linked line"]),
+    ],
+)
+def test_linked_lines_between_paragraphs_stay(middle, lines):
+    assert html_text.extract(_page(f"<p>{ENDS[0]}</p>", middle, f"<p>{ENDS[1]}</p>")).split("\n") == [ENDS[0], *lines, ENDS[1]]
+
+
+def test_a_last_paragraph_that_is_a_link_stays_and_a_last_list_of_links_goes():
+    assert html_text.extract(_page(*(f"<p>{x}</p>" for x in ENDS), "<p><a href=/x>Read on</a></p>")).split("\n") == [*ENDS, "Read on"]
+    links = "<ul>" + "".join(f"<li><a href=/{k}>Other story {k}</a></li>" for k in range(4)) + "</ul>"
+    assert html_text.extract(_page(*(f"<p>{x}</p>" for x in ENDS), links)).split("\n") == ENDS
+
+
+NAMES = "user-comments post-comments article-comments blog-comments fb-comments discussion reader-responses google-ads post-share site-header legal-notice cookie-law entry-related story-nav sticky-sidebar commentsArea adBox comment-list"
+
+
+@pytest.mark.parametrize("name", NAMES.split())
+def test_furniture_is_told_by_the_end_of_its_name(name):
+    box = f'<div class="{name}"><p>Some reader wrote this rather long remark, which is no part of it.</p></div>'
+    assert html_text.extract(_page(f"<p>{ENDS[0]}</p>", box, f"<p>{ENDS[1]}</p>")).split("\n") == ENDS
+
+
+@pytest.mark.parametrize("name", "no-sidebar has-comments with-menu entry-content article-header post-body shadow commentator nationwide content".split())
+def test_names_that_only_speak_of_furniture_do_not_lose_text(name):
+    assert html_text.extract(f'<body><div class="{name}">' + "".join(f"<p>{x}</p>" for x in ENDS) + "</div></body>").split("\n") == ENDS
+
+
+BROKEN = {
+    "tags without an end": "x <b " * 200_000,
+    "names that are no patterns": "<x( class='user-comments'>" * 20_000,
+    "many names": "".join(f"<x{k} class=ads>" for k in range(20_000)),
+    "ends without a begin": "<div>" * 50_000 + "</ul>" * 50_000,
+    "ends that an article holds": "<ul><article>" + "<div>" * 50_000 + "</ul>" * 50_000,
+    "open quotes": "<a '" * 100_001 + ">",
+    "an open comment": "text <!-- x" + "<b " * 100_000,
+    "deep": "<div>x" * 60_000,
+    "open declarations": "<!x " * 200_000,
+}
+
+
+@pytest.mark.parametrize("name", BROKEN)
+def test_broken_pages_take_time_in_proportion(name):
+    began = time.process_time()
+    html_text.extract(BROKEN[name])
+    assert time.process_time() - began < 4
+
+
+def test_null_pages_alone_in_a_partition(spark):
+    pages = spark.createDataFrame([(k, None, None) for k in range(3)] + [(9, "u", _page(*(f"<p>{x}</p>" for x in ENDS)))], "page_id long, url string, html string").repartition(4, "page_id")
+    assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract_pages(pages).collect()) == [(0, "", 0), (1, "", 0), (2, "", 0), (9, "\n".join(ENDS), len("\n".join(ENDS)))]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,23 +23,28 @@ INLINE = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Containers that set parts of a page apart; between them the line distribution drops to zero.
 APART = frozenset("html body main article section div ul ol dl table form nav header footer aside".split())
-#: Words in class, id or role that mark page furniture, and words that name a place or shape beside them.
-FURNITURE_WORDS = (
+#: Words in class, id or role that mark page furniture where a name ends with them, words of place or shape that may follow, and
+#: words before them that say the opposite or speak of something else.
+FURNITURE_WORDS = re.compile(
     r"ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|footer|masthead|cookies?|consent|"
-    r"notice|alert|gdpr|newsletter|subscribe|subscription|share|sharing|social|related|recommend\w*|comments?|respond|disqus|replies|popup|modal|overlay|toolbar|pagination|pager|"
-    r"login|signup|search|widget|contentinfo|navigation|complementary|skip"
+    r"notice|alert|gdpr|newsletter|subscribe|subscription|share|sharing|social|related|recommend\w*|comments?|commentary|respond|responses?|discussions?|disqus|replies|popup|modal|overlay|toolbar|pagination|pager|"
+    r"login|signup|search|widget|contentinfo|navigation|complementary|skip",
+    re.I,
 )
-_PLACE_WORDS = (
-    r"(?:area|articles|aside|bar|block|body|bottom|box|btns?|buttons?|card|cell|column|container|content|desktop|form|global|group|header|holder|icons?|inner|items?|left|link|links|list|"
-    r"main|media|mobile|outer|page|panel|posts|primary|results|right|row|secondary|section|side|site|slot|small|stories|thread|top|unit|widgets?|wrap|wrapper|zone|\d+)"
+PLACE_WORDS = re.compile(
+    r"area|articles|aside|bar|block|body|bottom|box|btns?|buttons?|card|cell|column|container|content|desktop|form|global|group|header|holder|icons?|inner|items?|law|left|link|links|list|"
+    r"main|media|mobile|outer|page|panel|policy|posts|primary|results|right|row|secondary|section|side|site|slot|small|stories|thread|top|unit|widgets?|wrap|wrapper|zone|\d+",
+    re.I,
 )
-#: A name all of whose parts are such words, at least one of them of furniture.
-FURNITURE = re.compile(rf"(?:^|\s)(?:{_PLACE_WORDS}[_-]+)*(?:{FURNITURE_WORDS})(?:[_-]+(?:{FURNITURE_WORDS}|{_PLACE_WORDS}))*(?=$|\s)", re.I)
+OPPOSITE_WORDS = frozenset("no not non has have with without hide hidden show is in on under after before above below over beside near".split())
+#: Words before ``header`` that make it the page's and not an article's.
+PAGE_WORDS = frozenset("site page global main top masthead".split())
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<close2>/?)(?P<name2>[A-Za-z][^\s/>]*)(?P<rest2>[^>]*)>",
     re.S,
 )
+_END_TAG = re.compile(r"</([A-Za-z][^\s/>]*)")
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 K, SURGE = 3, 30
@@ -66,6 +72,7 @@ class _Lines:
         self.parts: list[str] = []
         self.linked = 0
         self.part = _Part("body", None, False)
+        self.open = [Counter(body=1)]  # names of open containers, anew within each article or main
 
     def end(self) -> None:
         if self.parts:
@@ -82,15 +89,21 @@ class _Lines:
 
     def enter(self, name: str, named: bool) -> None:
         self.part = _Part(name, self.part, named)
+        if name in ("article", "main"):
+            self.open.append(Counter())
+        self.open[-1][name] += 1
 
     def leave(self, name: str) -> None:
         """Closes the innermost container of that name; other ends do not reach out of an article."""
-        at = self.part
-        while at.up is not None and at.name != name:
-            if at.name in ("article", "main") and name not in ("article", "main"):
+        if not (any(c[name] for c in self.open[1:]) if name in ("article", "main") else self.open[-1][name]):
+            return
+        while self.part.up is not None:
+            own, self.part = self.part.name, self.part.up
+            self.open[-1][own] -= 1
+            if own in ("article", "main"):
+                self.open.pop()
+            if own == name:
                 return
-            at = at.up
-        self.part = at.up or self.part
 
     def read(self, k: int) -> list[tuple[str, int, _Part]]:
         """The rows, gaps in place of what furniture holds; an article or main in it is not furniture unless it is named so."""
@@ -104,39 +117,55 @@ class _Lines:
         return kept
 
 
+def _names_furniture(name: str) -> bool:
+    """Whether a name (``user-comments``, ``adBox``) ends with a word of furniture, words of place aside."""
+    words = [w for w in re.split(r"[^A-Za-z0-9]+", _CAMEL.sub("-", name).lower()) if w]
+    if OPPOSITE_WORDS.intersection(words):
+        return False
+    if words[-1:] == ["header"] and PAGE_WORDS.intersection(words[:-1]):
+        return True
+    while words and not FURNITURE_WORDS.fullmatch(words[-1]):
+        if not PLACE_WORDS.fullmatch(words.pop()):
+            return False
+    return bool(words)
+
+
 def _furniture(rest: str) -> bool:
     """Whether class, id or role of a tag name furniture."""
-    return bool(rest) and any(FURNITURE.search(_CAMEL.sub("-", x or y or z)) for x, y, z in _MARK.findall(rest))
+    return bool(rest) and any(_names_furniture(name) for x, y, z in _MARK.findall(rest) for name in (x or y or z).split())
 
 
 class _Ends:
-    """Where a page's end tags are, by name; each name is sought once."""
+    """Where a page's end tags are, by name, found in one pass."""
 
     def __init__(self, page: str) -> None:
-        self.page, self.known = page, {}
+        self.page, self.known = page, None
 
-    def after(self, name: str, at: int) -> int:
-        if name not in self.known:
-            self.known[name] = [m.start() for m in re.finditer(rf"</{name}\b", self.page, re.I)]
-        found = self.known[name]
-        k = bisect_left(found, at)
-        return found[k] if k < len(found) else len(self.page)
+    def after(self, at: int, *names: str) -> int:
+        """The next end of any of the names, or the page's."""
+        if self.known is None:
+            self.known = {}
+            for m in _END_TAG.finditer(self.page):
+                self.known.setdefault(m[1].lower(), []).append(m.start())
+        found = [ends[k] for ends in (self.known.get(name, []) for name in names) if (k := bisect_left(ends, at)) < len(ends)]
+        return min(found, default=len(self.page))
 
 
 def lines(page: str) -> list[tuple[str, int, _Part]]:
     """Strips markup; one line per block element, K empty lines in place of furniture."""
     out, at, n = _Lines(), 0, len(page)
+    last = page.rfind(">") + 1  # no tag ends beyond; without this bound each "<" there would be followed to the page's end
     dropped: list[str] = []  # open elements inside dropped content, outermost first
     article = link = 0
     loose, ends = False, _Ends(page)
     while at < n:
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start() if m else n]
+        m = _TOKEN.search(page, at, max(at, last))
+        text = page[at : m.start()] if m else page[at:].split("<!--")[0]
         if text and not dropped:
             out.parts.append(text)
             if link:
                 out.linked += len(" ".join(html.unescape(text).split()))
-        if not m:
+        if not m or m[0].startswith("<!--") and not m[0].endswith("-->"):
             break
         at = m.end()
         name = (m["name"] or m["name2"] or "").lower()
@@ -174,7 +203,7 @@ def lines(page: str) -> list[tuple[str, int, _Part]]:
             if away or (named and name not in APART):
                 if not rest.endswith("/"):
                     dropped.append(name)
-                    loose = name == "p" or ends.after(name, at) >= ends.after("(?:article|main|body)", at)
+                    loose = name == "p" or ends.after(at, name) >= ends.after(at, "article", "main", "body")
                 out.gap(K)
                 continue
         if name == "a":
@@ -220,7 +249,8 @@ def extract(page: str | None, k: int = K, surge: int = SURGE) -> str:
     Text surges and dives as ``spans`` says. The container in which most text surges (outermost article or main; without
     one, innermost div or the body) is the article, and so is every other with at least a quarter of its text. Of these all
     lines are kept between a surge and its dive, with windows taken over their lines alone, so that nothing beside the
-    article counts; once in the article, text of any length surges, and only lines that are all links don't.
+    article counts; once in the article, text of any length surges. Lines that are all links don't, but those between two
+    stretches of one article are its own, as is one that ends it.
     """
     rows = lines(page or "")
     weights = [w for _, w, _ in rows]
@@ -234,14 +264,41 @@ def extract(page: str | None, k: int = K, surge: int = SURGE) -> str:
     heavy = max(total, key=total.__getitem__)
     homes = {h for h in total if 4 * total[h] >= total[heavy]}
 
-    def inside(part: _Part | None) -> bool:
-        while part is not None and part is not heavy:
+    known: dict[_Part, bool] = {heavy: True}
+
+    def inside(part: _Part) -> bool:
+        way = []
+        while part not in known and part.up is not None:
+            way.append(part)
             part = part.up
-        return part is heavy
+        found = known.get(part, False)
+        known.update(dict.fromkeys(way, found))
+        return found
 
     held = inside if heavy.up is not None else lambda part: part.home is heavy
     own = [row for row in rows if row[2].home in homes or held(row[2])]
-    return "\n".join(text for a, b in spans([w for _, w, _ in own], k, 1) for text, _, _ in own[a:b] if text)
+    kept = spans([w for _, w, _ in own], k, 1)
+    return "\n".join(own[i][0] for i in _with_links(own, kept, k) if own[i][0])
+
+
+def _with_links(rows: list[tuple[str, int, _Part]], kept: list[tuple[int, int]], k: int) -> list[int]:
+    """Indexes of kept rows and of linked ones that belong to them: all between two stretches of one article, where furniture
+    leaves no gap, and fewer than k that follow a stretch in the container in which it ends, as a last paragraph does."""
+    out: list[int] = []
+    for n, (begin, end) in enumerate(kept):
+        out += range(begin, end)
+        after = kept[n + 1][0] if n + 1 < len(kept) else len(rows)
+        home, part = rows[end - 1][2].home, rows[end - 1][2]
+        between = range(end, after)
+        if after < len(rows) and rows[after][2].home is home and all(rows[i][2].home is home for i in between if rows[i][0]):
+            out += between
+            continue
+        tail = 0
+        while end + tail < after and rows[end + tail][0] and rows[end + tail][2] is part:
+            tail += 1
+        if tail < k:
+            out += range(end, end + tail)
+    return out
 
 
 def extract_pages(pages: DataFrame, key: str = "page_id", column: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
