@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import LOWER, U64, Rolling, Words, as_row, cut, each_run, mix64, utf8
+from tidemill.llm.common import LOWER, U64, Rolling, Words, as_row, cut, each_run, mix64, stored, utf8
 
 SHINGLE = 5
 ROWS, BANDS = 5, 40
@@ -305,18 +305,18 @@ def components_of(signs: DataFrame, docs: DataFrame, key: str, text: str, way: W
     """(id, mark, n, component): every row of ``signs`` (made by ``signed``, with a sketch), with the least id that links reach."""
     some = signs.filter("n > 0 AND id IS NOT NULL")
     rest = [c for c in signs.columns if c not in ("id", "mark", "same")]
-    unique = cut(some.groupBy("same").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in rest))).withColumn("node", F.monotonically_increasing_id())
+    unique = stored(some.groupBy("same").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in rest)).withColumn("node", F.monotonically_increasing_id()))
     whole = docs.select(docs[key].alias("id"), docs[text].alias("text"))
 
     placed = unique.select("node", "n", F.explode(way.cells()).alias("cell"))
     heads = placed.groupBy("cell").agg(F.min("node").alias("head"), F.min_by("n", "node").alias("head_n"), F.count("*").alias("m")).filter("m > 1")
-    shared = cut(placed.join(heads, "cell"))
+    shared = stored(placed.join(heads, "cell"))
     fits = 100 * F.least("n", "head_n") >= way.percent * F.greatest("n", "head_n")
     stars = shared.filter((F.col("node") != F.col("head")) & fits).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     root = components(confirm(stars, unique, whole, way)).toDF("node", "root")
 
     labelled = shared.filter("m > 2").join(root, "node", "left").select("cell", "node", "n", F.coalesce("root", "node").alias("root"))
-    more = cut(_meetings(cut(labelled), unique, whole, way))
+    more = cut(_meetings(stored(labelled), unique, whole, way))
     if not more.isEmpty():
         root = components(root.toDF("a", "b").union(more)).toDF("node", "root")
 
@@ -327,7 +327,7 @@ def components_of(signs: DataFrame, docs: DataFrame, key: str, text: str, way: W
 
 
 def _placed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return components_of(cut(signed(docs, key, text, "sketch binary", _sketches)), docs, key, text, MINHASH)
+    return components_of(stored(signed(docs, key, text, "sketch binary", _sketches)), docs, key, text, MINHASH)
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
