@@ -12,7 +12,7 @@ def episode(task, trial, values, **more):
 
 def test_records(spark, tmp_path):
     calls = [{"name": "find_customer", "ok": True, "agent_call": 1}, {"name": "get_order", "ok": False, "agent_call": 1}]
-    llm = [{"who": "agent", "index": 1}, {"who": "agent", "index": 3}, {"who": "user", "index": 2}]
+    llm = [{"who": "agent", "index": 1, "format_error": "unbacked_claim"}, {"who": "agent", "index": 5, "format_error": "unbacked_claim"}, {"who": "agent", "index": 3, "format_error": "empty"}, {"who": "user", "index": 2, "format_error": "unbacked_claim"}]
     rows = [
         episode("a", 0, {}, tool_calls=calls, llm_calls=llm, voice=[{"said": "x", "heard": "y"}]),
         episode("a", 1, {"total": False, "date": True}),
@@ -29,7 +29,7 @@ def test_records(spark, tmp_path):
     assert [(r.said, r.heard) for r in src.utterances(df).collect()] == [("x", "y")]
     assert {r.task_id: r.share for r in src.identified(df).collect()} == {"a": 0.5, "b": 0.0}
     assert src.fired(df).filter("trial = 0 AND task_id = 'a'").first().fired == ["retry"]
-    assert [(r["index"], r["next"]) for r in src.after_held_claims(df).orderBy("index").collect()] == [(1, "reply"), (3, "end")]
+    assert [(r["index"], r["next"]) for r in src.after_held_claims(df).orderBy("index").collect()] == [(1, "reply"), (5, "end")]
     out = str(tmp_path / "out" / "run-2")
     src.append(df.drop("run_id"), out)
     src.append(df.drop("run_id"), out)

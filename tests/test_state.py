@@ -84,3 +84,8 @@ def test_decisions_and_their_effect(spark):
     assert sorted(map(tuple, after.collect())) == [(1, "C"), (2, "F")]
     assert [tuple(r) for r in writes.dry_run(state, d.filter("code IS NULL"), "k", {"s": F.lit("C")}).collect()] == [(1, "s", "O", "C")]
     assert writes.dry_run(state, d.filter("code IS NULL"), "k", {"s": F.lit("O")}).collect() == []
+
+
+def test_fingerprints_tell_values_apart(spark):
+    bits = lambda *row: spark.range(1).select(op.row_bits(*(F.lit(x).cast("string") for x in row)).alias("b")).first().b
+    assert len({bits("a|b", "c"), bits("a", "b|c"), bits("a", "b", "c"), bits("", None), bits(None, ""), bits("-", ""), bits("\\N", "")}) == 7

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import rules
 from tidemill.functions.text import let
+from tidemill.operators.state import row_bits
 
 #: The tools, and what their arguments may be.
 TOOLS = ("cancel_order", "request_return", "request_exchange", "change_shipping_address", "issue_compensation_coupon", "create_ticket", "transfer_to_human")
@@ -317,9 +318,8 @@ def end_cells(done: DataFrame) -> DataFrame:
 
 
 def cell_bits(*parts: Column | str) -> Column:
-    """60 bits of a cell's digest. Parts are told apart by their lengths, null from empty."""
-    piece = lambda c: F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-"))
-    return F.conv(F.substring(F.sha2(F.concat(*(piece(F.col(p) if isinstance(p, str) else p) for p in parts)), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    """60 bits of a cell's digest."""
+    return row_bits(*(F.col(p) if isinstance(p, str) else p for p in parts))
 
 
 def base_cells(tables: dict[str, tuple[DataFrame, Sequence[str], Sequence[str]]]) -> DataFrame:

@@ -75,9 +75,10 @@ def row_hash(columns: Sequence[str]) -> Column:
 
 
 def row_bits(*columns: Column) -> Column:
-    """First 60 bits of the SHA-256 of a row, as a number that can be summed. Nulls are written as \\N, so that they are no
-    empty text."""
-    row = F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("\\N")) for c in columns))
+    """First 60 bits of the SHA-256 of a row, as a number that can be summed. Values are told apart by their lengths, null
+    from empty."""
+    piece = lambda c: F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-"))
+    row = F.concat(*map(piece, columns))
     return F.conv(F.substring(F.sha2(row, 256), 1, 15), 16, 10).cast("decimal(38,0)")
 
 

@@ -221,7 +221,7 @@ def gold_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _replay(spark, sf_dir)[2]
 
 
-_BITS = "('0x' || substr(sha256(concat_ws('|', o_orderkey, o_custkey, {0})), 1, 15))::BIGINT"
+_BITS = "('0x' || substr(sha256(length(o_orderkey::VARCHAR) || ':' || o_orderkey || length(o_custkey::VARCHAR) || ':' || o_custkey || length({0}) || ':' || {0}), 1, 15))::BIGINT"
 
 
 @query(

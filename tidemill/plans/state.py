@@ -115,7 +115,7 @@ def row_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT 'orders' AS name, count(*) AS n, sum(('0x' || substr(sha256(concat_ws('|', o_orderkey, o_custkey, o_orderstatus)), 1, 15))::BIGINT)::HUGEINT::VARCHAR AS hash FROM orders"
+    "SELECT 'orders' AS name, count(*) AS n, sum(('0x' || substr(sha256(length(o_orderkey::VARCHAR) || ':' || o_orderkey || length(o_custkey::VARCHAR) || ':' || o_custkey || length(o_orderstatus) || ':' || o_orderstatus), 1, 15))::BIGINT)::HUGEINT::VARCHAR AS hash FROM orders"
 )
 def state_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of a table that doesn't depend on the order of its rows: added up in parallel, no sort, no list."""

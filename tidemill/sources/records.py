@@ -84,9 +84,9 @@ def utterances(records: DataFrame, others: DataFrame | None = None) -> DataFrame
 
 
 def identified(records: DataFrame, tools: tuple[str, ...] = ("find_customer", "verify_caller")) -> DataFrame:
-    """(task_id, share): share of a task's episodes with a successful identity call."""
+    """(task_id, share): share of a task's episodes, infrastructure errors aside, with a successful identity call."""
     found = F.exists("tool_calls", lambda t: t["ok"] & t["name"].isin(*tools))
-    return records.groupBy("task_id").agg(F.avg(F.coalesce(found, F.lit(False)).cast("int")).alias("share"))
+    return judged(records).groupBy("task_id").agg(F.avg(F.coalesce(found, F.lit(False)).cast("int")).alias("share"))
 
 
 def fired(records: DataFrame, axis: dict[str, Column] | None = None) -> DataFrame:
@@ -100,15 +100,15 @@ def fired(records: DataFrame, axis: dict[str, Column] | None = None) -> DataFram
 
 
 def after_held_claims(records: DataFrame) -> DataFrame:
-    """(run_id, task_id, trial, index, next): what the agent's next call does after each; position is ``index``,
+    """(run_id, task_id, trial, index, next): what the agent's next call does after each whose claim was held back; position is ``index``,
     never the place in the array, which lists calls by role. Of several tool calls of one agent call the last counts."""
     from pyspark.sql.window import Window
 
     key = ["run_id", "task_id", "trial"]
-    calls = records.select(*key, F.inline("llm_calls")).filter("who = 'agent'").select(*key, "index")
+    calls = records.select(*key, F.inline("llm_calls")).filter("who = 'agent'").select(*key, "index", F.col("format_error").eqNullSafe("unbacked_claim").alias("held"))
     tools = records.select(*key, F.posexplode("tool_calls").alias("pos", "t")).groupBy(*key, F.col("t.agent_call").alias("index")).agg(F.max_by("t.name", "pos").alias("tool"))
     nxt = F.lead(F.coalesce("tool", F.lit("reply"))).over(Window.partitionBy(*key).orderBy("index"))
-    return calls.join(tools, [*key, "index"], "left").withColumn("next", F.coalesce(nxt, F.lit("end"))).drop("tool")
+    return calls.join(tools, [*key, "index"], "left").withColumn("next", F.coalesce(nxt, F.lit("end"))).filter("held").drop("tool", "held")
 
 
 def append(records: DataFrame, path: str) -> None:
