@@ -98,10 +98,10 @@ def test_more_buckets_for_more_text(spark, monkeypatch):
     assert again.keys() == scores.keys() and all(abs(again[k] - scores[k]) < 1e-3 * abs(scores[k]) for k in scores)
 
 
-def test_nodes_for_all_tasks_are_counted_first(spark, monkeypatch):
-    monkeypatch.setattr(lm_score, "TOP_BYTES", 1000)
-    with pytest.raises(ValueError, match="more than the driver"):
-        lm_score.score(odd(spark))
+def test_many_kinds_of_bytes_do_not_stop_the_scores(spark):
+    docs = spark.createDataFrame([(k, " ".join(chr(0x21 + (k * 7919 + j * j) % 0xCFFF) for j in range(300))) for k in range(40)], "doc_id long, text string")
+    found = lm_score.score(docs).collect()
+    assert len(found) == 40 and all(r.score < 0 for r in found)
 
 
 def test_table_is_filled_by_turns():

@@ -27,9 +27,6 @@ from tidemill.llm.common import LOWER, U64, Block, Words, bucket_of, cut, mix64,
 DEPTH = 5
 TOP = 2
 BLOCK = 8 << 20
-#: Bytes of nodes of TOP bytes of context that are shared with all tasks, 32 for each. There are 65,793 times 255 at most
-#: (535 MB) whatever the corpus; texts of all languages in UTF-8 have far fewer, as most pairs of bytes never occur.
-TOP_BYTES = 256 << 20
 FOLDS, HELD = 7, 2
 _PAD = b"\n" * DEPTH
 _LOG_HALF = math.log(0.5)
@@ -383,10 +380,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes:
 
     grams = merged.filter("slot >= 0").select("slot", "body")
     sums = cut(grams.groupBy("slot").applyInArrow(_grow(buckets), "slot int, body binary").groupBy("slot").applyInArrow(_gather, "slot int, body binary"))
-    size = sums.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
-    if size > TOP_BYTES:
-        raise ValueError(f"{size} bytes of nodes of {TOP} bytes of context are more than the driver and each task may hold ({TOP_BYTES})")
-    rows = np.concatenate([np.zeros(0, _NODE), *(np.frombuffer(bytes(r["body"]), _NODE) for r in sums.select("body").collect())])
+    # Of TOP bytes of context there are 65,793 times 255 nodes of 32 bytes at most (535 MB), whatever the corpus, and far fewer in
+    # texts in UTF-8, as most pairs of bytes never occur. They come to the driver a partition at a time.
+    some = sums.select("body").toLocalIterator()
+    rows = np.concatenate([np.zeros(0, _NODE), *(np.frombuffer(bytes(r["body"]), _NODE) for r in some)])
     top = spark.sparkContext.broadcast(top_of(rows["node"], rows["zeros"], rows["ones"], rows["below"]) if len(rows) else None)
     known = grams.groupBy("slot").applyInArrow(_predict(buckets, top), "slot int, body binary")
     replies = asked.groupBy("slot").cogroup(known.groupBy("slot")).applyInArrow(_reply, "block long, slot int, body binary")
