@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemill.operators import compare
+from tidemill.operators import compare, ranks
 from tidemill.operators import reliability as op
 from tidemill.registry import query, table
 
@@ -209,15 +209,17 @@ def result_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     "round(avg(value) FILTER (event_type = 'purchase'), 6) AS mean_purchase, max(value) AS largest, median(value) AS middle FROM events"
 )
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts, means and extremes of a run in one aggregation."""
-    return table(spark, sf_dir, "events").agg(
+    """Counts, means and extremes of a run in one aggregation, and its median by ranks."""
+    e = table(spark, sf_dir, "events")
+    counts = e.agg(
         F.count("*").alias("episodes"),
         F.count_distinct("user_id").alias("users"),
         F.count_if(F.col("event_type") == "error").alias("errors"),
         F.round(F.avg(F.when(F.col("event_type") == "purchase", F.col("value"))), 6).alias("mean_purchase"),
         F.max("value").alias("largest"),
-        F.median("value").alias("middle"),
     )
+    middle = ranks.medians(e, F.col("value")).select(F.col("median").alias("middle"))
+    return counts.join(F.broadcast(middle), F.lit(True), "left")
 
 
 @query(
@@ -228,7 +230,9 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def smoke_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thresholds over aggregates of a run: (gate, value, passed)."""
     e = F.count_if(F.col("event_type") == "error")
-    found = table(spark, sf_dir, "events").agg(e.alias("errors"), F.count("*").alias("n"), F.median("value").alias("middle"), F.max("value").alias("largest"))
+    events = table(spark, sf_dir, "events")
+    middle = ranks.medians(events, F.col("value")).select(F.col("median").alias("middle"))
+    found = events.agg(e.alias("errors"), F.count("*").alias("n"), F.max("value").alias("largest")).join(F.broadcast(middle), F.lit(True), "left")
     gate = lambda name, v, ok: F.struct(F.lit(name).alias("gate"), F.round(v, 6).alias("value"), ok.alias("passed"))
     c = F.col
     gates = F.array(

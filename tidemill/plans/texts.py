@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tidemill.functions import speech, text as fn
 from tidemill.plans.shop import _LETTERS, korean_names
+from tidemill.operators import ranks
 from tidemill.registry import query, table
 
 #: Characters of a quote, and how many different ones of the items' side every task may hold (8 bytes each).
@@ -92,12 +93,14 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_brand, sum(levenshtein(p_name, p_type))::BIGINT AS edits, sum(length(p_name))::BIGINT AS chars, count(*) FILTER (p_name = p_type) AS exact, median(p_retailprice) FILTER (p_size > 5) AS middle FROM part GROUP BY p_brand")
 def channel_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error of a channel by speaker: edits over characters, exact share, median over the uncached only."""
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(
+    p = table(spark, sf_dir, "part")
+    middle = ranks.medians(p, F.when(F.col("p_size") > 5, F.col("p_retailprice")), {"brand": F.col("p_brand")}).select("brand", F.col("median").alias("middle"))
+    counts = p.groupBy("p_brand").agg(
         F.sum(F.levenshtein("p_name", "p_type")).alias("edits"),
         F.sum(F.length("p_name")).alias("chars"),
         F.count_if(F.col("p_name") == F.col("p_type")).alias("exact"),
-        F.median(F.when(F.col("p_size") > 5, F.col("p_retailprice"))).alias("middle"),
     )
+    return counts.join(middle, F.col("p_brand").eqNullSafe(F.col("brand")), "left").drop("brand")
 
 
 @query(f"SELECT s_suppkey, levenshtein({_LETTERS}, (SELECT {_LETTERS} FROM supplier WHERE s_suppkey = 1)) AS distance FROM supplier")
