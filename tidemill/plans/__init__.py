@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.plans import calls, compare, conversations, dialogue, reliability, rules, runs, service, shop, state, texts, writes  # noqa: F401  they register themselves
+from tidemill.plans import calls, compare, conversations, dialogue, documents, reliability, rules, runs, service, shop, state, texts, writes  # noqa: F401  they register themselves
 from tidemill.registry import REGISTRY, Query
 
 
