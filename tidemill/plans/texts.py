@@ -46,8 +46,8 @@ _DAY = r"(^|[^\d])\d{4}\s*[-./]\s*\d{1,2}\s*[-./]\s*\d{1,2}($|[^\d])"
 def value_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-mails and numbers of each document that has any (dates are compared in another query); worked out once a row."""
     of = F.filter(fn.tokens(F.col("text")), lambda x: ~x.startswith("date:"))
-    found = table(spark, sf_dir, "documents").select("doc_id", of.alias("v")).select("doc_id", F.explode("v").alias("v"))
-    return found.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("v")), " ").alias("tokens"))
+    one = fn.let(of, lambda v: F.when(F.size(v) > 0, F.array(F.array_join(v, " "))).otherwise(F.array().cast("array<string>")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(one).alias("tokens"))
 
 
 @query(
