@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import LOWER, U64, Rolling, Words, as_row, cut, each_run, mix64, stored, utf8
+from tidemill.llm.common import LOWER, U64, Rolling, Words, as_row, cut, each_run, stored, utf8
 
 SHINGLE = 5
 ROWS, BANDS = 5, 40
