@@ -88,3 +88,33 @@ def test_exchanges(spark):
     assert [r.reply for r in found] == ["38,900원을 환불할까요?", "6원", None]
     s = confirm.statistics(confirm.exchanges(m)).first()
     assert (s.exchanges, s.consent, s.refusal, s.none, s.repeats, s.consent_unrun, s.amounts_said, s.with_amounts) == (3, 1, 1, 1, 1, 0, 1, 2)
+
+
+def test_episodes_tell_what_a_simulated_customer_could_know(spark, tmp_path):
+    from tidemill.sources import records
+
+    def episode(task, turns, **more):
+        """Turns of (agent's message, tool results before it was sent, customer's answer)."""
+        messages, heard, calls = [], [], [{"who": "agent", "index": 0, "text": "91999"}]
+        for k, (agent, results, answer) in enumerate(turns):
+            messages += [{"role": "tool", "content": r} for r in results] + [{"role": "assistant", "content": agent}]
+            messages += [{"role": "user", "content": "note 77777", "harness": True}] if k == 1 else []
+            heard += [{"role": "user", "content": agent}, {"role": "assistant", "content": answer}]
+            messages.append({"role": "user", "content": answer})
+            calls.append({"who": "user", "index": 2 * k + 1, "text": answer})
+        return {"task_id": task, "trial": 0, "status": "done", "messages": messages, "user_messages": heard, "llm_calls": calls[::-1]} | more
+
+    rows = [
+        episode("known", [("hello", [], "order O-91001"), ("it is 58,300원", [], "58,300원? ###STOP###")]),
+        episode("made-up", [("hello", [], "order O-91999 of 61,000원"), ("well", [], "###STOP###")]),
+        episode("too-early", [("hello", [], "is it 58,300원?"), ("58,300원", [], "thanks")]),
+        episode("result", [("hello", [], "what is it?"), ("I see", ['{"total_won": 58300}'], "58,300원?")]),
+        episode("late-result", [("hello", [], "58,300원?"), ("I see", ['{"total_won": 58300}'], "77777?")]),
+        episode("broken", [("hello", [], "88888")], status="infra_error"),
+    ]
+    (tmp_path / "run").mkdir()
+    (tmp_path / "run" / "episodes.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\n")
+    prompts = spark.createDataFrame([("known", "your order is O-91001"), ("other", "91999")], "task_id string, text string")
+    said, texts = records.simulated(records.episodes(spark, str(tmp_path / "run")), prompts)
+    missing = invented.invented(said, texts).join(said, ["conv", "at"])
+    assert {(r.conv.split("/")[1], r["index"]): r.missing for r in missing.collect()} == {("made-up", 1): ["num:61000", "num:91999"], ("too-early", 1): ["num:58300"], ("late-result", 1): ["num:58300"], ("late-result", 3): ["num:77777"]}

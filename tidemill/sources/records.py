@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill.functions.text import without_ending
+
 
 def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in fields.items()])
@@ -111,6 +113,28 @@ def after_held_claims(records: DataFrame) -> DataFrame:
     return calls.join(tools, [*key, "index"], "left").withColumn("next", F.coalesce(nxt, F.lit("end"))).filter("held").drop("tool", "held")
 
 
+def simulated(records: DataFrame, prompts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Utterances (conv, at, index, text) of the simulated customers of episodes, and the texts (conv, at, text) that they could
+    draw on, as ``operators.invented`` takes them: a text comes before an utterance if its ``at`` is smaller.
+
+    The k-th utterance, by the index of its call, knows the first k + 1 messages that the agent sent to the customer, and the
+    tool results that came before it arrived. ``prompts`` (task_id, text) hold from the start. Marks of an end are no
+    part of an utterance, and notes of the harness don't count as arrivals."""
+    from pyspark.sql.window import Window
+
+    own = judged(records).withColumn("conv", F.concat_ws("/", "run_id", "task_id", F.col("trial").cast("string")))
+    calls = F.array_sort(F.transform(F.filter("llm_calls", lambda c: c["who"] == "user"), lambda c: F.struct(c["index"].alias("index"), c["text"].alias("text"))))
+    said = own.select("conv", F.posexplode(calls).alias("k", "c")).select("conv", (2 * F.col("k") + 1).alias("at"), "c.index", without_ending(F.coalesce("c.text", F.lit(""))).alias("text"))
+    heard = own.select("conv", F.posexplode(F.filter("user_messages", lambda m: m["role"] == "user")).alias("k", "m")).select("conv", (2 * F.col("k")).cast("long").alias("at"), "m.content")
+    arrivals = F.count(F.when((F.col("m.role") == "user") & ~F.coalesce("m.harness", F.lit(False)), 1)).over(Window.partitionBy("conv").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    each = own.select("conv", F.posexplode("messages").alias("i", "m")).withColumn("arrived", arrivals)
+    results = each.filter(F.col("m.role") == "tool").select("conv", (2 * F.col("arrived")).alias("at"), "m.content")
+    texts = heard.union(results)
+    if prompts is not None:
+        texts = texts.union(own.join(prompts, "task_id").select("conv", F.lit(-1).cast("long").alias("at"), "text"))
+    return said, texts.toDF("conv", "at", "text")
+
+
 def append(records: DataFrame, path: str) -> None:
     """Adds records to a run as JSON lines; never changes what is there."""
     records.write.mode("append").json(path)
