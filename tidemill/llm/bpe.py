@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -83,6 +84,12 @@ class Codec:
                     known[piece] = ids
             out += ids
 
+    def forget(self) -> None:
+        """Gives back what was remembered: a worker outlives its task, and other stages need the memory."""
+        self.known.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text; strings of added tokens become their ids."""
         text, out, at = text or "", [], 0
@@ -126,6 +133,7 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
                 [t.column("key").combine_chunks(), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))],
                 ["key", "n_tokens", "ids"],
             )
+        c.forget()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, f"key {kind}, n_tokens long, ids array<int>").withColumnRenamed("key", key)
