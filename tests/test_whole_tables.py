@@ -82,3 +82,11 @@ def test_many_sources_meet_by_a_shuffle(spark):
 )
 def test_rows_with_large_ids(spark, tmp_path, name, query, key, found):
     same_far_away(spark, tmp_path, name, query, key, found)
+
+
+@needs_tables
+@pytest.mark.parametrize("query", ["verbalized", "spoken_back", "respelled"])
+def test_sentences_of_one_file_are_dealt_over_all_cores(spark, query):
+    """Sentences are rewritten behind an exchange into so many parts, which adaptive execution doesn't join again."""
+    plan = plans.queries()[query](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert f"RoundRobinPartitioning({4 * spark.sparkContext.defaultParallelism})" in plan and "REPARTITION_BY_NUM" in plan
