@@ -65,16 +65,20 @@ def near_names(people: DataFrame, key: str, group: str, name: str, most: int = 2
     most. Syllables count as their letters.
 
     Names that near share what is left of both when up to ``most`` letters are taken out of each, so candidates come from
-    an equality join on such rests, not from all pairs of a group; a name has about length ** most / 2 of them.
+    an equality join on such rests, not from all pairs of a group; a name has about length ** most / 2 of them. Equal names of a
+    group meet as one, and only names that are near are given back their rows, so what a task holds grows with the names, not
+    with the pairs of rows.
     """
-    slim = people.select(key, group, nfd(F.regexp_replace(name, r"\s+", "")).alias("letters")).filter("letters IS NOT NULL")
+    slim = people.select(key, group, nfd(F.regexp_replace(name, r"\s+", "")).alias("letters")).filter("letters IS NOT NULL").distinct()
     rests, last = F.array("letters"), F.array("letters")
     for _ in range(most):
         last = F.array_distinct(_shorter(last))
         rests = F.concat(rests, last)
     # as a row of its own, so that the rests are worked out once
-    each = slim.select(key, group, "letters", F.explode(F.array_distinct(rests)).alias("rest"))
-    one, two = (each.select(F.col(key).alias(k), F.col(group), F.col("letters").alias(f"{k}_letters"), "rest") for k in ("_one", "_two"))
-    pairs = one.join(two, [group, "rest"]).filter("_one <> _two").select("_one", "_two", "_one_letters", "_two_letters").distinct()
-    near = pairs.withColumn("distance", F.levenshtein("_one_letters", "_two_letters", most)).filter("distance >= 0")
-    return near.select(F.col("_one").alias(key), F.col("_two").alias("other"), "distance")
+    each = slim.select(group, "letters").distinct().select(group, "letters", F.explode(F.array_distinct(rests)).alias("rest"))
+    one, two = (each.select(F.col(group), F.col("letters").alias(side), "rest") for side in ("_one", "_two"))
+    pairs = one.join(two, [group, "rest"]).select(group, "_one", "_two").distinct()
+    near = pairs.withColumn("distance", F.levenshtein("_one", "_two", most)).filter("distance >= 0")
+    left, right = (slim.select(F.col(key).alias(k), F.col(group), F.col("letters").alias(side)) for k, side in (("_key", "_one"), ("_other", "_two")))
+    met = left.join(near, [group, "_one"]).join(right, [group, "_two"]).filter("_key <> _other")
+    return met.select(F.col("_key").alias(key), F.col("_other").alias("other"), "distance")
