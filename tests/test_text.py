@@ -1,9 +1,13 @@
 import random
+import re
+import time
+import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.functions import claims, consent, rules, speech, text
+from tidemill.functions import claims, consent, rules, speech, text, unicode
 
 
 def mapped(spark, function, pairs):
@@ -202,3 +206,14 @@ def test_rules(spark):
     assert v(rules.first_failure(checks)) == "b" and v(rules.all_failures(checks)) == ["b", "c"]
     with pytest.raises(Exception, match="unknown code"):
         v(rules.label(F.lit("Z"), {"A": "x"}))
+
+
+def test_amounts_are_combined_for_many_rows_at_once():
+    rng, terms = random.Random(4), (3000, 5000)
+    for size in (1, 2, 3):
+        own = [[rng.choice([rng.randint(1, 40), rng.randint(1, 6000), 3000, 5000]) for _ in range(size)] for _ in range(300)]
+        values = [rng.choice([rng.randint(-60, 80), rng.randint(1, 9000), sum(o), o[0] + 3000, 8000, o[0] - 2 * 3000]) for o in own]
+        assert text.all_combine(np.array(values), np.array(own), terms).tolist() == [text.combines(v, o, terms) for v, o in zip(values, own)]
+    begin = time.perf_counter()
+    text.all_combine(np.arange(20_000), np.arange(40_000).reshape(-1, 2), terms)
+    assert time.perf_counter() - begin < 1  # one row after another took three seconds
