@@ -217,3 +217,16 @@ def test_amounts_are_combined_for_many_rows_at_once():
     begin = time.perf_counter()
     text.all_combine(np.arange(20_000), np.arange(40_000).reshape(-1, 2), terms)
     assert time.perf_counter() - begin < 1  # one row after another took three seconds
+
+
+def test_texts_that_normal_forms_leave_alone_stay_out_of_python(spark):
+    """No character of the class is changed by NFKC, alone or after another one of them."""
+    stable = [chr(c) for c in range(0x10000) if not re.match(unicode.UNSTABLE, chr(c))]
+    assert len(stable) > 30_000 and all(unicodedata.is_normalized("NFKC", "a" + c) and not unicodedata.combining(c) for c in stable)
+    seconds = {chr(int(p[1], 16)) for c in range(0x30000) if len(p := unicodedata.decomposition(chr(c)).split()) == 2 and p[0][0] != "<"}
+    assert not seconds & set(stable)
+    assert not any(unicodedata.normalize("NFKC", x + y) != x + y for x, y in (("\u1100", c) for c in stable))
+    texts = ["", "plain", "가나 é", "１２", "e\u0301", "ﬁ", "\uac00\u11a8", None, "한１"]
+    assert mapped(spark, unicode.nfkc, [(t, None) for t in texts]) == [(t, t and unicodedata.normalize("NFKC", t)) for t in texts]
+    sent = spark.createDataFrame([(t,) for t in texts], "t string").select(unicode.unsettled(F.col("t")).alias("t")).filter("t IS NOT NULL")
+    assert {r.t for r in sent.collect()} == {"１２", "e\u0301", "ﬁ", "\uac00\u11a8", "한１"}

@@ -4,25 +4,43 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+#: A character that NFKC may change, alone or behind another one. The others are ASCII, Latin letters with their marks, Hangul
+#: syllables, kana, most Chinese characters, and quotation marks and dashes.
+UNSTABLE = "[^\\x00-\\x7F\\u00C0-\\u00FF\\uAC00-\\uD7A3\\u3041-\\u3096\\u30A1-\\u30FA\\u4E00-\\u9FEF\\u2013\\u2014\\u2018\\u2019\\u201C\\u201D]"
+#: Texts that are made Python strings at a time.
+_AT_ONCE = 64
 
 
-@F.pandas_udf(T.StringType())
-def _nfd(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFD", t), na_action="ignore")
+def _each(texts: pa.Array, form: str) -> pa.Array:
+    """Texts in a normal form. Only a few are Python strings at a time, whatever a batch holds."""
+    parts = [pa.array([x and unicodedata.normalize(form, x) for x in texts[k : k + _AT_ONCE].to_pylist()], pa.string()) for k in range(0, len(texts), _AT_ONCE)]
+    return pa.concat_arrays([pa.array([], pa.string()), *parts])
+
+
+@F.arrow_udf(T.StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    return _each(texts, "NFKC")
+
+
+@F.arrow_udf(T.StringType())
+def _nfd(texts: pa.Array) -> pa.Array:
+    return _each(texts, "NFD")
+
+
+def unsettled(text: Column) -> Column:
+    """A text that NFKC may change, else null."""
+    return F.when(F.rlike(text, F.lit(UNSTABLE)), text)
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility forms united: full-width digits become digits. Null stays null."""
-    return _nfkc(text)
+    """Compatibility forms united: full-width digits become digits. Null stays null. What can't change is not sent to Python."""
+    return F.coalesce(_nfkc(unsettled(text)), text)
 
 
 def nfd(text: Column) -> Column:
