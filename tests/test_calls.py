@@ -132,3 +132,19 @@ def test_values_must_be_in_an_output(spark, shop):
 def test_no_calls(spark, shop):
     empty = spark.createDataFrame([], "of int, place int, tool string, args string, customer_id string, now timestamp, strict boolean, dry boolean")
     assert op.run(empty, shop).count() == 0
+
+
+def test_calls_without_a_key_are_dealt_over_all_tasks(spark):
+    """They are told nothing, and aren't all sent to the task that null belongs to."""
+    calls = spark.range(2000).select(F.col("id").alias("of"), F.lit(0).alias("place"), F.when(F.col("id") % 10 == 0, F.col("id").cast("string")).alias("address_id"))
+    facts = spark.range(0, 2000, 20).select(F.col("id").cast("string").alias("address_id"), F.col("id").alias("owner"))
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        told = op._told(calls, "address_id", facts).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert {(r.of, r.address_id, r.owner) for r in told} == {(k, None if k % 10 else str(k), None if k % 20 else k) for k in range(2000)} and len(told) == 2000
+    assert max(sum(r.task == t for r in told) for t in range(4)) < 700
