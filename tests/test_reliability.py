@@ -92,3 +92,25 @@ def test_shares_of_the_negative_control_add_up(spark):
     found = {r.fired: r for r in op.negative_control(df, "task", "fired", "base", "arm").collect()}
     assert sum(r.pairs for r in found.values()) == 5
     assert sum(r.share for r in found.values()) == pytest.approx(((0.5 - 0.5) + (1 - 0.5) + 0) / 3)
+
+
+def test_draws_go_on_from_any_output():
+    whole, source = op.Draws(5).raw(op._NEAR + 4000), op.Draws(5, op._NEAR + 1000)
+    assert (source.raw(3000) == whole[op._NEAR + 1000 :]).all()
+
+
+def test_parts_of_a_sequence_are_drawn_by_many_tasks(spark, monkeypatch):
+    """Whether a sequence is drawn in one part or in many, results are those of the one generator; and no task draws it all."""
+    monkeypatch.setattr(op, "_ONE_PART", 1000)
+    rows = [(k, float(k % 7), float(k % 3 + 1), float(k % 5), 2.0) for k in range(90)]
+    df = spark.createDataFrame(rows, "task int, a double, b double, c double, d double").repartition(3)
+    rng = random.Random(op.SEED)
+    drawn = ([rng.choice(rows) for _ in rows] for _ in range(600))
+    ratios = sorted(sum(r[3] for r in x) / sum(r[4] for r in x) - sum(r[1] for r in x) / sum(r[2] for r in x) for x in drawn)
+    found = op.resampled(df, "task", op.pooled_ratio("a", "b", "c", "d"), draws=600)
+    assert found.first().low == pytest.approx(ratios[15]) and found.first().high == pytest.approx(ratios[584])
+    flips = spark.createDataFrame([(k, (-1.5, 1, 2, 0.25, 0)[k % 5] + (k % 5 < 4) * k / 64) for k in range(40)], "k int, d double")
+    assert tuple(op.sign_flip(flips.repartition(3), "k", "d").first()) == op.sign_flip_p([r.d for r in flips.collect()])
+    assert math.isnan(op.resampled(df.filter("task < 0"), "task", op.mean_of("a")).first().point) and tuple(op.sign_flip(flips.filter("k < 0"), "k", "d").first()) == (1.0, 0, True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow [part" in plan

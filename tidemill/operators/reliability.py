@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 RESAMPLES, EXACT_MOST, DRAWS, SLACK = 10_000, 20, 20_000, 1e-9
 SEED, FLIP_SEED = 20260919, 20261024
@@ -61,24 +65,77 @@ def pass_k_table(by_task: DataFrame) -> DataFrame:
     return each.groupBy("k").agg(value.alias("value"))
 
 
+@lru_cache(1)
+def _recurrence() -> int:
+    """The polynomial over two elements, bits as coefficients, that the bits of the generator's words follow, found from the words
+    themselves (Berlekamp and Massey)."""
+    words = _words(random.Random(1).getstate()[1][:-1], 2 * _DEGREE + 1)
+    now, last, degree, gap, seen = 1, 1, 0, 1, 0
+    for n, bit in enumerate((words[1:] & np.uint32(1)).tolist()):
+        seen = seen << 1 | bit
+        if (now & seen).bit_count() & 1:
+            before = now
+            now ^= last << gap
+            if 2 * degree <= n:
+                degree, last, gap = n + 1 - degree, before, 0
+        gap += 1
+    if degree != _DEGREE:
+        raise RuntimeError("the generator is not the one that is known")
+    return int(bin(now)[2:].zfill(degree + 1)[::-1], 2)
+
+
+def _words(key: Iterable[int], count: int) -> np.ndarray:
+    """The generator's 624 words and those that follow, before they are mixed into outputs."""
+    source, parts = np.random.MT19937(), [np.array(list(key), np.uint32)]
+    source.state = {"bit_generator": "MT19937", "state": {"key": parts[0], "pos": _STATE}}
+    for _ in range(-(-count // _STATE)):
+        source.random_raw(_STATE)
+        parts.append(source.state["state"]["key"].copy())
+    return np.concatenate(parts)
+
+
+def _ahead(key: Iterable[int], steps: int) -> np.ndarray:
+    """The 624 words so many outputs later: x ** steps modulo the recurrence says which words add up to each."""
+    rule, power = _recurrence(), 1
+    for bit in bin(steps)[2:]:
+        power = int("0".join(bin(power)[2:]), 2) << (bit == "1")
+        while (over := power.bit_length() - 1 - _DEGREE) >= 0:
+            power ^= rule << over
+    words, out = _words(key, _DEGREE), np.zeros(_STATE, np.uint32)
+    for k in np.flatnonzero(np.array(list(bin(power)[:1:-1])) == "1").tolist():
+        out ^= words[k : k + _STATE]
+    return out
+
+
+#: Words of the generator's state, and the degree of its recurrence. Outputs that are rather drawn than leapt over.
+_STATE, _DEGREE, _NEAR = 624, 19937, 1 << 24
+
+
 class Draws:
     """The 32-bit outputs of Python's generator for a seed, in order, as arrays: what is published with a seed can then be
-    drawn again a few thousand times faster."""
+    drawn again a few thousand times faster, and from any output on, so that many tasks draw parts of one sequence."""
 
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, skip: int = 0):
         *key, at = random.Random(seed).getstate()[1]
         self.source = np.random.MT19937()
-        self.source.state = {"bit_generator": "MT19937", "state": {"key": np.array(key, np.uint32), "pos": at}}
+        words = np.array(key, np.uint32)
+        if skip >= _NEAR:  # a fresh generator has used up its words
+            words, skip = _ahead(key, skip), 0
+        self.source.state = {"bit_generator": "MT19937", "state": {"key": words, "pos": at}}
         self.left = np.zeros(0, np.uint32)
+        if skip:
+            self.source.random_raw(skip)
+
+    def raw(self, count: int) -> np.ndarray:
+        """The next outputs."""
+        return self.source.random_raw(count).astype(np.uint32)
 
     def below(self, n: int, count: int) -> np.ndarray:
         """``count`` places below n, as so many single choices among n: the high bits of each output that are below n."""
-        bits = n.bit_length()
-        if bits > 32:
-            raise ValueError("more than 2**32 - 1 rows to draw from")
+        bits = _bits(n)
         parts, have = [np.zeros(0, np.uint32)], 0
         while have < count:
-            raw = self.left if len(self.left) else self.source.random_raw(max(1024, int((count - have) * (1 << bits) / n))).astype(np.uint32)
+            raw = self.left if len(self.left) else self.raw(max(1024, int((count - have) * (1 << bits) / n)))
             places = raw >> np.uint32(32 - bits)
             kept = np.flatnonzero(places < n)[: count - have]
             have += len(kept)
@@ -91,51 +148,139 @@ class Draws:
         return self.source.random_raw(2 * count)[::2] < 1 << 31
 
 
-#: Values of a frame, a column each, to the statistic of each of several draws; nan where it is undefined. The places that
-#: a draw chose are a row of the array.
-Statistic = Callable[[dict[str, np.ndarray], np.ndarray], np.ndarray]
-#: Places drawn at a time.
-_AT_ONCE = 1 << 22
+def _bits(n: int) -> int:
+    if n.bit_length() > 32:
+        raise ValueError("more than 2**32 - 1 rows to draw from")
+    return n.bit_length()
+
+
+#: Sums of a frame's columns, an array each with a value for each of several draws, and the number of rows to the statistic of each;
+#: nan where it is undefined.
+Statistic = Callable[[dict[str, np.ndarray], int], np.ndarray]
+#: Outputs drawn at a time; parts that a sequence is drawn in, and outputs up to which it is one part.
+_AT_ONCE, PARTS, _ONE_PART = 1 << 22, 96, 1 << 25
+
+
+def _parts(outputs: int) -> int:
+    return PARTS if outputs > _ONE_PART else 1
+
+
+def _packed(values: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """(at, body): the columns as doubles, row after row in the order of ``order``, packed by batches; sorted by ``at``, they follow
+    one another. One row of nulls more, so that there is a row if there are no values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype(np.float64)
+            yield pa.RecordBatch.from_pydict({"at": pa.array([part + n], pa.int64()), "body": pa.array([rows.tobytes()], pa.binary())})
+            n += 1
+
+    doubles = [F.col(c).cast("double").alias(c) for c in columns]
+    packed = values.orderBy(F.col(order).asc_nulls_last()).select(*doubles).mapInArrow(run, "at long, body binary")
+    return packed.union(values.sparkSession.range(1).select(F.lit(None).cast("long"), F.lit(None).cast("binary")))
+
+
+def _unpacked(t: pa.Table, width: int) -> np.ndarray:
+    t = t.filter(pc.is_valid(t.column("at"))).sort_by("at")
+    return np.frombuffer(b"".join(x.as_py() for x in t.column("body")), np.float64).reshape(-1, width)
+
+
+def _in_parts(values: DataFrame, order: str, columns: list[str], work: Callable[[int, np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """``work`` of each of PARTS parts, in a task of its own, on all rows, packed."""
+
+    def run(t: pa.Table) -> pa.Table:
+        found = work(t.column("part")[0].as_py(), _unpacked(t, len(columns)))
+        return pa.table({k: pa.array(v) for k, v in found.items()})
+
+    parts = values.sparkSession.range(PARTS).select(F.col("id").cast("int").alias("part"))
+    return _packed(values, order, columns).crossJoin(F.broadcast(parts)).groupBy("part").applyInArrow(run, schema)
 
 
 def resampled(values: DataFrame, order: str, statistic: Statistic, seed: int = SEED, draws: int = RESAMPLES) -> DataFrame:
     """One row (point, low, high) for a table of one row a task: the statistic, and its 2.5 and 97.5 % order
     statistics over resamples of the tasks drawn with replacement.
 
-    Tasks are drawn from in the order of ``order``, draw after draw from one generator, as published intervals are; so
-    the columns used, as arrays, are brought to one task on purpose (8 bytes a value), and draws are made by the block.
-    Draws for which the statistic is undefined are dropped. nan if there are no rows, or the point is undefined.
+    Tasks are drawn from in the order of ``order``, draw after draw from one generator, as published intervals are. Its sequence is cut
+    into parts of equal length. Each task leaps to its part; outputs that choose a row are first counted, so that it is known
+    which draw each part begins in; then each part sums up the rows that it chooses, by draw. Every part needs all rows, as a
+    choice may be any of them (8 bytes a value, packed). Draws for which the statistic is undefined are dropped. nan if there are no rows,
+    or the point is undefined.
     """
-
-    def run(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order)
-        columns = {c: frame[c].to_numpy(np.float64) for c in frame.columns if c not in (order, "one")}
-        n = len(frame)
-        point = float(statistic(columns, np.arange(n)[None, :])[0])
-        if math.isnan(point):
-            return pd.DataFrame({"point": [point], "low": [point], "high": [point]})
-        source, found, block = Draws(seed), [], max(1, _AT_ONCE // n)
-        for k in range(0, draws, block):
-            rows = min(block, draws - k)
-            found.append(statistic(columns, source.below(n, rows * n).reshape(rows, n)))
-        known = np.sort(np.concatenate(found))
-        known = known[~np.isnan(known)]
+    columns = [c for c in values.columns if c != order]
+
+    def reach(n: int) -> int:
+        """Outputs of which, but for a chance below 1e-30, enough choose a row."""
+        wanted, chance = draws * n, n / (1 << _bits(n))
+        return int((wanted + 12 * math.sqrt(wanted * (1 - chance))) / chance) + 1000
+
+    def chosen(part: int, n: int) -> Iterator[np.ndarray]:
+        """Places that the outputs of a part choose."""
+        whole, bits = reach(n), _bits(n)
+        of = _parts(whole)
+        begin, end = (whole * min(k, of) // of for k in (part, part + 1))
+        source = Draws(seed, begin) if begin < end else None
+        for k in range(begin, end, _AT_ONCE):
+            places = source.raw(min(_AT_ONCE, end - k)) >> np.uint32(32 - bits)
+            yield places[places < n].astype(np.intp)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for part, n in zip(t.column("part").to_pylist(), t.column("n").to_pylist()):
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "kept": pa.array([sum(map(len, chosen(part, n))) if n else 0], pa.int64())})
+
+    def add(t: pa.Table) -> pa.Table:
+        rows, part, at = _unpacked(t, len(columns)), t.column("part")[0].as_py(), t.column("start")[0].as_py()
+        n, ids, sums, each = len(rows), [], [], np.ascontiguousarray(rows.T)
+        if not part:
+            ids, sums = [np.array([-1])], [rows.sum(axis=0)[None]]
+        for places in chosen(part, n) if n else ():
+            places = places[: max(0, draws * n - at)]
+            if not len(places):
+                break
+            first, last = at // n, (at + len(places) - 1) // n
+            edges = np.maximum(np.arange(first, last + 1) * n - at, 0)
+            ids.append(np.arange(first, last + 1))
+            sums.append(np.stack([np.add.reduceat(c[places], edges) for c in each], axis=1))
+            at += len(places)
+        sums = np.concatenate([np.zeros((0, len(columns))), *sums])
+        return pa.table({"draw": pa.array(np.concatenate([np.zeros(0, np.int64), *ids]), pa.int64()), **{f"v{k}": pa.array(sums[:, k], pa.float64()) for k in range(len(columns))}, "n": pa.array(np.full(len(sums), n), pa.int64())})
+
+    def finish(t: pa.Table) -> pa.Table:
+        t = t.sort_by("draw")
+        n = t.column("n")[0].as_py()
+        nothing = {k: pa.array([math.nan]) for k in ("point", "low", "high")}
+        if not n:
+            return pa.table(nothing)
+        if len(t) != draws + 1:
+            raise RuntimeError("too few outputs for all draws")
+        found = statistic({c: np.asarray(t.column(f"v{k}")) for k, c in enumerate(columns)}, n)
+        if math.isnan(found[0]):
+            return pa.table(nothing)
+        known = np.sort(found[1:][~np.isnan(found[1:])])
         low, high = (float(known[k]) for k in (int(0.025 * len(known)), int(0.975 * len(known)) - 1))
-        return pd.DataFrame({"point": [point], "low": [low], "high": [high]})
+        return pa.table({"point": [float(found[0])], "low": [low], "high": [high]})
 
-    return values.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "point double, low double, high double")
+    session = values.sparkSession
+    parts = session.range(0, PARTS, 1, PARTS).select(F.col("id").cast("int").alias("part"))
+    kept = parts.join(F.broadcast(values.agg(F.count("*").alias("n"))), F.lit(True)).mapInArrow(count, "part int, kept long")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # PARTS rows
+    starts = kept.select("part", F.coalesce(F.sum("kept").over(before), F.lit(0)).alias("start"))
+    sums = _packed(values, order, columns).crossJoin(F.broadcast(starts)).groupBy("part").applyInArrow(add, "draw long, " + "".join(f"v{k} double, " for k in range(len(columns))) + "n long")
+    by_draw = sums.groupBy("draw").agg(*(F.sum(f"v{k}").alias(f"v{k}") for k in range(len(columns))), F.max("n").alias("n"))
+    return by_draw.groupBy(F.lit(1).alias("one")).applyInArrow(finish, "point double, low double, high double")
 
 
 def mean_of(column: str) -> Statistic:
     """Statistic: mean of a column."""
-    return lambda values, places: values[column][places].mean(axis=1)
+    return lambda sums, n: sums[column] / n
 
 
 def pooled_ratio(num: str, den: str, num2: str, den2: str) -> Statistic:
     """Statistic: difference of two ratios of sums, the second less the first; undefined if either denominator is zero."""
 
-    def statistic(values: dict[str, np.ndarray], places: np.ndarray) -> np.ndarray:
-        n, d, n2, d2 = (values[c][places].sum(axis=1) for c in (num, den, num2, den2))
+    def statistic(sums: dict[str, np.ndarray], _: int) -> np.ndarray:
+        n, d, n2, d2 = (sums[c] for c in (num, den, num2, den2))
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.where((d != 0) & (d2 != 0), n2 / d2 - n / d, np.nan)
 
@@ -161,22 +306,36 @@ def sign_flip_p(differences: Iterable[float], exact_most: int = EXACT_MOST, draw
             begins = np.flatnonzero(np.diff(both, prepend=-np.inf) > SLACK / 1000)
             sums, ways = both[begins], np.add.reduceat(twice, begins)
         return float(ways[np.abs(sums) >= least].sum() / ways.sum()), len(d), True
-    source, hits, block = Draws(seed), 0, max(1, _AT_ONCE // len(d))
-    for k in range(0, draws, block):
-        plus = source.heads(min(block, draws - k) * len(d)).reshape(-1, len(d))
+    return (1 + _hits(d, 0, draws, seed)) / (1 + draws), len(d), False
+
+
+def _hits(d: np.ndarray, begin: int, end: int, seed: int) -> int:
+    """How many of the draws from ``begin`` to ``end`` have a sum that is as far from zero as the differences' own."""
+    least = abs(math.fsum(d)) - SLACK
+    source, hits, block = Draws(seed, 2 * begin * len(d)), 0, max(1, _AT_ONCE // len(d))
+    for k in range(begin, end, block):
+        plus = source.heads(min(block, end - k) * len(d)).reshape(-1, len(d))
         hits += int((np.abs(2 * (plus @ d) - d.sum()) >= least).sum())
-    return (1 + hits) / (1 + draws), len(d), False
+    return hits
 
 
 def sign_flip(differences: DataFrame, key: str, value: str) -> DataFrame:
-    """One row (p, n, exact) for a table of one difference a task, taken in the order of ``key``; one task holds all."""
+    """One row (p, n, exact) for a table of one difference a task, taken in the order of ``key``. Draws are dealt out over PARTS tasks, each of
+    which leaps to its part of the one sequence that they are drawn from; few differences are one task's."""
 
-    def run(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        p, n, exact = sign_flip_p(frame.sort_values("k")["d"].tolist())
-        return pd.DataFrame({"p": [p], "n": [n], "exact": [exact]})
+    def work(part: int, rows: np.ndarray) -> dict[str, np.ndarray]:
+        d = rows[rows[:, 0] != 0, 0]
+        drawn = len(d) > EXACT_MOST and abs(math.fsum(d)) > SLACK
+        if not drawn:
+            p, n, exact = sign_flip_p(d) if not part else (0.0, 0, True)
+            return {"p": np.array([p]), "hits": np.array([0]), "n": np.array([n]), "exact": np.array([exact])}
+        of = _parts(2 * DRAWS * len(d))
+        begin, end = (DRAWS * min(k, of) // of for k in (part, part + 1))
+        return {"p": np.array([0.0]), "hits": np.array([_hits(d, begin, end, FLIP_SEED) if begin < end else 0]), "n": np.array([len(d)]), "exact": np.array([False])}
 
-    slim = differences.select(F.lit(1).alias("one"), differences[key].alias("k"), differences[value].cast("double").alias("d"))
-    return slim.groupBy("one").applyInPandas(run, "p double, n long, exact boolean")
+    slim = differences.select(differences[key].alias("k"), F.coalesce(differences[value].cast("double"), F.lit(0.0)).alias("d"))
+    each = _in_parts(slim, "k", ["d"], work, "p double, hits long, n long, exact boolean").agg(F.sum("hits").alias("hits"), F.max("p").alias("p"), F.max("n").alias("n"), F.bool_and("exact").alias("exact"))
+    return each.select(F.when(F.col("exact"), F.col("p")).otherwise((1 + F.col("hits")) / F.lit(1.0 + DRAWS)).alias("p"), "n", "exact")
 
 
 def sign_flip_exact_sql(differences: DataFrame, value: str) -> DataFrame:
@@ -205,8 +364,6 @@ def negative_control(pairs: DataFrame, task: str, fired: str, base: str, arm: st
 
     A pair (task, trial) adds its difference over (tasks * trials of its task); shares add up to the difference.
     """
-    from pyspark.sql.window import Window
-
     trials = F.count("*").over(Window.partitionBy(task))
     tasks = F.broadcast(pairs.agg(F.count_distinct(task).alias("tasks")))
     delta = F.col(arm).cast("int") - F.col(base).cast("int")
