@@ -60,6 +60,27 @@ def test_returns_of_one_order_add_up(spark):
     assert versions == {("O-1", 1): ("pending", 2, "request_return 1,2"), ("O-2", 1): ("pending", 1, "request_return 1")}
 
 
+def test_a_log_is_folded_entry_by_entry(spark):
+    log = [status("delivered"), back(1, refund=60_000), back(2, refund=50_000), back(2, refund=50_000), decision(True, "request_return", [2]), back(3, refund=1), back(1, refund=1), decision(True, "request_return", [3])]
+    entries = [(f"O-{o}", k, *e) for k, e in enumerate(log) for o in range(40)]
+    expected = [("changed", None), ("executed", None), ("queued", 1), ("reused", 1), ("approved", 1), ("queued", 2), ("refused", None), ("approved", 2)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        done = approvals.decide(spark.createDataFrame(entries, LOG))
+        assert sorted((r.order_id, r.at, r.outcome, r.number) for r in done.collect()) == sorted((f"O-{o}", k, *e) for k, e in enumerate(expected) for o in range(40))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # No row holds the log of a whole order, in which every entry would copy all that was done before it.
+    assert "collect_list" not in done._jdf.queryExecution().toString()
+
+
+def test_unknown_values_are_neither_equal_nor_unequal(spark):
+    ret = lambda *lines: decision(None, "request_return", list(lines))
+    assert decided(spark, status("delivered"), back(None, refund=1), back(2, refund=1), ret(2))[1:] == [("executed", None), ("executed", None), ("conflict", None)]
+    found = decided(spark, status("delivered"), back(1, refund=200_000), back(1, refund=200_000, session=None), back(1, refund=200_000, session=None), decision(None, "request_return", [1]), back(1, refund=None))
+    assert found[1:] == [("queued", 1), ("queued", 2), ("queued", 3), ("approved", 1), ("refused", None)]
+
+
 def test_a_stream_of_turns_equals_the_table(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     schema = "conv_id long, turn long, role string, tool string"

@@ -1,60 +1,130 @@
 """Writes that a person must approve: queued, asked for again, decided once, and run again on the state of then.
 
-An order's log (changes of its status, requests, decisions) is folded in order of time in the JVM. All that decides about a
-request lies with its order: its status, lines that are taken, and what was paid back already, so that a refund can't be
-split below the threshold. Logs of different orders are independent.
+Logs (changes of an order's status, requests, decisions) are dealt by order and sorted by time; a task then goes through its
+entries once and holds what decides about a request of the order it is at: its status, lines that are taken, and what was paid
+back already, so that a refund can't be split below the threshold. Logs of different orders are independent.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.functions.text import let
 from tidemill.operators.calls import CANCELLABLE
 
 #: Fixed value: the refund from which on a person decides.
 THRESHOLD = 100_000
 
-_PENDING = "array<struct<session:string,target:string,refund:bigint,number:int>>"
-_STATE = f"struct<status:string,pending:{_PENDING},taken:array<int>,paid:bigint,made:int>"
-_DONE = "array<struct<outcome:string,number:int,total:bigint>>"
-
-
-def _step(threshold: int):
-    def step(a: Column, x: Column) -> Column:
-        s = a["state"]
-        same = lambda p: (p["session"] == x["session"]) & (p["target"] == x["target"])
-
-        def settled(pending: Column) -> Column:
-            """``pending`` is the open approval of this session and target, or null."""
-            cancels = x["tool"] == "cancel_order"
-            free = F.when(cancels, s["status"].isin(*CANCELLABLE)).otherwise((s["status"] == "delivered") & ~F.arrays_overlap(s["taken"], x["lines"]))
-            refund = F.when(x["kind"] == "decide", pending["refund"]).otherwise(x["refund"])
-            total = refund + F.when(cancels, 0).otherwise(s["paid"])
-            asked = F.when(~free, "refused").when(total < threshold, "executed").when(pending.isNotNull(), "reused").otherwise("queued")
-            decided = F.when(pending.isNull(), "conflict").when(~x["approve"], "rejected").when(free, "approved").otherwise("failed")
-            outcome = F.when(x["kind"] == "status", "changed").when(x["kind"] == "ask", asked).otherwise(decided)
-            return let(F.struct(outcome.alias("outcome"), refund.alias("refund"), total.alias("total")), lambda o: after(o, pending, cancels))
-
-        def after(o: Column, pending: Column, cancels: Column) -> Column:
-            runs, queued = o["outcome"].isin("executed", "approved"), o["outcome"] == "queued"
-            number = F.when(queued, s["made"] + 1).otherwise(pending["number"])
-            new = F.array(F.struct(x["session"].alias("session"), x["target"].alias("target"), x["refund"].cast("long").alias("refund"), (s["made"] + 1).cast("int").alias("number")))
-            left = F.when(x["kind"] == "decide", F.filter(s["pending"], lambda p: ~same(p))).when(queued, F.concat(s["pending"], new)).otherwise(s["pending"])
-            state = F.struct(
-                F.when(x["kind"] == "status", x["status"]).when(runs & cancels, "cancelled").otherwise(s["status"]).alias("status"),
-                left.alias("pending"),
-                F.when(runs & ~cancels, F.concat(s["taken"], x["lines"])).otherwise(s["taken"]).alias("taken"),
-                (s["paid"] + F.when(runs & ~cancels, o["refund"]).otherwise(0)).alias("paid"),
-                (s["made"] + queued.cast("int")).alias("made"),
-            )
-            done = F.array(F.struct(o["outcome"].alias("outcome"), F.when(o["outcome"] != "executed", number).alias("number"), F.when(x["kind"] == "ask", o["total"]).alias("total")))
-            return F.struct(state.cast(_STATE).alias("state"), F.concat(a["done"], done.cast(_DONE)).alias("done"))
-
-        return let(F.get(F.filter(s["pending"], same), F.lit(0)), settled)
-
-    return step
+#: What an entry says, in the order in which entries of one time follow one another.
+_ENTRY = ("kind", "session", "target", "tool", "lines", "refund", "approve", "status")
+_KEPT = ("order_id", "at", "kind", "session", "target")
+
+
+class _Order:
+    """Where an order stands. What is unknown (a null) is compared as in SQL: it is neither equal nor unequal."""
+
+    __slots__ = ("made", "paid", "pending", "status", "taken", "unsure")
+
+    def __init__(self) -> None:
+        self.status: str | None = None
+        #: Open approvals as (session, refund, number), by target.
+        self.pending: dict[str, list[tuple[str | None, int | None, int]]] = {}
+        #: Known lines that are taken, and whether an unknown one is.
+        self.taken: set[int] = set()
+        self.unsure = False
+        self.paid: int | None = 0
+        self.made = 0
+
+    def free(self, cancels: bool, lines: Sequence[int | None]) -> bool | None:
+        """Whether a request could be carried out now."""
+        if cancels:
+            return None if self.status is None else self.status in CANCELLABLE
+        if self.status != "delivered" and self.status is not None or not self.taken.isdisjoint(lines):
+            return False
+        unsure = (self.taken or self.unsure) and lines and (self.unsure or None in lines)
+        return None if unsure or self.status is None else True
+
+    def meet(self, kind: str, session: str | None, target: str, tool: str | None, lines: Sequence[int | None], refund: int | None, approve: bool | None, status: str | None, threshold: int) -> tuple[str, int | None, int | None]:
+        """(outcome, number, total) of an entry, after which the order stands as that leaves it."""
+        waiting, own, number, total = self.pending.get(target), None, None, None
+        if waiting and session is not None:
+            for p in waiting:
+                if p[0] == session:
+                    own, number = p, p[2]
+                    break
+        if kind == "status":
+            self.status = status
+            return "changed", number, None
+        cancels = tool == "cancel_order"
+        if kind == "ask":
+            before = 0 if cancels else self.paid
+            total = None if refund is None or before is None else refund + before
+            if self.free(cancels, lines) is False:
+                return "refused", number, total
+            if total is None or total >= threshold:
+                if own:
+                    return "reused", number, total
+                self.made += 1
+                self.pending[target] = [*(waiting or ()), (session, refund, self.made)]
+                return "queued", self.made, total
+            outcome, number = "executed", None
+        else:
+            if kind == "decide" and waiting:
+                self.pending[target] = [p for p in waiting if p[0] is not None and session is not None and p[0] != session]
+            if not own:
+                return "conflict", None, None
+            if approve is False:
+                return "rejected", number, None
+            if not self.free(cancels, lines):
+                return "failed", number, None
+            outcome = "approved"
+            if kind == "decide":
+                refund = own[1]
+        if cancels:
+            self.status = "cancelled"
+        elif tool is not None:
+            self.taken.update(n for n in lines if n is not None)
+            self.unsure |= None in lines
+            self.paid = None if refund is None or self.paid is None else self.paid + refund
+        return outcome, number, total
+
+
+def _values(c: pa.Array) -> list[Any]:
+    return (c.to_pandas(integer_object_nulls=True) if pa.types.is_integer(c.type) else c.to_numpy(zero_copy_only=False)).tolist()
+
+
+def _lists(c: pa.ListArray) -> list[Sequence[Any]]:
+    values, edges = _values(c.values), c.offsets.to_numpy().tolist()
+    return [values[i:j] if i < j else () for i, j in zip(edges, edges[1:])]
+
+
+def _fold(threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Goes through entries that are sorted by order and time. An order's log may go on in the next batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, last = _Order(), None
+        for batch in filter(len, batches):
+            ids = batch.column("order_id")
+            codes = ids.dictionary_encode("encode").indices.to_numpy()
+            starts = [last is None or last[0] != ids[0].as_py(), *(codes[1:] != codes[:-1]).tolist()]
+            last = (ids[-1].as_py(),)
+            entries = [_lists(batch.column(c)) if c == "lines" else _values(batch.column(c)) for c in _ENTRY]
+            outcomes, numbers, totals = [], [], []
+            for start, kind, session, target, tool, lines, refund, approve, status in zip(starts, *entries):
+                if start:
+                    order = _Order()
+                outcome, number, total = order.meet(kind, session, target, tool, lines, refund, approve, status, threshold)
+                outcomes.append(outcome)
+                numbers.append(number)
+                totals.append(total)
+            done = [pa.array(outcomes, pa.string()), pa.array(numbers, pa.int32()), pa.array(totals, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEPT), *done], [*_KEPT, "outcome", "number", "total"])
+
+    return run
 
 
 def decide(log: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -66,12 +136,12 @@ def decide(log: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     the threshold, queued under a new number of the order; one that waits already is reused. Kind ``decide``: rejected, or
     approved and run again on the state of then, which may fail; a second decision on one approval is a conflict. Requests
     that differ in anything but session, tool and lines are the same."""
-    target = F.concat_ws(" ", "tool", F.array_join(F.array_sort("lines"), ","))
-    entry = F.struct("at", "kind", "session", target.alias("target"), "tool", F.coalesce("lines", F.array().cast("array<int>")).alias("lines"), F.col("refund").cast("long").alias("refund"), "approve", "status")
-    listed = log.groupBy("order_id").agg(F.sort_array(F.collect_list(entry)).alias("log"))
-    start = F.struct(F.from_json(F.lit('{"pending":[],"taken":[],"paid":0,"made":0}'), _STATE).alias("state"), F.array().cast(_DONE).alias("done"))
-    each = listed.select("order_id", F.explode(F.arrays_zip("log", F.aggregate("log", start, _step(threshold), lambda a: a["done"]).alias("done"))).alias("z"))
-    return each.select("order_id", "z.log.at", "z.log.kind", "z.log.session", "z.log.target", "z.done.outcome", "z.done.number", "z.done.total")
+    target = F.concat_ws(" ", "tool", F.array_join(F.sort_array("lines"), ","))
+    lines, refund = F.coalesce("lines", F.array().cast("array<int>")), F.col("refund").cast("long")
+    entries = log.select("order_id", "at", "kind", "session", target.alias("target"), "tool", lines.alias("lines"), refund.alias("refund"), "approve", "status")
+    dealt = entries.repartition("order_id").sortWithinPartitions("order_id", "at", *_ENTRY)
+    kinds = ", ".join(f"{c} {entries.schema[c].dataType.simpleString()}" for c in _KEPT)
+    return dealt.mapInArrow(_fold(threshold), f"{kinds}, outcome string, number int, total long")
 
 
 def approvals(done: DataFrame) -> DataFrame:
