@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators import approvals
+from tidemill.plans import service
 from tidemill.sources import sinks
 from tidemill.streaming import turns
 
@@ -74,6 +75,13 @@ def test_a_log_is_folded_entry_by_entry(spark):
     assert "collect_list" not in done._jdf.queryExecution().toString()
 
 
+def test_entries_are_made_without_interpreted_lambdas(spark):
+    log = service.approval_log(spark, "/root/testdata/sf0.001")
+    assert "lambda" not in log._jdf.queryExecution().optimizedPlan().toString()
+    assert log.filter("kind IS NULL OR at IS NULL").isEmpty() and log.filter("kind = 'status' AND at = 150 AND order_id % 5 > 0").isEmpty()
+    assert log.filter("at = 0").count() == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+
+
 def test_unknown_values_are_neither_equal_nor_unequal(spark):
     ret = lambda *lines: decision(None, "request_return", list(lines))
     assert decided(spark, status("delivered"), back(None, refund=1), back(2, refund=1), ret(2))[1:] == [("executed", None), ("executed", None), ("conflict", None)]

@@ -25,23 +25,24 @@ def approval_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.lit(None).cast("long") if refund is None else refund.cast("long")).alias("refund"), (F.lit(None).cast("boolean") if approve is None else approve).alias("approve"), status.alias("status"),
         )
 
-    of_order = F.array_compact(F.array(
+    of_order = F.array(
         entry(0, "status", none, status=status),
         entry(100, "ask", session, "cancel_order", refund=F.col("won")),
         entry(101, "ask", session, "cancel_order", refund=F.col("won")),
         F.when(k % 5 == 0, entry(150, "status", none, status=F.lit("shipping"))),
         entry(200, "decide", session, "cancel_order", approve=k % 3 > 0),
         F.when(k % 7 == 0, entry(201, "decide", session, "cancel_order", approve=F.lit(True))),
-    ))
+    )
     n, one = F.col("l_linenumber"), F.array(F.col("l_linenumber").cast("int"))
     other = F.concat(F.lit("S"), (n % 2).cast("string"))
-    of_line = F.array_compact(F.array(
+    of_line = F.array(
         entry(10 * n, "ask", other, "request_return", one, F.col("won")),
         F.when(n % 3 == 0, entry(10 * n + 1, "ask", other, "request_return", one, F.col("won"))),
         F.when(n % 2 == 0, entry(10 * n + 5, "decide", other, "request_return", one, approve=F.col("l_orderkey") % 4 > 0)),
-    ))
+    )
     each = o.select(k.alias("key"), F.inline(of_order)).union(lines.join(o.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select(F.col("l_orderkey").alias("key"), F.inline(of_line)))
-    return each.withColumnRenamed("key", "order_id")
+    # An entry that an order or a line has not is a null struct, which becomes a row of nulls.
+    return each.filter("kind IS NOT NULL").withColumnRenamed("key", "order_id")
 
 
 _LOG = """
