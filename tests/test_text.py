@@ -61,6 +61,24 @@ def test_speech(spark, function, pairs):
     assert mapped(spark, function, pairs) == pairs
 
 
+#: Values beside each other: one that was read is a word for what is before it; commas, seconds and points stay outside.
+BESIDE = [
+    ("12 9월 14일", "십이 구월 십사일"),
+    ("5 010-1234-5678", "오 공일공, 일이삼사, 오육칠팔"),
+    ("3-5 010-1234-5678", "삼에서 오 공일공, 일이삼사, 오육칠팔"),
+    ("12:30:00에", "열두 시 삼십 분 공공 에"),
+    ("네,1,234원", "네,천이백삼십사 원"),
+    ("v.12 34원", "브이. 삼십사 원"),
+    ("점 컴", "점 컴"),
+    ("\u0663개", "세 개"),
+    ("9" * 5000 + "-" + "8" * 5000 + "일", "구" * 5000 + "에서 " + "팔" * 5000 + " 일"),
+]
+
+
+def test_values_beside_each_other_are_said(spark):
+    assert mapped(spark, speech.verbalize, BESIDE) == BESIDE
+
+
 def plain_number(n):
     """A whole number read place by place."""
     names, parts = "일이삼사오육칠팔구", []

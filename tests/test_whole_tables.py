@@ -90,3 +90,18 @@ def test_sentences_of_one_file_are_dealt_over_all_cores(spark, query):
     """Sentences are rewritten behind an exchange into so many parts, which adaptive execution doesn't join again."""
     plan = plans.queries()[query](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert f"RoundRobinPartitioning({4 * spark.sparkContext.defaultParallelism})" in plan and "REPARTITION_BY_NUM" in plan
+
+
+@needs_tables
+@pytest.mark.parametrize("query", ["verbalized", "spoken_back", "respelled"])
+def test_sentences_are_said_in_batches(spark, query):
+    """A sentence goes once through a function over Arrow batches, not through some 150 replacements, about 60 of them patterns."""
+    plan = plans.queries()[query](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("_verbalized(") == 1 and plan.count("regexp_replace(") < 20
+
+
+@needs_tables
+def test_texts_are_compared_before_utterances_are_placed(spark):
+    """What is sent to find an utterance's place is its key and whether it changed."""
+    plan = plans.queries()["respelled"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert 0 <= plan.find("Window [") < plan.find("concat(now")

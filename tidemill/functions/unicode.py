@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -17,12 +18,17 @@ UNSTABLE = "[^\\x00-\\x7F\\u00C0-\\u00FF\\uAC00-\\uD7A3\\u3041-\\u3096\\u30A1-\\
 _AT_ONCE = 64
 
 
-def _each(texts: pa.Array, form: str) -> pa.Array:
-    """Texts in a normal form. Only a few are Python strings at a time, whatever a batch holds."""
-    parts = [pa.array([x and unicodedata.normalize(form, x) for x in texts[k : k + _AT_ONCE].to_pylist()], pa.string()) for k in range(0, len(texts), _AT_ONCE)]
+def in_parts(texts: pa.Array, function: Callable[[str], str]) -> pa.Array:
+    """Texts by a function; null stays null. Only a few are Python strings at a time, whatever a batch holds."""
+    parts = [pa.array([x and function(x) for x in texts[k : k + _AT_ONCE].to_pylist()], pa.string()) for k in range(0, len(texts), _AT_ONCE)]
     return pa.concat_arrays([pa.array([], pa.string()), *parts])
 
 
+def _each(texts: pa.Array, form: str) -> pa.Array:
+    """Texts in a normal form."""
+    return in_parts(texts, lambda x: unicodedata.normalize(form, x))
+
+
 @F.arrow_udf(T.StringType())
 def _nfkc(texts: pa.Array) -> pa.Array:
     return _each(texts, "NFKC")

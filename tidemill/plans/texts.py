@@ -242,11 +242,12 @@ def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT o_orderkey, place FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderkey // 1000 ORDER BY o_orderkey) AS place FROM orders) WHERE o_orderkey % 5 = 0"
 )
 def respelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions of a record's utterances that are said otherwise today."""
+    """Positions of a record's utterances that are said otherwise today. Texts are compared before utterances are placed, so that none is sent on."""
     said = _sentences(spark, sf_dir).select("o_orderkey", speech.verbalize(F.col("said")).alias("now"))
     was = F.when(F.col("o_orderkey") % 5 == 0, F.concat("now", F.lit("?"))).otherwise(F.col("now"))
-    placed = said.withColumn("place", F.row_number().over(Window.partitionBy((F.col("o_orderkey") / 1000).cast("int")).orderBy("o_orderkey")))
-    return placed.filter(~was.eqNullSafe(F.col("now"))).select("o_orderkey", "place")
+    compared = said.select("o_orderkey", (~was.eqNullSafe(F.col("now"))).alias("changed"))
+    placed = compared.withColumn("place", F.row_number().over(Window.partitionBy((F.col("o_orderkey") / 1000).cast("int")).orderBy("o_orderkey")))
+    return placed.filter("changed").select("o_orderkey", "place")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN event_type END AS tool FROM events")
