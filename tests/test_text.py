@@ -79,6 +79,19 @@ def test_values_beside_each_other_are_said(spark):
     assert mapped(spark, speech.verbalize, BESIDE) == BESIDE
 
 
+#: A phone number that was written back is no place for an order number, and what follows an order number keeps one space at most.
+WRITTEN_BESIDE = [
+    ("010 5-1234567", "010-5123-4567"),
+    ("공일공일이삼사오육칠팔오 다시 일이삼사오", "010-1234-5678오 다시 일이삼사오"),
+    ("오 다시 일이삼사오  \u200b", "O-12345 \u200b"),
+    ("", ""),
+]
+
+
+def test_numbers_beside_each_other_are_written(spark):
+    assert mapped(spark, speech.spoken_to_written, WRITTEN_BESIDE) == WRITTEN_BESIDE
+
+
 def plain_number(n):
     """A whole number read place by place."""
     names, parts = "일이삼사오육칠팔구", []
