@@ -79,6 +79,17 @@ def test_values_beside_each_other_are_said(spark):
     assert mapped(spark, speech.verbalize, BESIDE) == BESIDE
 
 
+#: Texts that would be other values if they ran into the one before.
+APART = ["3", "개", "12월", "3일", "-", "5", "2~", "3개", "a@b", ".com", "", None, " , ", "\ue0021", "1", "0-1234-5678", "O-", "91010", ":30", " ", "\u1100", "\u1161"]
+
+
+def test_texts_of_a_batch_are_said_apart(spark):
+    alone = [spark.range(1).select(speech.verbalize(F.lit(t).cast("string"))).head()[0] for t in APART]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(APART * 9)], "k int, t string").coalesce(1)
+    assert [r.v for r in df.select("k", speech.verbalize(F.col("t")).alias("v")).collect()] == alone * 9
+    assert alone[:4] == ["삼", "개", "십이월", "삼 일"] and alone[11:15] == [None, ",", "일", "일"]
+
+
 #: A phone number that was written back is no place for an order number, and what follows an order number keeps one space at most.
 WRITTEN_BESIDE = [
     ("010 5-1234567", "010-5123-4567"),

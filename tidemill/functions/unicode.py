@@ -18,15 +18,19 @@ UNSTABLE = "[^\\x00-\\x7F\\u00C0-\\u00FF\\uAC00-\\uD7A3\\u3041-\\u3096\\u30A1-\\
 _AT_ONCE = 64
 
 
-def in_parts(texts: pa.Array, function: Callable[[str], str]) -> pa.Array:
-    """Texts by a function; null stays null. Only a few are Python strings at a time, whatever a batch holds."""
-    parts = [pa.array([x and function(x) for x in texts[k : k + _AT_ONCE].to_pylist()], pa.string()) for k in range(0, len(texts), _AT_ONCE)]
-    return pa.concat_arrays([pa.array([], pa.string()), *parts])
+def in_parts(texts: pa.Array, function: Callable[[list[str]], list[str]]) -> pa.Array:
+    """Texts by a function of a few of them, which alone are Python strings at a time, whatever a batch holds; null stays null."""
+    parts = [pa.array([], pa.string())]
+    for k in range(0, len(texts), _AT_ONCE):
+        some = texts[k : k + _AT_ONCE].to_pylist()
+        done = iter(function([x for x in some if x is not None]))
+        parts.append(pa.array([None if x is None else next(done) for x in some], pa.string()))
+    return pa.concat_arrays(parts)
 
 
 def _each(texts: pa.Array, form: str) -> pa.Array:
     """Texts in a normal form."""
-    return in_parts(texts, lambda x: unicodedata.normalize(form, x))
+    return in_parts(texts, lambda some: [unicodedata.normalize(form, x) for x in some])
 
 
 @F.arrow_udf(T.StringType())
